@@ -17,6 +17,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_id import identify
 
@@ -32,6 +38,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_language_id": op3_language_id,
         "op10_secret_scan": op10_secret_scan,
     }
