@@ -143,3 +143,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they stand."""
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), _INVERSE)[starts])
+
+
+# ----------------------------------------------------------------------- words
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs without separator bytes, none across texts, and the n + 1 offsets of the texts in them."""
+    inside = ~separator[data]
+    filled = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][filled], offsets[1:][filled] - 1
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    opens[first] = inside[first]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:]
+    closes[last] = inside[last]
+    starts = np.flatnonzero(opens)
+    return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
