@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from .common import fold_is_held_out, may_learn_from, prefix_hash, slices, span_hash, utf8, word_bounds
 
 PRIOR_WEIGHT = 500.0
-LEAST_Z = 4.0
+#: Added to each token's share of the prior, so that one that clean texts never show has a bounded variance.
+LEAST_PRIOR = 0.5
+LEAST_Z = 3.5
+#: Tokens must also be this much likelier (log-odds): a common word of a language with more toxic text is no sign.
+LEAST_ODDS = 1.5
 LEAST_DOCS = 5
 #: The model holds at most so many tokens, and so many training texts set its curves.
 VOCABULARY, SAMPLE = 100_000, 100_000
@@ -155,11 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n_toxic, n_clean = _lengths(toxic), _lengths(clean)
     if not n_toxic or not n_clean:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
-    prior = PRIOR_WEIGHT * (y_toxic + y_clean) / (n_toxic + n_clean) + 0.01
+    prior = PRIOR_WEIGHT * (y_toxic + y_clean) / (n_toxic + n_clean) + LEAST_PRIOR
     total = PRIOR_WEIGHT
     odds = np.log((y_toxic + prior) / (n_toxic + total - y_toxic - prior)) - np.log((y_clean + prior) / (n_clean + total - y_clean - prior))
     z = odds / np.sqrt(1 / (y_toxic + prior) + 1 / (y_clean + prior))
-    keep = z >= LEAST_Z
+    keep = (z >= LEAST_Z) & (odds >= LEAST_ODDS)
     model = ToxicityModel(wanted[keep], odds[keep])
     # extreme values: the rate solves sum p exp(rate score) = 1 over clean tokens
     share = (y_clean[keep] + 0.5) / max(n_clean, 1)
