@@ -9,10 +9,11 @@ similarity of 0.85 the chance that no chunk meets is below one in a million.)
 Pairs that meet are confirmed on their full sets.
 
 Buckets are never expanded into all pairs. Equal sets become one class first.
-Then each bucket links its members to one leader, and once more to another;
-what is linked by then is one component. Only members of different components
-in one bucket are compared with each other after that: small buckets by a
-self-join, large ones by blocks in numpy that emit only close signatures.
+Then each bucket links its members to one leader, and once more to another,
+drawn for each bucket; what is linked by then is one component. Buckets that
+still hold more than one component form families, which are compared in pairs
+of blocks: a task counts a member's intersections with a whole block at once and
+writes one spanning label for each member, never its pairs.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, prefix_hash, slices, span_hash, stage
+from .common import components, mix, prefix_hash, slices, span_hash, stage, word_bounds
 
 WORDS = 5
 SLOTS, BITS, CHUNKS = 60, 16, 10
@@ -34,9 +35,10 @@ WIDTH = SLOTS // CHUNKS
 MAX_DIFFERENT = 2 * CHUNKS - 1
 #: Pairs that met are confirmed up to this distance: 4.9 standard deviations beyond the mean at a similarity of 0.85.
 CONFIRM_UP_TO = 22
-#: Buckets up to this many members are joined with themselves; larger ones go by blocks.
-SMALL_BUCKET = 64
-BLOCK = 1024
+#: The closest leaders that a member is confirmed with in the second round; what they leave is up to the families.
+NEAREST = 4
+#: Members and bytes of sets in a block of a family.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Ids are broadcast up to this count (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -53,17 +55,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and the n + 1 offsets of the texts in them."""
     data = _LOWER[data]
-    inside = ~_SEPARATOR[data]
-    text_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    opens = inside.copy()
-    opens[1:] &= ~inside[:-1]
-    opens[text_starts] = inside[text_starts]
-    closes = inside.copy()
-    closes[:-1] &= ~inside[1:]
-    ends = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-    closes[ends] = inside[ends]
-    starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    return span_hash(prefix_hash(data), starts, stops), np.searchsorted(starts, offsets)
+    starts, stops, bounds = word_bounds(data, offsets, _SEPARATOR)
+    return span_hash(prefix_hash(data), starts, stops), bounds
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -133,18 +126,19 @@ def index_keys(classes: DataFrame) -> DataFrame:
 
 
 def close_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those (a, b) whose signatures differ in at most CONFIRM_UP_TO slots and whose set sizes allow the similarity."""
+    """Those (a, b), with their distance, whose signatures differ in at most CONFIRM_UP_TO slots and whose set sizes allow the similarity."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("sig_a", "sig_b"))
-                near = (x != y).sum(1) <= CONFIRM_UP_TO
-                yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(pa.array(near)), "b": batch.column("b").filter(pa.array(near))})
+                far = (x != y).sum(1)
+                near = far <= CONFIRM_UP_TO
+                yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(pa.array(near)), "b": batch.column("b").filter(pa.array(near)), "far": pa.array(far[near], pa.int64())})
 
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * F.lit(PERCENT)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, far long")
 
 
 PERCENT = 85
@@ -168,36 +162,69 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row number that each of n rows reaches over the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
-def _across_large_buckets(rows: DataFrame, sizes: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components with close signatures within buckets over SMALL_BUCKET, by pairs of blocks."""
-    large = sizes.where(F.col("n") > SMALL_BUCKET).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+def _compare_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Spanning labels (a, b) for the links between members of different components of two blocks (or of one).
+
+    Members of the commonest component are compared with the others only.
+    """
+    rep, component, mine = (group[c].to_numpy() for c in ("rep", "component", "mine"))
+    low, high = group["low"].iloc[0], group["high"].iloc[0]
+    sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, SLOTS)
+    sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+    sizes = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    names, counts = np.unique(component, return_counts=True)
+    marked = np.zeros(int(flat.max()) + 1, bool)
+    a, b = [], []
+    for i in np.flatnonzero(component != names[counts.argmax()]):
+        other = (component != component[i]) & ((sig != sig[i]).sum(1) <= CONFIRM_UP_TO)
+        other &= mine == (high if mine[i] == low else low)
+        if not other.any():
+            continue
+        own = flat[starts[i] : starts[i + 1]]
+        marked[own] = True
+        common = np.add.reduceat(marked[flat].astype(np.int64), starts[:-1])
+        marked[own] = False
+        linked = np.flatnonzero(other & (100 * common >= PERCENT * (sizes + sizes[i] - common)))
+        a.append(np.full(len(linked), i))
+        b.append(linked)
+    if not a:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    label = _local_labels(len(rep), np.concatenate(a), np.concatenate(b))
+    rows = np.flatnonzero(rep != rep[label])
+    return pd.DataFrame({"a": rep[rows], "b": rep[label[rows]]})
+
+
+def _across_families(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of members (key, rep, component) that share a bucket, through their families' blocks."""
+    leaders = rows.groupBy("key").agg(F.min("rep").alias("leader"))
+    families = components(rows.join(leaders, "key").where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct())
+    members = rows.select("rep", "component").distinct().join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    members = stage(members.join(classes.select("rep", "n_shingles", "sig"), "rep"), "families")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES))
+    sizes = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
     placed = (
-        rows.join(large, "key").join(classes.select("rep", "sig"), "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        members.join(sizes, "family").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "component", "sig")
+        .select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "component", "sig", "hashes")
     )
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, SLOTS)
-        rep, component = group["rep"].to_numpy(), group["component"].to_numpy()
-        within = group["low"].iloc[0] == group["high"].iloc[0]
-        first = np.arange(len(rep)) if within else np.flatnonzero((group["block"] == group["low"]).to_numpy())
-        second = first if within else np.flatnonzero((group["block"] == group["high"]).to_numpy())
-        a, b = [], []
-        for i in first:
-            near = second[(component[second] != component[i]) & ((sig[second] != sig[i]).sum(1) <= CONFIRM_UP_TO)]
-            near = near[near > i] if within else near
-            a.append(np.full(len(near), rep[i]))
-            b.append(rep[near])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return placed.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
+    return placed.groupBy("family", "low", "high").applyInPandas(_compare_blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,30 +243,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = index_keys(classes)
     crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("key", "leader")
     members = stage(keys.join(crowded, "key"), "members")
-    stars = stage(close_pairs(members.where("leader <> rep").select(*_ordered("leader", "rep")).distinct(), classes), "stars")
-
+    first = members.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     involved = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "involved")
     ids = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     sets = stage(_full_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
-    edges = stage(confirm(stars, sets), "links")
-
-    # once more with other leaders, over what is not one component yet
-    tested = stars
-    rows, _ = _unjoined(members, edges)
-    second = rows.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep")).alias("leader"), F.min_by("component", F.xxhash64("rep")).alias("leads"))
-    pairs = rows.join(second, "key").where("component <> leads").select(*_ordered("leader", "rep")).distinct()
-    pairs = stage(close_pairs(pairs.join(tested, ["a", "b"], "left_anti"), classes), "stars")
-    edges = stage(edges.unionByName(confirm(pairs, sets)), "links")
-
-    # at last every two members of different components
-    tested = tested.unionByName(pairs)
-    rows, sizes = _unjoined(members, edges)
-    small = rows.join(sizes.where(F.col("n") <= SMALL_BUCKET), "key")
-    other = small.select("key", F.col("rep").alias("other"), F.col("component").alias("other_component"))
-    small = small.join(other, "key").where("rep < other AND component <> other_component").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    pairs = small.unionByName(_across_large_buckets(rows, sizes, classes)).distinct().join(tested, ["a", "b"], "left_anti")
-    edges = stage(edges.unionByName(confirm(stage(close_pairs(pairs, classes), "pairs"), sets)), "links")
+    edges = stage(confirm(close_pairs(first, classes), sets), "links")
+
+    rows = _unjoined(members, edges)
+    drawn = F.xxhash64("key", "rep")
+    leaders = rows.groupBy("key").agg(F.min_by("rep", drawn).alias("leader"), F.min_by("component", drawn).alias("leads"))
+    second = rows.join(leaders, "key").where("component <> leads").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    nearest = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
+    second = close_pairs(second, classes).withColumn("nearest", nearest).where(F.col("nearest") <= NEAREST)
+    edges = stage(edges.unionByName(confirm(second, sets)), "links")
 
+    edges = stage(edges.unionByName(_across_families(_unjoined(members, edges), classes, sets)), "links")
     found = components(edges)
     by_class = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -249,13 +267,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _unjoined(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members, with their components, of buckets that hold more than one component; and those buckets' sizes."""
+def _unjoined(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members, with their components, of buckets that hold more than one component."""
     found = components(edges).withColumnRenamed("node", "rep")
     rows = members.select("key", "rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = stage(rows.join(mixed.select("key", "n"), "key"), "unjoined")
-    return rows.select("key", "rep", "component"), rows.select("key", "n").distinct()
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return stage(rows.join(mixed, "key"), "unjoined")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
