@@ -1,8 +1,61 @@
-"""Corpus pipeline."""
+"""The corpus pipeline: language identification, near-duplicates, decontamination, secrets, mixing.
 
-STAGES = []
+Every stage gets what its predecessor kept, written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stationwatch.llm import common, decontam, lang_id, mixing, near_dup, secrets
+
+#: Documents whose language is less certain than this are rejected, as are those without a language.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a recognised language."""
+    found = lang_id.identify(docs)
+    return found.where((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id; of rows with one id, one."""
+    gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret; ``n_chars`` follows the new text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mixture."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", remove_near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scan", redact_secrets),
+    ("source_mixing", mix_sources),
+]
+
+#: The language model and the network aren't SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        docs = common.stage(function(spark, docs, sf_dir), name)
+    return docs
