@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import EARTH_RADIUS_KM, SEVERITY_SCORES
+from ..config import EARTH_RADIUS_KM, SEVERITY_SCORES, STATION, TIME
+
+
+def by_time():
+    """The window of a station's rows in time order."""
+    return Window.partitionBy(STATION).orderBy(TIME)
 
 
 def r6(value: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES
-from ..functions.scalar import finite, flag, is_finite, r6, with_medians
+from ..functions.scalar import by_time, finite, flag, is_finite, r6, with_medians
 from ..sources.tables import InvalidData, check_keys, require_columns
 from . import spatial
 
@@ -24,7 +24,6 @@ REASONS = {
     "UNCLASSIFIED_ANOMALY": "No shape is borne out.",
 }
 PARAMETERS = ("residual_center", "residual_scale", "rate_center", "rate_scale", "rate_threshold")
-BY_TIME = Window.partitionBy(STATION).orderBy(TIME)
 RATE_THRESHOLD, LEAST_ROWS = 3.0, 30
 
 
@@ -58,7 +57,7 @@ def build_reference(history: DataFrame, graph: DataFrame, variables: tuple[str,
     """Centre and deviation of residuals against neighbours and of their hourly steps, for each station and variable with enough of both."""
     rows = spatial.with_residuals(history, graph, variables=variables)
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    rows = rows.withColumn("_step", at - F.lag(at).over(BY_TIME))
+    rows = rows.withColumn("_step", at - F.lag(at).over(by_time()))
     columns = {}
     for v in variables:
         columns[f"_{v}"] = F.when(F.col(f"{v}_spatial_neighbor_count") >= 2, finite(F.col(v)) - F.col(f"{v}_spatial_expected"))
@@ -66,7 +65,7 @@ def build_reference(history: DataFrame, graph: DataFrame, variables: tuple[str,
     long = None
     for v in variables:
         r = F.col(f"_{v}")
-        part = rows.select(STATION, F.lit(v).alias("variable"), r.alias("r"), F.when(F.col("_step") == 3600, r - F.lag(r).over(BY_TIME)).alias("d"))
+        part = rows.select(STATION, F.lit(v).alias("variable"), r.alias("r"), F.when(F.col("_step") == 3600, r - F.lag(r).over(by_time())).alias("d"))
         long = part if long is None else long.unionByName(part)
     found = long.groupBy(STATION, "variable").agg(
         r6(F.avg("r")).alias("residual_center"), r6(F.stddev_samp("r")).alias("residual_scale"), r6(F.avg("d")).alias("rate_center"), r6(F.stddev_samp("d")).alias("rate_scale"),
@@ -80,7 +79,7 @@ def features(df: DataFrame, reference: DataFrame, variables: tuple[str, ...]) ->
     wide = reference.groupBy(STATION).pivot("variable", list(variables)).agg(F.first(F.struct(*PARAMETERS)))
     rows = df.join(F.broadcast(wide.withColumnsRenamed({v: f"_p_{v}" for v in variables})), STATION, "left")  # a row for each station
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    rows = rows.withColumn("_contiguous", flag(at - F.lag(at).over(BY_TIME) == 3600))
+    rows = rows.withColumn("_contiguous", flag(at - F.lag(at).over(by_time()) == 3600))
     first = {}
     for v in variables:
         p = F.col(f"_p_{v}")
@@ -93,22 +92,22 @@ def features(df: DataFrame, reference: DataFrame, variables: tuple[str, ...]) ->
         }
     rows = rows.withColumns(first)
     rows = rows.withColumns({f"_{v}_z": r6((F.col(f"_{v}_x") - F.col(f"_{v}_peer") - F.col(f"_p_{v}.residual_center")) / F.col(f"_p_{v}.residual_scale")) for v in variables})
-    second = {"_c_last": flag(F.lag("_contiguous").over(BY_TIME)), "_c_next": flag(F.lead("_contiguous").over(BY_TIME)),
-              "_c5": F.sum(F.col("_contiguous").cast("int")).over(BY_TIME.rowsBetween(-4, 0))}
+    second = {"_c_last": flag(F.lag("_contiguous").over(by_time())), "_c_next": flag(F.lead("_contiguous").over(by_time())),
+              "_c5": F.sum(F.col("_contiguous").cast("int")).over(by_time().rowsBetween(-4, 0))}
     for v in variables:
         z, x, peer, p = (F.col(f"_{v}_{k}") for k in ("z", "x", "peer", "z"))
-        step = lambda c: F.when(F.col("_contiguous"), r6(c - F.lag(c).over(BY_TIME)))
+        step = lambda c: F.when(F.col("_contiguous"), r6(c - F.lag(c).over(by_time())))
         second |= {
             f"_{v}_dx": step(x), f"_{v}_dp": step(peer), f"_{v}_dz": step(z),
-            f"_{v}_rate": F.when(F.col("_contiguous"), r6(((x - peer) - F.lag(x - peer).over(BY_TIME) - F.col(f"_p_{v}.rate_center")) / F.col(f"_p_{v}.rate_scale"))),
-            f"_{v}_z1": F.lag(z).over(BY_TIME), f"_{v}_z2": F.lag(z, 2).over(BY_TIME), f"_{v}_zn": F.lead(z).over(BY_TIME),
+            f"_{v}_rate": F.when(F.col("_contiguous"), r6(((x - peer) - F.lag(x - peer).over(by_time()) - F.col(f"_p_{v}.rate_center")) / F.col(f"_p_{v}.rate_scale"))),
+            f"_{v}_z1": F.lag(z).over(by_time()), f"_{v}_z2": F.lag(z, 2).over(by_time()), f"_{v}_zn": F.lead(z).over(by_time()),
         }
     rows = rows.withColumns(second)
-    rows = rows.withColumns({f"_{v}_turn": flag(F.col(f"_{v}_dz") * F.lag(f"_{v}_dz").over(BY_TIME) < 0) for v in variables})
+    rows = rows.withColumns({f"_{v}_turn": flag(F.col(f"_{v}_dz") * F.lag(f"_{v}_dz").over(by_time()) < 0) for v in variables})
     third = {}
     for v in variables:
         z, dz, x, peer, rate = (F.col(f"_{v}_{k}") for k in ("z", "dz", "x", "peer", "rate"))
-        w = lambda n: BY_TIME.rowsBetween(1 - n, 0)
+        w = lambda n: by_time().rowsBetween(1 - n, 0)
         share = lambda c, n: F.when(F.count(F.lit(1)).over(w(n)) == n, F.avg(flag(c).cast("double")).over(w(n)))
         whole = lambda c, n, e: F.when(F.count(c).over(w(n)) == n, e)
         third[f"{v}_f"] = F.struct(

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME
-from ..functions.scalar import flag, r6, ratio
+from ..functions.scalar import by_time, flag, r6, ratio
 from ..sources.tables import InvalidData, check_keys
 
-BY_TIME = Window.partitionBy(STATION).orderBy(TIME)
 BUFFER = 23
 #: Diagnoses by the fault that causes them, and their families.
 DIAGNOSIS_OF = {
@@ -59,11 +58,11 @@ def event_table(rows: DataFrame, predicted: str) -> DataFrame:
 
 def distance_to_anomaly(rows: DataFrame) -> DataFrame:
     """``anomaly_distance``: rows of the station to the nearest anomaly before or after; null if the station has none."""
-    pos = F.row_number().over(BY_TIME)
+    pos = F.row_number().over(by_time())
     numbered = rows.withColumn("_pos", pos)
     at = F.when(F.col("is_anomaly"), F.col("_pos"))
-    back = F.col("_pos") - F.last(at, ignorenulls=True).over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(BY_TIME.rowsBetween(0, Window.unboundedFollowing)) - F.col("_pos")
+    back = F.col("_pos") - F.last(at, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first(at, ignorenulls=True).over(by_time().rowsBetween(0, Window.unboundedFollowing)) - F.col("_pos")
     return numbered.withColumn("anomaly_distance", F.least(back, ahead)).drop("_pos")
 
 
@@ -122,7 +121,7 @@ def complementarity(rows: DataFrame, base: str, added: str) -> DataFrame:
     b, a = flag(F.col(base)), flag(F.col(added))
     anomaly = flag(F.col("is_anomaly"))
     events = rows.where("anomaly_id IS NOT NULL").groupBy("anomaly_id").agg(F.max(b.cast("int")).alias("b"), F.max(a.cast("int")).alias("a"))
-    by_event = events.agg(F.count("*").alias("events"), F.count_if("b = 1").alias("base_events"), F.count_if("b = 1 OR a = 1").alias("combined_events"), F.count_if("b = 0 AND a = 1").alias("added_events"))
+    by_event = events.agg(F.count("*").alias("events"), F.count_if(F.col("b") == 1).alias("base_events"), F.count_if((F.col("b") == 1) | (F.col("a") == 1)).alias("combined_events"), F.count_if((F.col("b") == 0) & (F.col("a") == 1)).alias("added_events"))
     by_row = rows.agg(F.count_if(a & anomaly & ~b).alias("added_tp"), F.count_if(a & ~anomaly & ~b).alias("added_fp"), F.count_if(b & anomaly).alias("base_tp"), F.count_if((a | b) & anomaly).alias("combined_tp"))
     return by_event.crossJoin(by_row)  # one row each
 
@@ -144,7 +143,7 @@ def threshold_candidates(scores: DataFrame, bounds: DataFrame, percents: tuple[f
     clean = scores.where(~flag(F.col("is_anomaly"))).agg(F.percentile("lstm_ae_score", at).alias("t"))
     calibrated = bounds.select(F.array("p95", "p99").alias("t"))
     every = everything.unionByName(clean).unionByName(calibrated)
-    return every.select(r6(F.explode("t")).alias("threshold")).where("threshold IS NOT NULL").distinct()
+    return every.select(F.explode("t").alias("t")).select(r6("t").alias("threshold")).where("threshold IS NOT NULL").distinct()
 
 
 def threshold_sweep(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -184,7 +183,7 @@ def two_cuts(rows: DataFrame, labels: list[str]) -> DataFrame:
     for c in labels:
         columns[f"{c}|anomaly"] = F.col(c).isin("anomaly", "critical")
         columns[f"{c}|suspicious"] = F.col(c).isin("suspicious", "anomaly", "critical")
-    long = long_methods(rows.withColumns(columns), [f"`{c}`" for c in columns] and list(columns), ["is_anomaly"])
+    long = long_methods(rows.withColumns(columns), list(columns), ["is_anomaly"])
     return metrics(long, "predicted", by=("method",)).withColumns({
         "strategy": F.split_part("method", F.lit("|"), F.lit(1)), "cut": F.split_part("method", F.lit("|"), F.lit(2))}).drop("method")
 
@@ -225,9 +224,6 @@ def diagnosis_summary(rows: DataFrame) -> DataFrame:
 def label_membership(rows: DataFrame) -> DataFrame:
     """One row for each row and event it belongs to, from the packed columns; unequal lengths are an error."""
     parts = {c: F.split(c, r"\|") for c in ("anomaly_id", "anomaly_type", "anomaly_variable", "anomaly_severity")}
-    sizes = [F.size(p) for p in parts.values()]
-    sound = (sizes[0] == sizes[1]) & (sizes[0] == sizes[2]) & (sizes[0] == sizes[3])
-    zipped = F.when(sound, F.arrays_zip(*(p.alias(c) for c, p in parts.items()))).otherwise(F.raise_error(F.lit("packed labels of unequal length")))
     packed = rows.where("anomaly_id IS NOT NULL").withColumns(parts)
     zipped = F.when(
         (F.size("anomaly_id") == F.size("anomaly_type")) & (F.size("anomaly_id") == F.size("anomaly_variable")) & (F.size("anomaly_id") == F.size("anomaly_severity")), F.arrays_zip(*parts))

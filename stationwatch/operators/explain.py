@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES, FusionConfig, ReconstructionConfig
-from ..functions.scalar import count_true, finite, r6
+from ..functions.scalar import by_time, count_true, finite, r6
 from ..sources.tables import InvalidData, check_keys
 from .fusion import ALERTS, severity_of_votes
-from .reconstruct import BY_TIME, modal_step, normalise, segments
+from .reconstruct import modal_step, normalise, segments
 
 #: What to do about each diagnosis.
 RECOMMENDATIONS = {
@@ -150,8 +150,8 @@ def attribute(obs: DataFrame, alerted: DataFrame, stats: DataFrame, model, backg
     chosen = alerted.select(STATION, TIME).orderBy(TIME, STATION).limit(budget.rows)
     rows = segments(normalise(obs, stats, config), modal_step(obs), config)
     reach = config.window - 1
-    near = F.collect_list(F.struct(TIME, *(F.col(f"{v}_z") for v in config.variables))).over(BY_TIME.rowsBetween(-reach, reach))
-    same = F.collect_list("segment").over(BY_TIME.rowsBetween(-reach, reach))
+    near = F.collect_list(F.struct(TIME, *(F.col(f"{v}_z") for v in config.variables))).over(by_time().rowsBetween(-reach, reach))
+    same = F.collect_list("segment").over(by_time().rowsBetween(-reach, reach))
     contexts = rows.select(STATION, TIME, near.alias("near"), F.size(F.array_distinct(same)).alias("parts")).join(F.broadcast(chosen), [STATION, TIME])
     samples = background.select(*(f"{v}_cells" for v in config.variables)).limit(budget.background).toPandas()
     earlier = np.stack([np.stack([np.stack(samples[f"{v}_cells"]) for v in config.variables], 2)])[0] if len(samples) else np.zeros((0, config.window, len(config.variables)))

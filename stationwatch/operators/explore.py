@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES
-from ..functions.scalar import flag, r6
+from ..functions.scalar import by_time, flag, r6
 
-BY_TIME = Window.partitionBy(STATION).orderBy(TIME)
 
 
 def profile(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
@@ -74,12 +73,12 @@ def first_rows(obs: DataFrame, n: int) -> DataFrame:
 def split_by_position(obs: DataFrame, share: float = 0.8) -> DataFrame:
     """``part``: train for the first rows of each station, test for the others."""
     n = F.count("*").over(Window.partitionBy(STATION))
-    return obs.withColumn("part", F.when(F.row_number().over(BY_TIME) <= F.floor(n * share), "train").otherwise("test"))
+    return obs.withColumn("part", F.when(F.row_number().over(by_time()) <= F.floor(n * share), "train").otherwise("test"))
 
 
 def window_labels(rows: DataFrame, size: int = 24) -> DataFrame:
     """Whole windows of ``size`` rows by station: whether they hold an anomaly and whether one is predicted (``predicted`` column)."""
-    ahead = BY_TIME.rowsBetween(0, size - 1)
+    ahead = by_time().rowsBetween(0, size - 1)
     found = rows.select(
         STATION, TIME, F.count("*").over(ahead).alias("n"), F.max(flag(F.col("is_anomaly")).cast("int")).over(ahead).alias("truth"), F.max(flag(F.col("predicted")).cast("int")).over(ahead).alias("hit"))
     return found.where(F.col("n") == size).groupBy("truth", "hit").agg(F.count("*").alias("windows"))
@@ -87,7 +86,7 @@ def window_labels(rows: DataFrame, size: int = 24) -> DataFrame:
 
 def latest_status(rows: DataFrame, index: int | None = None) -> DataFrame:
     """Each station's row at ``index`` (its newest if none): colour, agreeing detectors, readings."""
-    numbered = rows.withColumns({"idx": F.row_number().over(BY_TIME) - 1, "_n": F.count("*").over(Window.partitionBy(STATION))})
+    numbered = rows.withColumns({"idx": F.row_number().over(by_time()) - 1, "_n": F.count("*").over(Window.partitionBy(STATION))})
     here = numbered.where(F.col("idx") == (F.lit(index) if index is not None else F.col("_n") - 1))
     colour = F.when(F.col("final_alert"), "red").when(F.col("final_severity") == "suspicious", "yellow").otherwise("green")
     agreeing = F.array_join(F.array_compact(F.array(*(F.when(flag(F.col(a)), F.lit(a.removesuffix("_alert"))) for a in ("statistical_alert", "spatial_alert", "lstm_ae_alert")))), ",")
@@ -100,12 +99,12 @@ def status_counts(status: DataFrame) -> DataFrame:
 
 def alert_log(rows: DataFrame) -> DataFrame:
     """Suspicious and alerted rows, each once, with their index within the station."""
-    numbered = rows.withColumn("idx", F.row_number().over(BY_TIME) - 1)
+    numbered = rows.withColumn("idx", F.row_number().over(by_time()) - 1)
     return numbered.where((F.col("final_severity") != "normal")).select(STATION, TIME, "idx", "final_severity", "detector_votes").dropDuplicates([STATION, "idx"])
 
 
 def station_history(rows: DataFrame, station: str, until: int) -> DataFrame:
-    numbered = rows.where(F.col(STATION) == station).withColumn("idx", F.row_number().over(BY_TIME) - 1)
+    numbered = rows.where(F.col(STATION) == station).withColumn("idx", F.row_number().over(by_time()) - 1)
     return numbered.where(F.col("idx") <= until)
 
 

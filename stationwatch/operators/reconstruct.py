@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, ReconstructionConfig
-from ..functions.scalar import clip, flag, r6
+from ..functions.scalar import by_time, clip, flag, r6
 
-BY_TIME = Window.partitionBy(STATION).orderBy(TIME)
 GLOBAL = "__global__"
 
 
@@ -53,7 +52,7 @@ def normalise(obs: DataFrame, stats: DataFrame, config: ReconstructionConfig = R
 def modal_step(obs: DataFrame) -> DataFrame:
     """station_id, step: the commonest gap in seconds, the earliest seen of equals; an hour for a station of one row."""
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    gaps = obs.select(STATION, TIME, (at - F.lag(at).over(BY_TIME)).alias("gap"))
+    gaps = obs.select(STATION, TIME, (at - F.lag(at).over(by_time())).alias("gap"))
     counted = gaps.where("gap IS NOT NULL").groupBy(STATION, "gap").agg(F.count("*").alias("n"), F.min(TIME).alias("first"))
     best = counted.groupBy(STATION).agg(F.min_by("gap", F.struct(-F.col("n"), "first")).alias("step"))
     return obs.select(STATION).distinct().join(best, STATION, "left").select(STATION, F.coalesce("step", F.lit(3600)).cast("long").alias("step"))
@@ -62,10 +61,10 @@ def modal_step(obs: DataFrame) -> DataFrame:
 def segments(obs: DataFrame, steps: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
     """``segment`` counts the gaps so far that are longer than the tolerance; ``pos`` numbers the rows of a segment."""
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    gap = at - F.lag(at).over(BY_TIME)
+    gap = at - F.lag(at).over(by_time())
     rows = obs.join(F.broadcast(steps), STATION)  # a row for each station
     rows = rows.withColumn("_opens", flag(gap > F.col("step") * config.gap_tolerance).cast("long"))
-    rows = rows.withColumn("segment", F.sum("_opens").over(BY_TIME)).drop("_opens", "step")
+    rows = rows.withColumn("segment", F.sum("_opens").over(by_time())).drop("_opens", "step")
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(STATION, "segment").orderBy(TIME)) - 1)
 
 
@@ -164,7 +163,7 @@ def observation_scores(rebuilt: DataFrame, config: ReconstructionConfig = Recons
     return cells.groupBy(STATION, TIME).agg(
         F.count("*").alias("lstm_ae_coverage"),
         *(r6(gather(F.pow(F.col(f"c.{v}_cells") - F.col(f"c.{v}_rebuilt"), 2))).alias(f"{v}_lstm_ae_error") for v in config.variables),
-        *(r6(F.avg(f"c.{v}_rebuilt")).alias(f"_{v}_rebuilt") for v in config.variables))
+        *(F.avg(f"c.{v}_rebuilt").alias(f"_{v}_rebuilt") for v in config.variables))
 
 
 def score_of(config: ReconstructionConfig) -> Column:

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES, StatisticalConfig
-from ..functions.scalar import any_true, count_true, flag, r6, severity_score
+from ..functions.scalar import any_true, by_time, count_true, flag, r6, severity_score
 
-BY_TIME = Window.partitionBy(STATION).orderBy(TIME)
 FAMILIES = ("range", "roc", "level", "persistence")
 
 
 def calibrate(history: DataFrame, config: StatisticalConfig = StatisticalConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """station_id, hour, and for each variable the mean and the rate-of-change limit of that hour."""
     steps = history.select(
-        STATION, F.hour(TIME).alias("hour"), *variables, *(F.abs(F.col(v) - F.lag(v).over(BY_TIME)).alias(f"_{v}") for v in variables))
+        STATION, F.hour(TIME).alias("hour"), *variables, *(F.abs(F.col(v) - F.lag(v).over(by_time())).alias(f"_{v}") for v in variables))
     return steps.groupBy(STATION, "hour").agg(
         *(r6(F.avg(v)).alias(f"{v}_baseline") for v in variables), *(r6(F.percentile(f"_{v}", F.lit(config.roc_quantile))).alias(f"{v}_roc_limit") for v in variables))
 
@@ -30,11 +29,11 @@ def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = Statis
     windows = {}
     for v in variables:
         r = F.col(f"{v}_hourly_residual")
-        windows[f"{v}_rate_of_change"] = r6(F.abs(F.col(v) - F.lag(v).over(BY_TIME)))
+        windows[f"{v}_rate_of_change"] = r6(F.abs(F.col(v) - F.lag(v).over(by_time())))
         for w in config.windows:
-            past = BY_TIME.rowsBetween(-w, -1)
+            past = by_time().rowsBetween(-w, -1)
             windows[f"_{v}_{w}"] = F.struct(F.avg(r).over(past).alias("mean"), F.stddev_samp(r).over(past).alias("sd"), F.count(r).over(past).alias("n"))
-        recent = BY_TIME.rowsBetween(1 - config.persistence_rows, 0)
+        recent = by_time().rowsBetween(1 - config.persistence_rows, 0)
         windows[f"_{v}_recent"] = F.struct(F.stddev_samp(v).over(recent).alias("sd"), F.count(v).over(recent).alias("n"))
     out = residual.withColumns(windows)
     flags = {}

@@ -53,15 +53,15 @@ def before(df: DataFrame, cut: str) -> DataFrame:
 
 
 class Network:
-    """One test network with its calibrated tables; built lazily."""
+    """One test network with its calibrated tables. The raw table is reduced to observations once; all detectors read those."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, lines: bool, faults: bool = False):
         self.spark, self.lines = spark, lines
-        clean = tables.daily_lines(spark, sf_dir) if lines else tables.hourly_events(spark, sf_dir)
+        clean = tables.stage(tables.daily_lines(spark, sf_dir) if lines else tables.hourly_events(spark, sf_dir), "observations")
         self.clean, self.cut, self.config = clean, LINE_CUT if lines else EVENT_CUT, LINE_STAT if lines else EVENT_STAT
         self.history = before(clean, self.cut)
         self.graph = spatial.neighbours(places(spark, LINE_PLACES if lines else EVENT_PLACES), SPATIAL)
-        self.obs, self.log = inject.inject(clean, INJECT) if faults else (clean, None)
+        self.obs = tables.stage(inject.inject(clean, INJECT)[0], "faulty") if faults else clean
 
     def statistical(self) -> DataFrame:
         return statistical.detect(self.obs, statistical.calibrate(self.history, self.config), self.config)
@@ -76,7 +76,9 @@ class Network:
         return reconstruct.detect(self.obs, self.recon_tables(linear), RECON)
 
     def fused(self, linear: bool = False) -> DataFrame:
-        return fusion.vote(fusion.join_outputs(self.obs, self.statistical(), self.spatial(), self.reconstruction(linear)))
+        """The joined outputs are staged: evaluations aggregate them several times over."""
+        joined = fusion.join_outputs(self.obs, self.statistical(), self.spatial(), self.reconstruction(linear))
+        return fusion.vote(tables.stage(joined, "fused"))
 
 
 # ------------------------------------------------------------ parts of the SQL
@@ -584,7 +586,7 @@ def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("final_alert", F.col("statistical_alert") | F.col("spatial_alert")).where(F.col(TIME) >= F.lit(EVENT_CUT).cast(dict(rows.dtypes)[TIME]))
     reference = diagnosis.build_reference(net.history, net.graph)
     peers = {f"behavior_peer_{name}_{v}": F.col(f"{v}_spatial_{column}") for v in V for name, column in (("expected", "expected"), ("count", "neighbor_count"))}
-    return diagnosis.diagnose(rows.withColumns(peers), reference, check=False).drop(*peers)
+    return diagnosis.diagnose(tables.stage(rows.withColumns(peers), "alerted"), tables.stage(reference, "reference"), check=False).drop(*peers)
 
 
 @query(sql.with_(EV_HRES, sql.reference("ev_hres", "ref")) + "SELECT * FROM ref")

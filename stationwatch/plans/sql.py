@@ -177,7 +177,7 @@ def windows(obs: str, stats: str, name: str, config: ReconstructionConfig) -> Pa
 def mean_scores(win: str, name: str, config: ReconstructionConfig) -> Part:
     vs = config.variables
     cells = join(f"unnest({v}_cells) AS {v}_c, list_aggregate({v}_cells, 'avg') AS {v}_r" for v in vs)
-    errors = join([f"round(avg(pow({v}_c - {v}_r, 2)), 6) AS {v}_lstm_ae_error" for v in vs] + [f"round(avg({v}_r), 6) AS {v}_rebuilt" for v in vs])
+    errors = join([f"round(avg(pow({v}_c - {v}_r, 2)), 6) AS {v}_lstm_ae_error" for v in vs] + [f"avg({v}_r) AS {v}_rebuilt" for v in vs])
     total = join((f"{v}_lstm_ae_error" for v in vs), " + ")
     return [
         (f"{name}_c", f"SELECT station_id, unnest(times) AS timestamp, {cells} FROM {win}"), (f"{name}_e", f"SELECT station_id, timestamp, count(*) AS coverage, {errors} FROM {name}_c GROUP BY 1, 2"),
@@ -296,8 +296,8 @@ def distance(rows: str, name: str) -> Part:
     w = "OVER (PARTITION BY station_id ORDER BY timestamp"
     return [
         (f"{name}_p", f"SELECT *, row_number() {w}) AS rn FROM {rows}"),
-        (f"{name}_a", f"SELECT *, CASE WHEN is_anomaly THEN rn END AS at FROM {name}_p"),
-        (name, f"SELECT *, least(rn - last_value(at IGNORE NULLS) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(at IGNORE NULLS) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn) AS anomaly_distance FROM {name}_a"),
+        (f"{name}_a", f"SELECT *, CASE WHEN is_anomaly THEN rn END AS here FROM {name}_p"),
+        (name, f"SELECT *, least(rn - last_value(here IGNORE NULLS) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(here IGNORE NULLS) {w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - rn) AS anomaly_distance FROM {name}_a"),
     ]
 
 

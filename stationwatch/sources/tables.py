@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,21 @@ def load_tables(spark: SparkSession, path: str, variables: tuple[str, ...] = VAR
     return tables, manifest
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write into the folder that driver and executors share and read back: a reduction of the raw table is computed once, and survives lost executors.
+
+    The folder is ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary one is taken.
+    """
+    spark = df.sparkSession
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(path)
+    path = f"{path}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...]) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
