@@ -91,18 +91,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Arrow batches cut to about ``max_bytes`` of text each, so that temporary arrays stay small; one longer row is a slice of its own."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 512 << 10, max_rows: int = 1024
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Arrow batches cut to about ``max_bytes`` of text each, so that copies and temporary arrays stay small; one longer row is a slice of its own."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, offsets = utf8(batch.column(column))
-        first = 0
-        while first < batch.num_rows:
-            last = int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
-            yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-            first = last
+        for at in range(0, batch.num_rows, max_rows):
+            part = batch.slice(at, max_rows)
+            data, offsets = utf8(part.column(column))
+            first = 0
+            while first < part.num_rows:
+                last = int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1
+                last = min(max(last, first + 1), part.num_rows)
+                yield part.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                first = last
 
 
 # --------------------------------------------------------------------- hashing

@@ -39,6 +39,8 @@ CONFIRM_UP_TO = 22
 NEAREST = 4
 #: Members and bytes of sets in a block of a family.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Classes whose SLOTS keys each one task makes.
+CLASSES_A_TASK = 8192
 #: Ids are broadcast up to this count (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -240,7 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(
         nodes.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes"
     )
-    keys = index_keys(classes)
+    keys = index_keys(classes.repartition(max(1, -(-classes.count() // CLASSES_A_TASK))))
     crowded = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1").select("key", "leader")
     members = stage(keys.join(crowded, "key"), "members")
     first = members.where("leader <> rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
