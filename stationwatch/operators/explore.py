@@ -111,5 +111,5 @@ def station_history(rows: DataFrame, station: str, until: int) -> DataFrame:
 def traffic_light(rows: DataFrame, limits: dict[str, tuple[float, float, float, float]]) -> DataFrame:
     """Worst of the variables' lights: red outside the outer limits, yellow outside the inner ones."""
     grade = lambda v, a, b, c, d: F.when((F.col(v) < a) | (F.col(v) > d), 2).when((F.col(v) < b) | (F.col(v) > c), 1).otherwise(0)
-    worst = F.greatest(*(grade(v, *bounds) for v, bounds in limits.items()))
+    worst = F.greatest(F.lit(0), F.lit(0), *(grade(v, *bounds) for v, bounds in limits.items()))
     return rows.withColumn("light", F.element_at(F.array(F.lit("green"), F.lit("yellow"), F.lit("red")), worst + 1))
