@@ -20,6 +20,11 @@ def r6(value: Column | str) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, 6)
 
 
+def r4(value: Column | str) -> Column:
+    """Four decimals, for means of a few readings of six decimals: at six they would often stand on a tie, which engines break differently."""
+    return F.round(F.col(value) if isinstance(value, str) else value, 4)
+
+
 def is_finite(value: Column) -> Column:
     """True for a number that is neither null, NaN nor infinite."""
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))

@@ -27,7 +27,7 @@ def describe(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFram
 
 
 def daily_means(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
-    return obs.groupBy(STATION, F.date_trunc("day", TIME).alias("day")).agg(*(r6(F.avg(v)).alias(v) for v in variables))
+    return obs.groupBy(STATION, F.date_trunc("day", TIME).alias("day")).agg(*(F.avg(v).alias(v) for v in variables))
 
 
 def wide(obs: DataFrame, variable: str, stations: list[str]) -> DataFrame:

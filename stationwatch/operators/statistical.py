@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES, StatisticalConfig
-from ..functions.scalar import any_true, by_time, count_true, flag, r6, severity_score
+from ..functions.scalar import any_true, by_time, count_true, flag, r4, r6, severity_score
 
 FAMILIES = ("range", "roc", "level", "persistence")
 
@@ -16,7 +16,7 @@ def calibrate(history: DataFrame, config: StatisticalConfig = StatisticalConfig(
     steps = history.select(
         STATION, F.hour(TIME).alias("hour"), *variables, *(F.abs(F.col(v) - F.lag(v).over(by_time())).alias(f"_{v}") for v in variables))
     return steps.groupBy(STATION, "hour").agg(
-        *(r6(F.avg(v)).alias(f"{v}_baseline") for v in variables), *(r6(F.percentile(f"_{v}", F.lit(config.roc_quantile))).alias(f"{v}_roc_limit") for v in variables))
+        *(r4(F.avg(v)).alias(f"{v}_baseline") for v in variables), *(r6(F.percentile(f"_{v}", F.lit(config.roc_quantile))).alias(f"{v}_roc_limit") for v in variables))
 
 
 def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = StatisticalConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
@@ -44,7 +44,7 @@ def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = Statis
         for w in config.windows:
             past = F.col(f"_{v}_{w}")
             spread = F.when((past["n"] >= min(config.least_rows, w)) & (past["sd"] > 1e-9), past["sd"])
-            flags[f"{v}_zscore_{w}h"] = r6(F.abs((F.col(f"{v}_hourly_residual") - past["mean"]) / spread))
+            flags[f"{v}_zscore_{w}h"] = F.abs((F.col(f"{v}_hourly_residual") - past["mean"]) / spread)
         recent = F.col(f"_{v}_recent")
         flags[f"{v}_persistence_anomaly"] = flag((recent["n"] >= config.persistence_rows) & (recent["sd"] < config.persistence_tolerance))
     out = out.withColumns(flags).withColumns({f"{v}_zscore_{w}h_anomaly": flag(F.col(f"{v}_zscore_{w}h") > config.z_limit) for v in variables for w in config.windows})

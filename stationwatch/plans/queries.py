@@ -157,10 +157,6 @@ def hourly_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistical.calibrate(Network(spark, sf_dir, False).history, EVENT_STAT)
 
 
-def _stat(columns: list[str]) -> Callable[[Query], Query]:
-    return query(sql.with_(EV_STAT) + f"SELECT station_id, {S}, {sql.join(columns)} FROM ev_stat")
-
-
 RANGE = [f"{v}_range_anomaly" for v in V]
 RATES = [f"{v}_{k}" for v in V for k in ("rate_of_change", "roc_anomaly")]
 RESIDUALS = [f"{v}_hourly_residual" for v in V]
@@ -170,12 +166,13 @@ LADDER = [*(f"evidence_{f}" for f in statistical.FAMILIES), "statistical_flag_co
 
 
 def _statistical(columns: list[str]) -> Query:
-    return lambda spark, sf_dir: out(Network(spark, sf_dir, False).statistical(), STATION, TIME, *columns)
+    shown = lambda c: F.round(c, 4).alias(c) if c.endswith("h") else F.col(c)  # noqa: E731  deviations: engines' window sums differ beyond
+    return lambda spark, sf_dir: out(Network(spark, sf_dir, False).statistical(), STATION, TIME, *map(shown, columns))
 
 
 for _name, _columns in {"range_flags": RANGE, "rate_of_change": RATES, "hourly_residual": RESIDUALS, "rolling_zscore": SCORES, "persistence_flags": STUCK, "statistical_severity": LADDER}.items():
     QUERIES[_name] = _statistical(_columns)
-    ORACLES[_name] = sql.with_(EV_STAT) + f"SELECT station_id, {S}, {sql.join(_columns)} FROM ev_stat"
+    ORACLES[_name] = sql.with_(EV_STAT) + f"SELECT station_id, {S}, {sql.join(f'round({c}, 4) AS {c}' if c.endswith('h') else c for c in _columns)} FROM ev_stat"
 
 
 @query(sql.with_(EV_STAT) + " UNION ALL ".join(
@@ -670,9 +667,10 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------ exploration, dashboard
 
 
-@query(sql.with_(sql.EVENTS) + "SELECT station_id, strftime(date_trunc('day', timestamp), '%Y-%m-%d %H:%M:%S') AS day, " + sql.join(f"round(avg({v}), 6) AS {v}" for v in V) + " FROM ev GROUP BY 1, 2")
+@query(sql.with_(sql.EVENTS) + "SELECT station_id, strftime(date_trunc('day', timestamp), '%Y-%m-%d %H:%M:%S') AS day, round(avg(temperature), 4) AS temperature, round(avg(humidity), 4) AS humidity, round(avg(pressure), 6) AS pressure" + " FROM ev GROUP BY 1, 2")
 def daily_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(explore.daily_means(tables.hourly_events(spark, sf_dir)))
+    days = explore.daily_means(tables.hourly_events(spark, sf_dir))
+    return out(days, STATION, "day", *(F.round(v, 6 if v == "pressure" else 4).alias(v) for v in V))  # digits at which means of few readings seldom tie
 
 
 @query(sql.with_(sql.EVENTS) + " UNION ALL ".join(

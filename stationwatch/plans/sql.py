@@ -44,7 +44,7 @@ def history(obs: str, cut: str) -> Part:
 
 def hourly(hist: str, name: str, config: StatisticalConfig) -> Part:
     steps = join(f"abs({v} - lag({v}) OVER (PARTITION BY station_id ORDER BY timestamp)) AS d_{v}" for v in V)
-    columns = join(f"round(avg({v}), 6) AS {v}_baseline, round(quantile_cont(d_{v}, {config.roc_quantile}), 6) AS {v}_roc_limit" for v in V)
+    columns = join(f"round(avg({v}), 4) AS {v}_baseline, round(quantile_cont(d_{v}, {config.roc_quantile}), 6) AS {v}_roc_limit" for v in V)
     return [(f"{name}_steps", f"SELECT station_id, hour(timestamp) AS hour, {join(V)}, {steps} FROM {hist}"), (name, f"SELECT station_id, hour, {columns} FROM {name}_steps GROUP BY 1, 2")]
 
 
@@ -64,7 +64,7 @@ def statistical(obs: str, hours: str, name: str, config: StatisticalConfig) -> P
         low, high = config.ranges[v]
         flags += [f"{b(f'{v} < {low} OR {v} > {high}')} AS {v}_range_anomaly", f"{b(f'{v}_rate_of_change > {v}_roc_limit')} AS {v}_roc_anomaly",
                   f"{b(f'{v}_pn >= {n} AND {v}_ps < {config.persistence_tolerance}')} AS {v}_persistence_anomaly"]
-        flags += [f"CASE WHEN {v}_{k}_n >= {min(config.least_rows, k)} AND {v}_{k}_s > 1e-9 THEN round(abs(({v}_hourly_residual - {v}_{k}_m) / {v}_{k}_s), 6) END AS {v}_zscore_{k}h" for k in config.windows]
+        flags += [f"CASE WHEN {v}_{k}_n >= {min(config.least_rows, k)} AND {v}_{k}_s > 1e-9 THEN abs(({v}_hourly_residual - {v}_{k}_m) / {v}_{k}_s) END AS {v}_zscore_{k}h" for k in config.windows]
     z = join(f"{b(f'{v}_zscore_{k}h > {config.z_limit}')} AS {v}_zscore_{k}h_anomaly" for v in V for k in config.windows)
     family = {"range": [f"{v}_range_anomaly" for v in V], "roc": [f"{v}_roc_anomaly" for v in V],
               "level": [f"{v}_zscore_{k}h_anomaly" for v in V for k in config.windows], "persistence": [f"{v}_persistence_anomaly" for v in V]}
