@@ -49,28 +49,29 @@ def may_learn_from(doc_id: str = "doc_id") -> Column:
 # ------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge ``(a, b)``; component is the smallest node reachable.
 
-    Minimum labels travel along edges and then jump to their own label's label,
-    so that chains shorten by doubling; each round is a stage table.
+    All nodes of one label take the least label among their neighbours, or their
+    label's own label if that is less; so whole basins are hooked at once and
+    chains of labels shorten by doubling. Labels only fall, and where none does
+    every edge joins equal ones: the rounds go on until then, whatever their
+    number. Each round is a stage table.
     """
     both = stage(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "edges",
     )
     labels = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
+            .groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         )
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        hook = labels.join(near, "node").groupBy("label").agg(F.min("near").alias("hook"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stage(
-            lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")),
-            "labels",
-        )
+        lower = hook.join(jump, "label").select("label", F.least("label", "hook", "further").alias("new"))
+        new = stage(labels.join(lower, "label").select("node", F.col("label").alias("old"), F.col("new").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("label < old").isEmpty():
             break
