@@ -3,9 +3,13 @@
 Each pass orders all vectors by KEY_BITS concatenated sign bits of random
 projections and compares every vector with its WINDOW successors, in blocks of
 ranks that carry the next block's first rows along. Pairs are judged by their
-exact cosine. Equal vectors become one class first. Where more than WINDOW
-vectors share a whole key, the window can't reach all of them: there the rest of
-the cell is compared in pairs of blocks. A pair counts in the first pass that
+exact cosine. Equal vectors become one class first. Vectors that share a key's
+first bits are a cell; where a cell holds more than WINDOW vectors, the window
+can't reach all of them: there the rest of the cell is compared in pairs of
+blocks. So any two vectors of one cell are compared, however crowded it is, and
+the number of passes is the one at which two vectors at the least cosine share a
+cell of some pass with probability RECALL. How many bits make a cell follows the
+table: the length for which passes and cell sizes cost least. A pair counts in the first pass that
 compares it, which both vectors' ranks and keys tell, so degrees add up over
 tasks and no pair is written; only a spanning label for each vector is.
 """
@@ -23,8 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import components, stage
 
+#: PASSES is the least number; more are made where RECALL needs them.
 PASSES, KEY_BITS, WINDOW, BLOCK = 12, 24, 64, 512
 COSINE = 0.95
+#: The share of pairs at exactly the least cosine that are compared; closer pairs are compared more surely.
+RECALL = 0.999
 
 
 def _projections(dim: int, passes: int) -> np.ndarray:
@@ -57,8 +64,27 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("x"), stage(classes, "classes")
 
 
-def _ranked(classes: DataFrame, passes: int) -> DataFrame:
-    """The classes with their key and their rank in every pass; ranks run on over the passes."""
+def passes_for(bits: int, cosine: float) -> int:
+    """The passes after which two vectors at this cosine shared the first ``bits`` signs of a key with probability RECALL."""
+    both = (1 - np.arccos(min(max(cosine, -1.0), 1.0)) / np.pi) ** bits
+    return int(np.ceil(np.log1p(-RECALL) / np.log1p(-both))) if 0 < both < 1 else 1
+
+
+def _cells(classes: DataFrame, least: int, cosine: float) -> tuple[int, int]:
+    """(bits of a cell, passes) that copy the fewest rows: in each pass a row goes to about two windows and to every block of its cell."""
+    if cosine <= -1:
+        raise ValueError("every pair has this cosine")
+    counts = stage(_keyed(classes, 1).groupBy("dim", "key").agg(F.count("*").alias("n")), "cells")
+    cells = counts.select("dim", "n", "key", F.explode(F.sequence(F.lit(1), F.lit(KEY_BITS))).alias("bits"))
+    cells = cells.groupBy("dim", "bits", F.expr(f"shiftright(key, {KEY_BITS} - bits)").alias("cell")).agg(F.sum("n").cast("double").alias("n"))
+    crowd = cells.groupBy("bits").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).collect()  # KEY_BITS rows
+    cost = {r["bits"]: max(least, passes_for(r["bits"], cosine)) * (2 + r["pairs"] / r["n"] / BLOCK) for r in crowd}
+    bits = min(cost, key=lambda b: (cost[b], b), default=KEY_BITS)
+    return bits, max(least, passes_for(bits, cosine)) if cost else least
+
+
+def _keyed(classes: DataFrame, passes: int) -> DataFrame:
+    """(k1, k2, dim, pass, key) of every class and pass."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(KEY_BITS - 1, -1, -1)
@@ -70,7 +96,9 @@ def _ranked(classes: DataFrame, passes: int) -> DataFrame:
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 x = np.frombuffer(b"".join(batch.column("x")[int(i)].as_py() for i in rows), np.float64).reshape(len(rows), -1)
-                out[rows] = ((x @ _projections(int(dim), passes).T > 0).reshape(len(rows), passes, KEY_BITS) * weights).sum(2)
+                normals = _projections(int(dim), passes)
+                for t in range(passes):  # signs of one pass at a time
+                    out[rows, t] = (x @ normals[t * KEY_BITS : (t + 1) * KEY_BITS].T > 0) @ weights
             n = batch.num_rows
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
             yield pa.RecordBatch.from_pydict({
@@ -78,13 +106,18 @@ def _ranked(classes: DataFrame, passes: int) -> DataFrame:
                 "pass": np.tile(np.arange(passes, dtype=np.int32), n), "key": out.reshape(-1),
             })
 
+    return classes.select("k1", "k2", "dim", "x").mapInArrow(keys, "k1 long, k2 long, dim int, pass int, key long")
+
+
+def _ranked(classes: DataFrame, passes: int, bits: int) -> DataFrame:
+    """The classes with their cell and their rank in every pass; ranks go by whole keys and run on over the passes."""
     order = ["dim", "pass", "key", "k1", "k2"]
-    rows = classes.select("k1", "k2", "dim", "x").mapInArrow(keys, "k1 long, k2 long, dim int, pass int, key long")
+    rows = _keyed(classes, passes)
     rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "keys")
     rows = rows.withColumns({"part": F.shiftright("place", 33), "place": F.col("place").bitwiseAND((1 << 33) - 1)})
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = rows.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    ranks = rows.join(offsets, "part").select("k1", "k2", "dim", F.struct("pass", (F.col("place") + F.col("offset")).alias("rank"), "key").alias("at"))
+    ranks = rows.join(offsets, "part").select("k1", "k2", "dim", F.struct("pass", (F.col("place") + F.col("offset")).alias("rank"), F.shiftright("key", KEY_BITS - bits).alias("key")).alias("at"))
     ranks = ranks.groupBy("k1", "k2", "dim").agg(F.array_sort(F.collect_list("at")).alias("at"))
     return stage(classes.join(ranks, ["k1", "k2", "dim"]).select("rep", "n", "dim", "x", F.col("at.rank").alias("ranks"), F.col("at.key").alias("keys")), "ranked")
 
@@ -133,10 +166,11 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, passes: i
     Vectors that are null, empty, zero or hold null or non-finite numbers link
     with nothing, as do vectors of different lengths with each other. A null
     vec_id takes part in nothing: no links, a null component, kept. Repeated
-    rows are copies of one another.
+    rows are copies of one another. ``passes`` is the least number of passes.
     """
     rows, classes = _classes(vectors)
-    ranked = _ranked(classes, passes)
+    bits, passes = _cells(classes, passes, cosine)
+    ranked = _ranked(classes, passes, bits)
     each = ranked.select("*", F.posexplode("ranks").alias("pass", "rank")).withColumn("key", F.get("keys", F.col("pass")))
     columns = ["dim", "pass", "rep", "n", "x", "ranks", "keys", "rank"]
 

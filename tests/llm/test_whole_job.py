@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from stationwatch.llm import common
+from stationwatch.llm import common, embed_dedup
 
 
 def test_long_chains_are_one_component(spark):
@@ -11,3 +11,22 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(ids, ids[1:])] + [(2000, 2001)], "a long, b long")
     found = {r.node: r.component for r in common.components(edges).collect()}
     assert found == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000}
+
+
+def test_embedding_recall_in_a_crowd(spark):
+    """Pairs near the least cosine inside one dense cluster of 4000 vectors; windows of fixed passes met only part of them."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=32)
+    x = centre / np.linalg.norm(centre) * 2 + rng.normal(size=(4000, 32)) / 32**0.5
+    x[2000:] = x[:2000] + 0.32 * np.linalg.norm(x[:2000], axis=1)[:, None] * rng.normal(size=(2000, 32)) / 32**0.5
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    truth = int((unit @ unit.T >= 0.95).sum()) - len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in embed_dedup.near_duplicate_vectors(df).collect())
+    assert truth > 2000 and 0.995 * truth <= found <= truth
+
+
+def test_embedding_passes_follow_the_cells():
+    for bits in (1, 8, 16, 24):
+        shared = (1 - np.arccos(0.95) / np.pi) ** bits
+        assert 1 - (1 - shared) ** embed_dedup.passes_for(bits, 0.95) >= embed_dedup.RECALL
