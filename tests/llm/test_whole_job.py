@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from stationwatch.llm import common, embed_dedup
+from stationwatch.llm import common, embed_dedup, secrets
 
 
 def test_long_chains_are_one_component(spark):
@@ -30,3 +30,16 @@ def test_embedding_passes_follow_the_cells():
     for bits in (1, 8, 16, 24):
         shared = (1 - np.arccos(0.95) / np.pi) ** bits
         assert 1 - (1 - shared) ** embed_dedup.passes_for(bits, 0.95) >= embed_dedup.RECALL
+
+
+def test_keys_deep_inside_a_candidate_are_found():
+    """A key after the 48th character of its candidate, and one beside a pattern's finding."""
+    made, truth = secrets.generated_findings(1500)
+    network = secrets.train_network(np.frombuffer(b"".join(secrets.encode(*r) for r in made), np.uint8).reshape(1500, -1), truth)
+    key, path = "Zq8Xv2Lk9TbW4nRc7JfY1mHd6PsG3aKe", "/home/letters/reading/station/weather/records/daily/"
+    assert len(path) > secrets.INSIDE
+    deep, beside, plain = f"see {path}{key} for it", f"use AKIA{'A1B2' * 5}/{key} now", f"see {path}page12.html for it"
+    found = secrets.find_all([deep, beside, plain, None], network)
+    assert found[0] == [("cnn", 4, 4 + len(path) + len(key))]
+    assert [s[0] for s in found[1]] == ["access", "cnn"] and found[1][1][2] == beside.index(key) + len(key)
+    assert found[2] == found[3] == []
