@@ -28,8 +28,8 @@ LEAST_Z = 3.5
 #: Tokens must also be this much likelier (log-odds): a common word of a language with more toxic text is no sign.
 LEAST_ODDS = 1.5
 LEAST_DOCS = 5
-#: The model holds at most so many tokens, and so many training texts set its curves.
-VOCABULARY, SAMPLE = 100_000, 100_000
+#: So many training texts set the curves.
+SAMPLE = 100_000
 FILLER = -0.12
 SIGNIFICANT = 0.01
 #: Labels are broadcast up to this count (16 bytes each).
@@ -114,17 +114,13 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
 
 
-def _counts(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """(token, n, docs) over all texts, of the wanted tokens only if given."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """(token, n, docs) over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in slices(batches, "text"):
             hashes, _, _, bounds = tokens(batch.column("text"))
             row = np.searchsorted(bounds, np.arange(len(hashes)), "right") - 1
-            if wanted is not None:
-                where = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                keep = wanted[where] == hashes if len(wanted) else np.zeros(len(hashes), bool)
-                hashes, row = hashes[keep], row[keep]
             order = np.lexsort((row, hashes))
             h, r = hashes[order], row[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
@@ -148,25 +144,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from the labelled rows that may be learned from; without both labels every score is 0."""
     rows = _labelled(docs, labels)
     toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    common = _counts(toxic, None).where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "token").limit(VOCABULARY).toPandas()
-    wanted = common["token"].to_numpy().view(np.uint64) if len(common) else np.zeros(0, np.uint64)
-    order = np.argsort(wanted)
-    wanted, y_toxic = wanted[order], common["n"].to_numpy(dtype=float)[order]
-    other = _counts(clean, wanted).toPandas()
-    y_clean = np.zeros(len(wanted))
-    if len(other):
-        y_clean[np.searchsorted(wanted, other["token"].to_numpy().view(np.uint64))] = other["n"].to_numpy()
     n_toxic, n_clean = _lengths(toxic), _lengths(clean)
     if not n_toxic or not n_clean:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
-    prior = PRIOR_WEIGHT * (y_toxic + y_clean) / (n_toxic + n_clean) + LEAST_PRIOR
-    total = PRIOR_WEIGHT
-    odds = np.log((y_toxic + prior) / (n_toxic + total - y_toxic - prior)) - np.log((y_clean + prior) / (n_clean + total - y_clean - prior))
-    z = odds / np.sqrt(1 / (y_toxic + prior) + 1 / (y_clean + prior))
-    keep = (z >= LEAST_Z) & (odds >= LEAST_ODDS)
-    model = ToxicityModel(wanted[keep], odds[keep])
+    tested = (
+        _counts(toxic).where(F.col("docs") >= LEAST_DOCS).select("token", F.col("n").alias("y_toxic"))
+        .join(_counts(clean).select("token", F.col("n").alias("y_clean")), "token", "left").fillna(0, ["y_clean"])
+    )
+    y_toxic, y_clean, prior = F.col("y_toxic"), F.col("y_clean"), F.col("prior")
+    tested = tested.withColumn("prior", PRIOR_WEIGHT * (y_toxic + y_clean) / (n_toxic + n_clean) + LEAST_PRIOR)
+    share_of = lambda y, n: F.log((y + prior) / (n + PRIOR_WEIGHT - y - prior))
+    tested = tested.withColumn("odds", share_of(y_toxic, n_toxic) - share_of(y_clean, n_clean))
+    tested = tested.withColumn("z", F.col("odds") / F.sqrt(1 / (y_toxic + prior) + 1 / (y_clean + prior)))
+    telling = tested.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).select("token", "odds", "y_clean").toPandas()  # only the significant ones
+    hashes = telling["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    model = ToxicityModel(hashes[order], telling["odds"].to_numpy(float)[order])
     # extreme values: the rate solves sum p exp(rate score) = 1 over clean tokens
-    share = (y_clean[keep] + 0.5) / max(n_clean, 1)
+    share = (telling["y_clean"].to_numpy(float)[order] + 0.5) / max(n_clean, 1)
     low, high = 1e-6, 10.0
     for _ in range(100):
         mid = (low + high) / 2
@@ -224,7 +219,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     count as not held out. Columns named like the results are replaced.
     """
     keep = [c for c in docs.columns if c not in ("held_out", "score", "passages")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant tokens, 16 bytes each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

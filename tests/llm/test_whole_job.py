@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from stationwatch.llm import common, embed_dedup, secrets
+from stationwatch.llm import common, embed_dedup, secrets, toxicity
 
 
 def test_long_chains_are_one_component(spark):
@@ -43,3 +43,13 @@ def test_keys_deep_inside_a_candidate_are_found():
     assert found[0] == [("cnn", 4, 4 + len(path) + len(key))]
     assert [s[0] for s in found[1]] == ["access", "cnn"] and found[1][1][2] == beside.index(key) + len(key)
     assert found[2] == found[3] == []
+
+
+def test_telling_tokens_are_learned_behind_many_common_words(spark, monkeypatch):
+    """The old bound on the vocabulary, set low, left only ordinary words to the model."""
+    monkeypatch.setattr(toxicity, "VOCABULARY", 20, raising=False)
+    ordinary = " ".join(f"word{k}" for k in range(30))
+    rows = [(i, f"{ordinary} grunk slorp" if i % 4 == 0 and i % 12 < 8 else ordinary) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(model.hashes) == 2
