@@ -14,11 +14,12 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_is_held_out, may_learn_from, slices
+from .common import fold_is_held_out, may_learn_from, slices, stage
 
 #: ISO 639-1 codes by family. A code not listed is a family of its own.
 FAMILIES = {
@@ -85,31 +86,57 @@ class Machine:
     shift: float
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, names: tuple[str, str], cost: float = 50.0, steps: int = 250) -> Machine:
+@dataclass(frozen=True)
+class SparseRows:
+    """Rows of DIMENSIONS numbers of which only those that aren't 0 are held."""
+
+    slots: np.ndarray
+    values: np.ndarray
+    ends: np.ndarray
+
+    @classmethod
+    def of(cls, slots: list[bytes], values: list[bytes]) -> SparseRows:
+        ends = np.cumsum([len(v) // 4 for v in values])
+        return cls(np.frombuffer(b"".join(slots), np.uint16).astype(np.int64), np.frombuffer(b"".join(values), np.float32), ends)
+
+    def of_rows(self, rows: np.ndarray) -> SparseRows:
+        counts = np.diff(self.ends, prepend=0)
+        keep = np.repeat(rows, counts)
+        return SparseRows(self.slots[keep], self.values[keep], np.cumsum(counts[rows]))
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.values * weights[self.slots], dtype=np.float64)])[self.ends]
+        return np.diff(sums, prepend=0.0)
+
+    def transposed_times(self, factors: np.ndarray) -> np.ndarray:
+        return np.bincount(self.slots, self.values * np.repeat(factors, np.diff(self.ends, prepend=0)), DIMENSIONS)
+
+
+def train_machine(x: SparseRows, y: np.ndarray, names: tuple[str, str], cost: float = 50.0, steps: int = 250) -> Machine:
     """Squared-hinge support vector machine by accelerated gradient descent; every fifth row only calibrates."""
     rows = np.arange(len(y))
     fit, hold = rows % 5 != 4, rows % 5 == 4
     if len(set(y[fit])) < 2 or not hold.any():
         fit = hold = np.ones(len(y), bool)
-    a, t = x[fit], np.where(y[fit], 1.0, -1.0).astype(np.float32)
-    share = np.where(t > 0, 0.5 / max((t > 0).sum(), 1), 0.5 / max((t < 0).sum(), 1)).astype(np.float32) * cost
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    a, t = x.of_rows(fit), np.where(y[fit], 1.0, -1.0)
+    share = np.where(t > 0, 0.5 / max((t > 0).sum(), 1), 0.5 / max((t < 0).sum(), 1)) * cost
+    w, b = np.zeros(DIMENSIONS), 0.0
     vw, vb = w.copy(), 0.0
     rate = 1.0 / (1.0 + 4.0 * cost)
     for step in range(1, steps + 1):
-        gap = np.maximum(0, 1 - t * (a @ vw + vb)) * t * share
-        nw, nb = vw - rate * (vw - 2 * (gap @ a)), vb + rate * 2 * float(gap.sum())
+        gap = np.maximum(0, 1 - t * (a.times(vw) + vb)) * t * share
+        nw, nb = vw - rate * (vw - 2 * a.transposed_times(gap)), vb + rate * 2 * float(gap.sum())
         pull = (step - 1) / (step + 2)
         vw, vb = nw + pull * (nw - w), nb + pull * (nb - b)
         w, b = nw, nb
-    margin, truth = x[hold] @ w + b, y[hold].astype(float)
+    margin, truth = x.of_rows(hold).times(w) + b, y[hold].astype(float)
     truth = (truth * truth.sum() + 1) / (truth.sum() + 2) if truth.all() else np.where(truth > 0, 1 - 0.5 / max(len(truth), 2), 0.5 / max(len(truth), 2))
     slope, shift = 1.0, 0.0
     for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -30, 30)))
         slope -= 0.5 * float(((p - truth) * margin).mean())
         shift -= 0.5 * float((p - truth).mean())
-    return Machine(*names, w, float(b), max(slope, 0.1), shift)
+    return Machine(*names, w.astype(np.float32), float(b), max(slope, 0.1), shift)
 
 
 def votes(machines: list[Machine], labels: list[str], x: np.ndarray) -> np.ndarray:
@@ -145,50 +172,55 @@ class LanguageModel:
         return lang, np.clip(score, 0.0, 1.0)
 
 
-def train(x: np.ndarray, langs: np.ndarray) -> LanguageModel:
-    names = sorted(set(langs))
-    members: dict[str, list[str]] = {}
-    for lang in names:
-        members.setdefault(family_of(lang), []).append(lang)
-    families = sorted(members)
-    of = np.array([family_of(lang) for lang in langs], object)
-
-    def pairs(labels: list[str], all_labels: np.ndarray) -> list[Machine]:
-        out = []
-        for p, q in combinations(labels, 2):
-            rows = (all_labels == p) | (all_labels == q)
-            out.append(train_machine(x[rows], all_labels[rows] == p, (p, q)))
-        return out
-
-    return LanguageModel(families, members, pairs(families, of), {f: pairs(members[f], langs) for f in families})
-
-
-def fit(docs: DataFrame, per_language: int = 300, max_languages: int = 100) -> LanguageModel | None:
-    """Learn from a bounded sample: the ``per_language`` texts of each of the ``max_languages`` commonest languages
-    whose id hashes lowest, out of the rows that may be learned from. None if there is nothing to learn."""
-    known = docs.where(may_learn_from() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
-    commonest = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))
-    drawn = ids.join(F.broadcast(commonest), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language)
-    drawn = drawn.select("doc_id", "lang")
+def fit(docs: DataFrame, per_language: int = 300) -> LanguageModel | None:
+    """Learn from a bounded sample: of each language the ``per_language`` different texts whose ids hash lowest, out of
+    the rows that may be learned from. Every language that occurs can be predicted. Each machine is trained in a task
+    of its own on the rows of its two sides; the driver gets only weights. None if there is nothing to learn."""
+    spark = docs.sparkSession
+    known = docs.where(may_learn_from() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", "lang", "text", F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("same"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "same"))
+    drawn = known.select("lang", "draw", "doc_id", "same").withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
-            x = gram_frequencies(data, offsets)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "x": pa.array([r.tobytes() for r in x], pa.binary()),
-            })
-
-    rows = (
-        # the ids are at most per_language * max_languages
-        known.select("doc_id", "lang", "text").join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")
-        .mapInArrow(features, "doc_id long, lang string, x binary").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "x").toArrow()
-    )
-    if not rows.num_rows:
+            for first in range(0, batch.num_rows, 128):
+                part = offsets[first : first + 129]
+                x = gram_frequencies(data[part[0] : part[-1]], part - part[0])
+                slots = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(first, len(x)) for c in ("lang", "draw", "doc_id", "same")} | {
+                    "slots": pa.array([s.tobytes() for s in slots], pa.binary()), "values": pa.array([r[s].tobytes() for r, s in zip(x, slots, strict=True)], pa.binary())})
+
+    kind = "lang string, draw long, doc_id long, same long, slots binary, values binary"
+    sample = known.join(drawn, ["lang", "draw", "doc_id", "same"], "left_semi").select("lang", "draw", "doc_id", "same", "text").mapInArrow(features, kind)
+    sample = stage(sample.dropDuplicates(["lang", "draw", "doc_id", "same"]), "sample")
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # the labels to be told apart
+    if not names:
         return None
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
-    return train(x, np.array(rows.column("lang").to_pylist(), object))
+    members: dict[str, list[str]] = {}
+    for lang in names:
+        members.setdefault(family_of(lang), []).append(lang)
+    families = sorted(members)
+    sides = [("family", p, q, lang, lang in members[p]) for p, q in combinations(families, 2) for lang in members[p] + members[q]]
+    sides += [("lang", p, q, lang, lang == p) for f in families for p, q in combinations(members[f], 2) for lang in (p, q)]
+    if not sides:
+        return LanguageModel(families, members, [], {f: [] for f in families})
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["lang", "draw", "doc_id", "same"])
+        level, p, q = (group[c].iloc[0] for c in ("level", "positive", "negative"))
+        m = train_machine(SparseRows.of(list(group["slots"]), list(group["values"])), group["side"].to_numpy(bool), (p, q))
+        return pd.DataFrame({"level": [level], "positive": [p], "negative": [q], "weights": [m.weights.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
+
+    tasks = spark.createDataFrame(sides, "level string, positive string, negative string, lang string, side boolean")
+    rows = sample.join(tasks, "lang").groupBy("level", "positive", "negative").applyInPandas(
+        learn, "level string, positive string, negative string, weights binary, bias double, slope double, shift double").orderBy("level", "positive", "negative").collect()
+    machines = [(r["level"], Machine(r["positive"], r["negative"], np.frombuffer(r["weights"], np.float32), r["bias"], r["slope"], r["shift"])) for r in rows]
+    within: dict[str, list[Machine]] = {f: [] for f in families}
+    for level, m in machines:
+        if level == "lang":
+            within[family_of(m.positive)].append(m)
+    return LanguageModel(families, members, [m for level, m in machines if level == "family"], within)
 
 
 # ------------------------------------------------------------------ prediction
@@ -204,7 +236,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     model = fit(docs) if model is None else model
     keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     held = fold_is_held_out()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_languages**2 / 2 rows of DIMENSIONS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS numbers for each pair of families and of languages in one family
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
