@@ -237,7 +237,7 @@ def test_tool_calls(spark):
     order = [(r.turn, r.part) for r in sorted((r for r in found if r.conv_id == 3), key=lambda r: r.place)]
     assert order == [(0, 1), (1, 0), (0, 0), (2, 0)]
     assert json.loads(next(r.message for r in found if r.conv_id == 1 and r.turn == 3))["content"] == '{"a":2,"b":1}'
-    assert len([r for r in found if r.conv_id == 4]) == 4
+    assert [r.status for r in found if r.conv_id == 4 and r.kind == "call"] == ["cyclic"] * 2 and len([r for r in found if r.conv_id == 4]) == 4
     assert chat.link(df.where("false")).count() == 0 and chat.link(df.where("conv_id = 2")).count() == 2
 
 
