@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_is_held_out, may_learn_from, prefix_hash, slices, span_hash, utf8, word_bounds
+from .common import fold_is_held_out, may_learn_from, prefix_hash, slices, span_hash, stage, utf8, word_bounds
 
 PRIOR_WEIGHT = 500.0
 #: Added to each token's share of the prior, so that one that clean texts never show has a bounded variance.
@@ -27,13 +27,12 @@ LEAST_PRIOR = 0.5
 LEAST_Z = 3.5
 #: Tokens must also be this much likelier (log-odds): a common word of a language with more toxic text is no sign.
 LEAST_ODDS = 1.5
-LEAST_DOCS = 5
-#: So many training texts set the curves.
-SAMPLE = 100_000
+#: One learnable document in so many is kept back from the tokens, to set the curves; at most SAMPLE of those.
+KEPT_BACK, SAMPLE = 4, 100_000
 FILLER = -0.12
 SIGNIFICANT = 0.01
-#: Labels are broadcast up to this count (16 bytes each).
-BROADCAST_LABELS = 2_000_000
+#: Labels are broadcast up to this count (some 120 bytes each as a hash table).
+BROADCAST_LABELS = 200_000
 
 _SEPARATOR = np.ones(256, bool)
 for _first, _last in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -52,23 +51,23 @@ def segments(at: np.ndarray, gain: np.ndarray, filler: float = FILLER) -> list[t
 
     The scan keeps candidates with the cumulative score before and after each;
     a new one joins back to the last candidate that starts lower and ends lower.
+    Each candidate knows the last one before it that starts lower, so the search
+    jumps over those in between and the scan is linear.
     """
-    kept: list[list[float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, score before and after, candidate that starts lower
     total, previous = 0.0, -1
     for place, score in zip(at.tolist(), gain.tolist(), strict=True):
         total += filler * (place - previous - 1)
-        new = [place, place, total, total + score]
+        first, low = place, total
         total, previous = total + score, place
-        while True:
-            k = len(kept) - 1
-            while k >= 0 and kept[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or kept[k][3] >= new[3]:
-                kept.append(new)
-                break
-            new = [kept[k][0], new[1], kept[k][2], new[3]]
-            del kept[k:]
-    return [(int(a), int(b), high - low) for a, b, low, high in kept]
+        k = len(kept) - 1
+        while k >= 0 and kept[k][2] >= low:
+            k = kept[k][4]
+        while k >= 0 and kept[k][3] < total:
+            first, low, k, size = kept[k][0], kept[k][2], kept[k][4], k
+            del kept[size:]
+        kept.append((first, place, low, total, k))
+    return [(first, last, high - low) for first, last, low, high, _ in kept]
 
 
 @dataclass
@@ -108,80 +107,94 @@ class ToxicityModel:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the rows that may be learned from; a document with several labels is toxic if one says so."""
+    """draw, text, toxic, kept_back of the rows that may be learned from; a document with several labels is toxic if one says so."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(may_learn_from())
     few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+    draw = F.xxhash64("doc_id")
+    return rows.select(draw.alias("draw"), "text", F.col("toxic").cast("int").alias("toxic"), (F.pmod(draw, F.lit(KEPT_BACK)) == 0).alias("kept_back"))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(token, n, docs) over all texts."""
+    """One row for each token: texts that hold it (d) and occurrences in clean ones (n), by label and over all rows and those not kept back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in slices(batches, "text"):
             hashes, _, _, bounds = tokens(batch.column("text"))
+            if not len(hashes):
+                continue
+            kind = batch.column("toxic").to_numpy() * 2 + batch.column("kept_back").to_numpy(zero_copy_only=False)
             row = np.searchsorted(bounds, np.arange(len(hashes)), "right") - 1
-            order = np.lexsort((row, hashes))
+            order = np.lexsort((row, kind[row], hashes))
             h, r = hashes[order], row[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            pair = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(first, len(h)))
-            docs = np.add.reduceat(pair, first) if len(first) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"token": h[first].view(np.int64), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
-
-    return rows.select("text").mapInArrow(count, "token long, n long, docs long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-
-
-def _lengths(rows: DataFrame) -> int:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches, "text"):
-            yield pa.RecordBatch.from_pydict({"n": [len(word_bounds(data, offsets, _SEPARATOR)[0])]})
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])])
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (kind[r[1:]] != kind[r[:-1]])]))
+            yield pa.RecordBatch.from_pydict({
+                "token": h[first].view(np.int64), "toxic": pa.array(kind[r[first]] // 2, pa.int32()), "kept_back": pa.array(kind[r[first]] % 2 == 1),
+                "n": pa.array(np.diff(np.append(first, len(h))), pa.int64()), "d": pa.array(np.add.reduceat(new.astype(np.int64), first), pa.int64())})
 
-    return rows.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = rows.select("text", "toxic", "kept_back").mapInArrow(count, "token long, toxic int, kept_back boolean, n long, d long")
+    some = lambda what, toxic, part: F.sum(F.when((F.col("toxic") == toxic) & (F.lit(part == "all") | ~F.col("kept_back")), F.col(what)).otherwise(0))
+    return found.groupBy("token").agg(*(some("d", toxic, part).alias(f"{name}_{part}") for toxic, name in ((1, "toxic"), (0, "clean")) for part in ("all", "fit")),
+                                      *(some("n", 0, part).alias(f"n_{part}") for part in ("all", "fit")))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Learn from the labelled rows that may be learned from; without both labels every score is 0."""
-    rows = _labelled(docs, labels)
-    toxic, clean = rows.where("toxic = 1"), rows.where("toxic = 0")
-    n_toxic, n_clean = _lengths(toxic), _lengths(clean)
+def _tokens(counts: DataFrame, totals: dict[str, int], part: str) -> ToxicityModel:
+    """The significant tokens of a part with their log-odds; texts count a token once, so none is significant by one text's repetitions."""
+    y_toxic, y_clean, prior = F.col(f"toxic_{part}"), F.col(f"clean_{part}"), F.col("prior")
+    n_toxic, n_clean = totals[f"toxic_{part}"], totals[f"clean_{part}"]
     if not n_toxic or not n_clean:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
-    tested = (
-        _counts(toxic).where(F.col("docs") >= LEAST_DOCS).select("token", F.col("n").alias("y_toxic"))
-        .join(_counts(clean).select("token", F.col("n").alias("y_clean")), "token", "left").fillna(0, ["y_clean"])
-    )
-    y_toxic, y_clean, prior = F.col("y_toxic"), F.col("y_clean"), F.col("prior")
-    tested = tested.withColumn("prior", PRIOR_WEIGHT * (y_toxic + y_clean) / (n_toxic + n_clean) + LEAST_PRIOR)
+    tested = counts.where(y_toxic > 0).withColumn("prior", PRIOR_WEIGHT * (y_toxic + y_clean) / (n_toxic + n_clean) + LEAST_PRIOR)
     share_of = lambda y, n: F.log((y + prior) / (n + PRIOR_WEIGHT - y - prior))
     tested = tested.withColumn("odds", share_of(y_toxic, n_toxic) - share_of(y_clean, n_clean))
     tested = tested.withColumn("z", F.col("odds") / F.sqrt(1 / (y_toxic + prior) + 1 / (y_clean + prior)))
-    telling = tested.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).select("token", "odds", "y_clean").toPandas()  # only the significant ones
+    telling = tested.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).select("token", "odds", F.col(f"n_{part}").alias("n")).toPandas()  # only the significant ones
     hashes = telling["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     model = ToxicityModel(hashes[order], telling["odds"].to_numpy(float)[order])
     # extreme values: the rate solves sum p exp(rate score) = 1 over clean tokens
-    share = (telling["y_clean"].to_numpy(float)[order] + 0.5) / max(n_clean, 1)
+    share = (telling["n"].to_numpy(float)[order] + 0.5) / max(totals[f"n_{part}"], 1)
     low, high = 1e-6, 10.0
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if (share * np.exp(np.minimum(mid * model.gains, 50))).sum() + max(1 - share.sum(), 0) * np.exp(mid * FILLER) < 1 else (low, mid)
     model.rate = low
-    best = _best(rows, model)
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learn from the labelled rows that may be learned from; without both labels every score is 0.
+
+    Tokens come from all of these rows. The curves come from rows kept back
+    (one document in KEPT_BACK), judged by tokens of the others only.
+    """
+    rows = _labelled(docs, labels)
+    counts = stage(_counts(rows), "counts")
+    names = [c for c in counts.columns if c != "token"]
+    totals = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first().asDict()
+    model, half = _tokens(counts, totals, "all"), _tokens(counts, totals, "fit")
+    if not totals["toxic_all"] or not totals["clean_all"]:
+        return model
+    best = _best(rows.where("kept_back"), half)
     length, score, truth = best["length"].to_numpy(float), best["best"].to_numpy(float), best["toxic"].to_numpy(float)
-    calm = (truth == 0) & (length > 0)
-    if calm.any():  # the size matches the mean count of exceedances at the mean score of clean segments
-        level = float(np.median(score[calm & (score > 0)])) if (calm & (score > 0)).any() else 1.0
-        rate = float((score[calm] >= level).mean())
-        model.size = max(-np.log(max(1 - rate, 1e-9)) / (length[calm].mean() * np.exp(-model.rate * level)), 1e-12)
-    x = np.array([model.features([(0, 0, b)] if b > 0 else [], int(n)) for b, n in zip(score, length, strict=True)]).reshape(-1, 4)
+    model.size = half.size = extreme_size(score[truth == 0], length[truth == 0], half.rate, float(half.gains.min()) if len(half.gains) else 1.0)
+    x = np.array([half.features([(0, 0, b)] if b > 0 else [], int(n)) for b, n in zip(score, length, strict=True)]).reshape(-1, 4)
     x[:, 3] = np.where(score > 0, np.log1p(best["total"].to_numpy(float)), 0)
     model.weights = _logistic(x, truth)
     return model
 
 
+def extreme_size(best: np.ndarray, length: np.ndarray, rate: float, least: float) -> float:
+    """The likeliest size, given the best scores of clean texts; those without a segment are known to stay below ``least``."""
+    there = length > 0
+    reached = int((best[there] > 0).sum())
+    exposure = float((length[there] * np.exp(-rate * np.where(best[there] > 0, best[there], least))).sum())
+    return (reached + 0.5) / exposure if exposure > 0 else 1.0
+
+
 def _best(rows: DataFrame, model: ToxicityModel) -> "pd.DataFrame":  # noqa: F821
-    """length, best and total of the SAMPLE training texts whose ids hash lowest."""
+    """length, best and total of the SAMPLE rows whose ids hash lowest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in slices(batches, "text"):
@@ -192,8 +205,7 @@ def _best(rows: DataFrame, model: ToxicityModel) -> "pd.DataFrame":  # noqa: F82
                 "best": pa.array([max((s for _, _, s in f), default=0.0) for f in found], pa.float64()), "total": pa.array([sum(s for _, _, s in f) for f in found], pa.float64()),
             })
 
-    drawn = rows.select(F.xxhash64("doc_id").alias("draw"), F.col("toxic").cast("int").alias("toxic"), "text")
-    found = drawn.mapInArrow(run, "draw long, toxic int, length long, best double, total double")
+    found = rows.select("draw", "toxic", "text").mapInArrow(run, "draw long, toxic int, length long, best double, total double")
     return found.orderBy("draw", "toxic", "length", "best", "total").limit(SAMPLE).toPandas()
 
 

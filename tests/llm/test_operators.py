@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -277,7 +278,29 @@ def test_segments_are_all_maximal():
             top = max(spans, default=(0, 0, 0, 0))
             return [] if top[0] <= 1e-12 else [*best(low, top[2]), (top[2], top[3], round(top[0], 6)), *best(top[3] + 1, high)]
 
-        assert sum(s for _, _, s in toxicity.segments(at, gain, -0.37)) == pytest.approx(sum(s for _, _, s in best(0, 20)))
+        assert [(a, b, round(s, 6)) for a, b, s in toxicity.segments(at, gain, -0.37)] == sorted(best(0, 20))
+
+
+def test_segment_scan_is_linear():
+    """Twice the hits, about twice the time, and many at once."""
+    for gain in (0.5 + np.random.default_rng(1).random(200_000), np.linspace(2, 0.1, 200_000), np.linspace(0.1, 2, 200_000)):
+        for gap in (1, 9, 40):
+            began = time.process_time()
+            toxicity.segments(np.arange(200_000) * gap, gain)
+            assert time.process_time() - began < 2
+
+
+def test_extreme_values_match_counts():
+    """Best scores drawn from the law itself give its size back, and ``expected`` tells how many texts exceed a score."""
+    rng = np.random.default_rng(2)
+    length = rng.integers(20, 2000, 20_000).astype(float)
+    best = (np.log(0.02 * length) - np.log(-np.log(rng.random(20_000)))) / 0.8
+    best = np.where(best < 1.5, 0, best)  # no segment is smaller than the least gain
+    model = toxicity.ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), 0.8, toxicity.extreme_size(best, length, 0.8, 1.5))
+    assert 0.019 < model.size < 0.021
+    for level in (8.0, 10.0, 12.0):
+        wanted = sum(1 - np.exp(-model.expected(level, int(n))) for n in length)
+        assert 0.85 * wanted < (best >= level).sum() < 1.15 * wanted
 
 
 def test_html_extraction(spark):
