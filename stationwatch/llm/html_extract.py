@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL)
+from .common import slices
+
+#: Comments, CDATA, other declarations, and the beginning of tags.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)", re.DOTALL)
+#: Attributes up to the end of their tag. Quotes hold a ``>`` only after ``=``, and nothing is tried twice: time grows with the length.
+TAG_REST = re.compile(r"((?:[^>=]|=(?:\s*+(?:\"[^\"]*\"|'[^']*'))?+)*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 # Fixed values of HTML: tags inside a line, tags without an end, tags whose content is no text of the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template textarea svg math title select button iframe object canvas video audio map datalist".split())
+#: Of these the content is raw: without an end tag the rest of the page belongs to it, as in browsers.
+RAW = frozenset("script style textarea title iframe".split())
 _SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in SILENT}
 #: An opening tag of the first kind closes an open one of the second.
 _CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
@@ -48,21 +56,33 @@ def _features_of_tag(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed and stray tags are read as browsers mostly do; nothing is cut off."""
+    """The blocks of a page in order. Unclosed and stray tags are read as browsers mostly do: a tag that never ends takes the rest of the page with it."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()  # tags on the stack
+    around: Counter[str] = Counter()  # their features
+    endless: set[str] = set()  # silent tags of which no end follows
     parts: list[str] = []
     linked = at = links = 0
-    context: tuple[str, ...] | None = None
 
     def flush() -> None:
-        nonlocal linked, context
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, tuple({f for _, features in stack for f in features}) if context is None else context, min(1.0, linked / len(text))))
-        linked, context = 0, None
+                out.append((text, tuple(around), min(1.0, linked / len(text))))
+        linked = 0
+
+    def leave(k: int) -> None:
+        """Close the stack down to its k-th element."""
+        for tag, features in stack[k:]:
+            opened[tag] -= 1
+            around.subtract(features)
+            for name in features:
+                if not around[name]:
+                    del around[name]
+        del stack[k:]
 
     while True:
         m = TOKEN.search(page, at)
@@ -76,31 +96,40 @@ def leaf_blocks(page: str) -> list[Block]:
         at = m.end()
         if m[1] is None:
             if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3])
+                parts.append(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:])
             continue
-        tag, closing = m[1].lower(), m[0][1] == "/"
+        rest = TAG_REST.match(page, at)
+        if rest is None:
+            break
+        at, tag, closing, attributes = rest.end(), m[1].lower(), m[0][1] == "/", rest[1]
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
                 links = 0 if closing else 1
             continue
-        if not closing and tag in SILENT:
-            end = _SILENT_END[tag].search(page, at)
-            at = end.end() if end else at
+        if not closing and tag in SILENT and not attributes.endswith("/"):
+            end = None if tag in endless else _SILENT_END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
+                break
+            else:
+                endless.add(tag)
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             links = 0
             continue
-        if stack and stack[-1][0] == "p" or tag in _CLOSES and stack and stack[-1][0] in (tag, _CLOSES[tag]):
-            stack.pop()
-        if tag not in VOID and not m[2].endswith("/"):
-            stack.append((tag, _features_of_tag(tag, m[2])))
+        if stack and (stack[-1][0] == "p" or tag in _CLOSES and stack[-1][0] in (tag, _CLOSES[tag])):
+            leave(len(stack) - 1)
+        if tag not in VOID and not attributes.endswith("/"):
+            features = tuple(dict.fromkeys(_features_of_tag(tag, attributes)))
+            stack.append((tag, features))
+            opened[tag] += 1
+            around.update(features)
     flush()
     return out
 
@@ -262,7 +291,7 @@ def made_pages(sentences: list[str], n: int, seed: int = 5) -> list[tuple[list[B
         for name in rng.choice(names, int(rng.integers(0, 5)), replace=False):
             (before if rng.random() < 0.3 and name != "comments" else after).append(extras[name]())
         after.append(box("footer", pick("footer", "bottom", "site-footer", "copyright"), f"&copy; {short(2)} &middot; {say(1, 3)}" if rng.random() < 0.6 else f"<p>{short(5)}</p><ul>{links(1, 4)}</ul>"))
-        body = []
+        body, stranger = [], "\ue001"  # private use: marks text that isn't the article's
         for i in range(int(rng.integers(1, 12))):
             kind = rng.random()
             paragraph = f"<p>{say(1, 7)}" + ("</p>" if rng.random() < 0.9 else "")
@@ -276,7 +305,11 @@ def made_pages(sentences: list[str], n: int, seed: int = 5) -> list[tuple[list[B
                 paragraph = f'<p>{say(1, 2)} <a href="/x">{short(2)}</a> {say(1, 3)}</p>'
             elif kind < 0.25:
                 paragraph = f"<p>{short(2)}</p>"
+            elif kind < 0.29:  # not the article's, though inside its element
+                paragraph = extras[pick("ad", "aside", "related", "share", "form")]().replace(">", f">{stranger}")
             body.append(paragraph)
+        if rng.random() < 0.15:
+            body.append(extras["comments"]().replace(">", f">{stranger}"))
         article = (f"<{pick('h1', 'h1', 'h2')}>{short(8)}</h1>" if rng.random() < 0.85 else "") + "".join(body)
         if style == "semantic":
             article = f"<main>{article}</main>" if rng.random() < 0.3 else f"<article>{article}</article>"
@@ -287,24 +320,25 @@ def made_pages(sentences: list[str], n: int, seed: int = 5) -> list[tuple[list[B
         mark = "\ue000"  # private use: marks the article's text
         article = re.sub(r">(?=[^<])", f">{mark}", article)
         blocks = leaf_blocks(f"<html><head><title>{short(6)}</title></head><body>{''.join(before)}{article}{''.join(after)}</body></html>")
-        labels = [int(mark in b[0]) for b in blocks]
-        blocks = [(b[0].replace(mark, ""), b[1], b[2]) for b in blocks]
+        labels = [int(mark in b[0] and stranger not in b[0]) for b in blocks]
+        blocks = [(b[0].replace(mark, "").replace(stranger, ""), b[1], b[2]) for b in blocks]
         out.append(([b for b in blocks if b[0]], [label for b, label in zip(blocks, labels, strict=True) if b[0]]))
     return out
 
 
-def fit(pages: DataFrame, sample: int = 250, made: int = 700) -> ChainField:
-    """Train on ``made`` made pages, whose sentences come from the ``sample`` corpus pages whose ids hash lowest, and on those of them that their markup settles."""
-    drawn = pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id", F.xxhash64("page_id").alias("draw"))
-    ids = drawn.orderBy("draw", "page_id").limit(sample).select("page_id").distinct()
-    rows = pages.join(F.broadcast(ids), "page_id", "left_semi").select("html").orderBy(F.xxhash64("html")).limit(sample).collect()
+def fit(pages: DataFrame, sample: int = 250, made: int = 700, page_bytes: int = 1 << 17) -> ChainField:
+    """Train on ``made`` made pages, whose sentences come from the ``sample`` corpus pages of at most ``page_bytes`` bytes
+    whose ids hash lowest, and on those of them that their markup settles. So at most ``sample * page_bytes`` bytes are learned from."""
+    short = pages.where((F.octet_length("html") <= page_bytes) & F.col("page_id").isNotNull()).select("page_id", F.xxhash64("page_id").alias("draw"), F.xxhash64("html").alias("same"), "html")
+    ids = short.select("draw", "page_id", "same").distinct().orderBy("draw", "page_id", "same").limit(sample)
+    rows = short.join(F.broadcast(ids), ["draw", "page_id", "same"], "left_semi").dropDuplicates(["draw", "page_id", "same"]).orderBy("draw", "page_id", "same").select("html").collect()
     labelled, sentences = [], []
     for row in rows:
         blocks = leaf_blocks(row["html"])
         labels = settled_by_markup(blocks)
         if blocks and labels is not None:
             labelled.append((blocks, labels))
-        sentences += [s for text, _, _ in blocks for s in re.split(r"(?<=[.!?])\s+", text) if s][:40]
+        sentences += [s for text, _, _ in blocks for s in re.split(r"(?<=[.!?])\s+", text) if s]
     sentences = sentences or ["No page could be read, so this sentence stands in for all."]
     return train_field(labelled + made_pages(sentences, made))
 
@@ -326,7 +360,7 @@ def extract(pages: DataFrame, field: ChainField | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(field)  # _HASHED rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in slices(batches, "html"):
             texts = [main_text(value.as_py(), shared.value) for value in batch.column("html")]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"text": pa.array(texts, pa.string())})
 
