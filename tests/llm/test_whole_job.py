@@ -34,8 +34,8 @@ def test_embedding_passes_follow_the_cells():
 
 def test_keys_deep_inside_a_candidate_are_found():
     """A key after the 48th character of its candidate, and one beside a pattern's finding."""
-    made, truth = secrets.generated_findings(1500)
-    network = secrets.train_network(np.frombuffer(b"".join(secrets.encode(*r) for r in made), np.uint8).reshape(1500, -1), truth)
+    made, truth = secrets.generated_findings(3000)
+    network = secrets.train_network(np.frombuffer(b"".join(secrets.encode(*r) for r in made), np.uint8).reshape(3000, -1), truth)
     key, path = "Zq8Xv2Lk9TbW4nRc7JfY1mHd6PsG3aKe", "/home/letters/reading/station/weather/records/daily/"
     assert len(path) > secrets.INSIDE
     deep, beside, plain = f"see {path}{key} for it", f"use AKIA{'A1B2' * 5}/{key} now", f"see {path}page12.html for it"
