@@ -1,12 +1,13 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are folded: lower case, all but letters, digits and
-non-ASCII characters to single spaces. An item is covered by windows of WINDOW bytes,
-each half over the next. A window that stands in a text with at most ``k`` edits
-shares at least ``m + 1 - (k + 1) q`` of its q-grams with it, all on diagonals at
-most ``k`` apart. So shared q-grams are counted by item and overlapping diagonal
-bands; bands that reach the bound are looked at window by window; windows that
-reach it are aligned within the band, and decide by their edit distance.
+non-ASCII characters to single spaces. A window is any WINDOW bytes of an item.
+A window that stands in a text with at most ``k`` edits shares at least
+``m + 1 - (k + 1) q`` of its q-grams with it, all on diagonals at most ``k`` apart.
+So shared q-grams are counted by item and overlapping diagonal bands; in bands
+that reach the bound, windows are looked at one by one; those that reach it are
+aligned within the band, best first, and decide by their edit distance. Items too
+short for that must stand whole, between word borders.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hash, slices, utf8, _INVERSE
+from .common import mix, powers, prefix_hash, slices, span_hash, stage, utf8, _INVERSE
 
-Q, WINDOW, EDITS, LEAST_ITEM = 10, 90, 6, 30
+Q, WINDOW, EDITS = 10, 90, 6
+#: Shorter items (folded bytes) must match exactly.
+LEAST_FUZZY = 30
 #: Bands of 16 diagonals, each over half of the next, hold any spread of up to 9.
 BAND_BITS = 4
-#: Items are indexed in blocks of about so many bytes; each block is one pass over the texts.
-BLOCK_BYTES = 8 << 20
+#: Items are indexed in blocks of about so many characters; each block is one pass over the texts. Longer items come in overlapping pieces.
+BLOCK_CHARS, PIECE_CHARS = 4 << 20, 1 << 16
 _FILTER_BITS = 22
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -72,12 +75,17 @@ class Index:
     place: np.ndarray
     mark: np.ndarray
     bound: np.ndarray
+    exact: dict[int, dict[bytes, list[int]]]
 
     @classmethod
     def of(cls, ids: list[int], texts: list[str | None]) -> Index:
         folded, offsets = fold(*utf8(pc.utf8_lower(pa.array(texts, pa.string()))))
         pieces = [folded[a:b][: b - a - 1] if b > a and folded[b - 1] == 0x20 else folded[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        rows = [i for i, piece in enumerate(pieces) if len(piece) >= LEAST_ITEM]
+        exact: dict[int, dict[bytes, list[int]]] = {}
+        for i, piece in enumerate(pieces):
+            if 0 < len(piece) < LEAST_FUZZY:
+                exact.setdefault(len(piece), {}).setdefault(piece.tobytes(), []).append(ids[i])
+        rows = [i for i, piece in enumerate(pieces) if len(piece) >= LEAST_FUZZY]
         pieces = [pieces[i] for i in rows]
         hashes = [gram_hashes(p) for p in pieces]
         flat = np.concatenate([np.zeros(0, np.uint64), *hashes])
@@ -88,13 +96,30 @@ class Index:
         mark = np.zeros(1 << _FILTER_BITS, bool)
         mark[(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         bound = np.array([budget(min(len(p), WINDOW))[1] for p in pieces], np.int64)
-        return cls(np.array([ids[i] for i in rows], np.int64), pieces, grams, np.append(first, len(flat)), item[order], place[order], mark, bound)
+        return cls(np.array([ids[i] for i in rows], np.int64), pieces, grams, np.append(first, len(flat)), item[order], place[order], mark, bound, exact)
 
-    def windows(self, item: int) -> list[tuple[int, int]]:
-        """(start, length) of the windows of an item; the last one ends with it."""
-        size = len(self.texts[item])
-        starts = [0] if size <= WINDOW else [*range(0, size - WINDOW, WINDOW // 2), size - WINDOW]
-        return [(s, min(size, WINDOW)) for s in starts]
+    def quoted(self, data: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+        """(text row, item id) of the short items that stand whole between word borders."""
+        out: set[tuple[int, int]] = set()
+        if not self.exact:
+            return out
+        blank = data == 0x20
+        opens, closes = np.ones(len(data), bool), np.ones(len(data), bool)
+        opens[1:], closes[:-1] = blank[:-1], blank[1:]
+        filled = offsets[:-1] < offsets[1:]
+        opens[offsets[:-1][filled]] = closes[offsets[1:][filled] - 1] = True
+        prefix = prefix_hash(data)
+        for size, items in self.exact.items():
+            if len(data) < size:
+                continue
+            at = np.flatnonzero(opens[: len(data) - size + 1] & closes[size - 1 :])
+            wanted = np.unique([span_hash(prefix_hash(np.frombuffer(x, np.uint8)), np.array([0]), np.array([size]))[0] for x in items])
+            at = at[np.isin(span_hash(prefix, at, at + size), wanted)]
+            row = np.searchsorted(offsets, at, "right") - 1
+            for r, k in zip(row.tolist(), at.tolist(), strict=True):
+                if k + size <= offsets[r + 1]:
+                    out |= {(r, i) for i in items.get(data[k : k + size].tobytes(), ())}
+        return out
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """text row, place in ``data``, item and place in the item of every shared q-gram."""
@@ -114,13 +139,14 @@ class Index:
     def match(self, data: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """(text row, item) pairs of which some window is confirmed."""
         row, at, item, place = self.hits(data, offsets)
+        out: set[tuple[int, int]] = set()
         if not len(row):
-            return set()
+            return out
         diagonal = at - place + (1 << 24)
-        jobs: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+        rounds: list[list[tuple[tuple[int, int], int, int, int]]] = []  # (pair, start, length, first text place), each band's best windows first
         for shift in (0, 1):
             band = (diagonal + shift * (1 << (BAND_BITS - 1))) >> BAND_BITS
-            key = (row.astype(np.int64) << 44) | (item.astype(np.int64) << 27) | band
+            key = (row.astype(np.int64) << 53) | (item.astype(np.int64) << 27) | band  # texts come in slices of up to 1024 rows
             order = np.argsort(key, kind="stable")
             key = key[order]
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -129,15 +155,20 @@ class Index:
                 rows = order[cuts[k] : cuts[k + 1]]
                 r, i, low = int(row[rows[0]]), int(item[rows[0]]), (int(band[rows[0]]) << BAND_BITS) - shift * (1 << (BAND_BITS - 1)) - (1 << 24)
                 places = np.unique(place[rows])
-                for start, length in self.windows(i):
-                    shared = np.searchsorted(places, start + length - Q, "right") - np.searchsorted(places, start)
-                    if shared >= budget(length)[1] - EDITS:  # repeated grams count once here
-                        jobs.setdefault((r, i), set()).add((start, length, low + start))
-        return self._confirm(jobs, data, offsets)
+                length = min(len(self.texts[i]), WINDOW)
+                starts = np.arange(len(self.texts[i]) - length + 1)
+                shared = np.searchsorted(places, starts + length - Q, "right") - np.searchsorted(places, starts)
+                fits = np.flatnonzero(shared >= budget(length)[1] - EDITS)  # repeated grams count once here
+                for rank, start in enumerate(starts[fits[np.argsort(-shared[fits], kind="stable")]].tolist()):
+                    turn = rank.bit_length()
+                    rounds += [[] for _ in range(turn + 1 - len(rounds))]
+                    rounds[turn].append(((r, i), start, length, low + start))
+        for jobs in rounds:
+            out |= self._confirm([job for job in jobs if job[0] not in out], data, offsets)
+        return out
 
-    def _confirm(self, jobs: dict, data: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
+    def _confirm(self, flat: list, data: np.ndarray, offsets: np.ndarray) -> set[tuple[int, int]]:
         """Align each window with the text beside its band: offsets 0 .. width - 1 from the band's first diagonal less the edits."""
-        flat = [(pair, *job) for pair, found in jobs.items() for job in found]
         out: set[tuple[int, int]] = set()
         width = (1 << BAND_BITS) + 2 * EDITS
         for length in sorted({job[2] for job in flat}):
@@ -164,20 +195,29 @@ class Index:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of ``docs`` with ``items array<long>``: the sorted ids of the benchmark items of which a window stands in its text.
 
-    Null and short items (under LEAST_ITEM folded bytes) and null ids match
-    nothing; a null or empty text has no items. Repeated rows are judged one by
-    one. A column named ``items`` is replaced.
+    Items under LEAST_FUZZY folded bytes match where they stand whole between
+    word borders. Null and empty items and null ids match nothing; a null or
+    empty text has no items. Repeated rows are judged one by one; several items
+    with one id count as one. A column named ``items`` is replaced. The benchmark
+    is read in blocks; where there are several, the texts are staged after each.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block"))
+    word = F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), word.alias("text"))
+    step = PIECE_CHARS - WINDOW  # so that every window is whole in some piece
+    first = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("text") - WINDOW), F.lit(step)))
+    items = items.withColumn("first", first).select("item_id", "first", F.expr(f"substring(text, first + 1, {PIECE_CHARS})").alias("text"))
+    blocks = max(1, -(-items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // BLOCK_CHARS))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "first"), F.lit(blocks)))
+    items = stage(items, "items") if blocks > 1 else items
     keep = [c for c in docs.columns if c != "items"]
     out = docs.select(*keep, F.array().cast("array<long>").alias("items"))
     for block in range(blocks):
-        # a block of the benchmark holds about BLOCK_BYTES
-        rows = items.where(F.col("block") == block).orderBy("item_id", "text").toArrow()
+        rows = items.where(F.col("block") == block).orderBy("item_id", "first", "text").toArrow()  # about BLOCK_CHARS, in pieces of PIECE_CHARS at most
         index = docs.sparkSession.sparkContext.broadcast(Index.of(rows.column("item_id").to_pylist(), rows.column("text").to_pylist()))
         out = out.mapInArrow(_finder(index, keep), out.schema)
+        if block < blocks - 1:
+            out = stage(out, "block")
+            index.destroy()
     return out
 
 
@@ -188,6 +228,8 @@ def _finder(index, keep: list[str]):
             folded, places = fold(*utf8(pc.utf8_lower(batch.column("text"))))
             for row, item in index.value.match(folded, places):
                 found[row].add(int(index.value.ids[item]))
+            for row, item_id in index.value.quoted(folded, places):
+                found[row].add(int(item_id))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"items": pa.array([sorted(f) for f in found], pa.list_(pa.int64()))})
 
     return find
