@@ -33,6 +33,8 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 DIMENSIONS = 8192
+#: Keys of sampled rows are broadcast up to this count (some 100 bytes each).
+BROADCAST_ROWS = 200_000
 
 
 def family_of(lang: str) -> str:
@@ -180,7 +182,8 @@ def fit(docs: DataFrame, per_language: int = 300) -> LanguageModel | None:
     known = docs.where(may_learn_from() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", "lang", "text", F.xxhash64("doc_id").alias("draw"), F.xxhash64("text").alias("same"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "same"))
-    drawn = known.select("lang", "draw", "doc_id", "same").withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    drawn = stage(known.select("lang", "draw", "doc_id", "same").withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank"), "drawn")
+    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
