@@ -25,6 +25,17 @@ def r4(value: Column | str) -> Column:
     return F.round(F.col(value) if isinstance(value, str) else value, 4)
 
 
+def units(value: Column | str) -> Column:
+    """A number in millionths, as a whole one: sums of these are exact in any order."""
+    return F.round((F.col(value) if isinstance(value, str) else value) * 1e6).cast("decimal(19,0)")
+
+
+def mean6(value: str) -> Column:
+    """The mean to six decimals, halves upwards, from exact sums: no tie hangs on the order of rows."""
+    n = F.count(value).cast("double")
+    return F.floor((2 * F.sum(units(value)).cast("double") + n) / F.nullif(2 * n, F.lit(0.0))).cast("double") / 1e6
+
+
 def is_finite(value: Column) -> Column:
     """True for a number that is neither null, NaN nor infinite."""
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
@@ -62,6 +73,16 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole).otherwise(F.lit(0.0))
 
 
+def to_number(value: Column) -> Column:
+    """The number that a text says; null for any other text, NaN and null."""
+    return nan_to_null(value.try_cast("double"))
+
+
+def uniform(*key: Column) -> Column:
+    """A number in [0, 1) from the md5 of the key's parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

@@ -77,7 +77,7 @@ def build_reference(history: DataFrame, graph: DataFrame, variables: tuple[str,
 def features(df: DataFrame, reference: DataFrame, variables: tuple[str, ...]) -> DataFrame:
     """``{v}_f``: a struct of the shape features of each variable, all windows over one sort by time."""
     wide = reference.groupBy(STATION).pivot("variable", list(variables)).agg(F.first(F.struct(*PARAMETERS)))
-    rows = df.join(F.broadcast(wide.withColumnsRenamed({v: f"_p_{v}" for v in variables})), STATION, "left")  # a row for each station
+    rows = df.join(wide.withColumnsRenamed({v: f"_p_{v}" for v in variables}), STATION, "left")
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
     rows = rows.withColumn("_contiguous", flag(at - F.lag(at).over(by_time()) == 3600))
     first = {}

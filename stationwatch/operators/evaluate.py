@@ -83,11 +83,31 @@ def method_table(rows: DataFrame, methods: list[str], buffer: int = BUFFER) -> D
     return base.join(events, "method", "left").join(calm, "method", "left")
 
 
-def recall_by_type(rows: DataFrame, methods: list[str]) -> DataFrame:
-    """Event recall by fault type, a column for each method."""
-    long = long_methods(rows.where("anomaly_id IS NOT NULL"), methods, ["anomaly_id", "anomaly_type"])
-    events = long.groupBy("anomaly_type", "anomaly_id", "method").agg(F.max(F.col("predicted").cast("int")).alias("hit"))
-    return events.groupBy("anomaly_type").pivot("method", methods).agg(r6(F.avg("hit")))
+def recall_by_type(rows: DataFrame, methods: list[str], by: str = "anomaly_type") -> DataFrame:
+    """Event recall by fault type or variable, a column for each method."""
+    long = long_methods(rows.where("anomaly_id IS NOT NULL"), methods, ["anomaly_id", by])
+    events = long.groupBy(by, "anomaly_id", "method").agg(F.max(F.col("predicted").cast("int")).alias("hit"))
+    return events.groupBy(by).pivot("method", methods).agg(r6(F.avg("hit")))
+
+
+def metrics_by_variable(rows: DataFrame, predicted: dict[str, str]) -> DataFrame:
+    """Confusion metrics of each variable's own flag against the faults of that variable alone."""
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), flag(F.col(c)).alias("p"), (flag(F.col("is_anomaly")) & flag(F.col("anomaly_variable") == v)).alias("t")) for v, c in predicted.items())))
+    return metrics(rows.select(each.alias("e")).select("e.*"), "p", "t", by=("variable",))
+
+
+def alert_policy(rows: DataFrame) -> DataFrame:
+    """One row: of scored rows the sensitive alerts (over p95) and the confirmed ones (over p99), with their shares."""
+    scored = rows.where(flag(F.col("lstm_ae_scored")))
+    share = lambda c: r6(F.coalesce(F.avg(flag(F.col(c)).cast("int")), F.lit(0.0)))
+    return scored.agg(
+        F.count("*").alias("scored"), F.count_if(flag(F.col("lstm_ae_suspicious"))).alias("raw"), F.count_if(flag(F.col("lstm_ae_alert"))).alias("confirmed"),
+        share("lstm_ae_suspicious").alias("raw_rate"), share("lstm_ae_alert").alias("confirmed_rate"))
+
+
+def anomalies_or_alerts(rows: DataFrame, predicted: str) -> DataFrame:
+    """The rows that are anomalous or alerted: what a person would look through."""
+    return rows.where(flag(F.col("is_anomaly")) | flag(F.col(predicted)))
 
 
 def observation_recall(rows: DataFrame, predicted: str, by: str = "anomaly_type") -> DataFrame:
@@ -169,6 +189,27 @@ def clean_score_by(scores: DataFrame, by: Column, name: str) -> DataFrame:
     return scores.where(s.isNotNull() & ~flag(F.col("is_anomaly"))).groupBy(by.alias(name)).agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.percentile(s, F.lit(0.5))).alias("median"), r6(F.percentile(s, F.lit(0.95))).alias("p95"))
 
 
+def _clear(scores: DataFrame, buffer: int) -> DataFrame:
+    return distance_to_anomaly(scores).where(F.col("lstm_ae_score").isNotNull() & ~flag(F.col("is_anomaly")) & (F.coalesce("anomaly_distance", F.lit(1 << 30)) > buffer))
+
+
+def stations_against_calibration(scores: DataFrame, bounds: DataFrame, buffer: int = BUFFER) -> DataFrame:
+    """Scores of clear rows by station, and how their percentiles compare with the calibrated limits."""
+    s = F.col("lstm_ae_score")
+    found = _clear(scores, buffer).groupBy(STATION).agg(
+        F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.percentile(s, F.lit(0.5))).alias("median"), r6(F.percentile(s, F.lit(0.95))).alias("p95"), r6(F.percentile(s, F.lit(0.99))).alias("p99"))
+    limits = bounds.select(F.col("p95").alias("_p95"), F.col("p99").alias("_p99"))
+    return found.crossJoin(F.broadcast(limits)).withColumns({f"{p}_ratio": F.round(F.col(p) / F.nullif(F.col(f"_{p}"), F.lit(0.0)), 4) for p in ("p95", "p99")}).drop("_p95", "_p99")  # one row
+
+
+def errors_by_variable(scores: DataFrame, bounds: DataFrame, variables: tuple[str, ...], buffer: int = BUFFER) -> DataFrame:
+    """Errors of clear rows by variable beside that variable's calibrated limits."""
+    long = _clear(scores, buffer).unpivot([], [f"{v}_lstm_ae_error" for v in variables], "column", "x").where("x IS NOT NULL").withColumn("variable", F.regexp_replace("column", "_lstm_ae_error$", ""))
+    found = long.groupBy("variable").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.percentile("x", F.lit(0.95))).alias("p95"), r6(F.percentile("x", F.lit(0.99))).alias("p99"))
+    limits = bounds.select(F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_p95").alias("calibrated_p95"), F.col(f"{v}_p99").alias("calibrated_p99")) for v in variables))).alias("l")).select("l.*")
+    return limits.join(found, "variable", "left").fillna(0, ["n"])
+
+
 def overlap_contamination(scores: DataFrame, buffer: int = BUFFER) -> DataFrame:
     """Scores of anomalous rows, of clean ones whose windows touch an anomaly, and of clear ones."""
     near = F.coalesce("anomaly_distance", F.lit(1 << 30)) <= buffer
@@ -177,6 +218,17 @@ def overlap_contamination(scores: DataFrame, buffer: int = BUFFER) -> DataFrame:
     return distance_to_anomaly(scores).where(s.isNotNull()).groupBy(group.alias("group")).agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.percentile(s, F.lit(0.95))).alias("p95"), F.count_if("lstm_ae_alert").alias("alerts"))
 
 
+def strategy_comparison(rows: DataFrame, strategies: list[str]) -> DataFrame:
+    """Each fusion strategy's label at two cuts, with metrics and event recall."""
+    labels = [f"fusion_{s}_label" for s in strategies]
+    cuts = {"anomaly": ("anomaly", "critical"), "suspicious": ("suspicious", "anomaly", "critical")}
+    rows = rows.withColumns({f"{c}|{cut}": F.col(c).isin(*levels) for c in labels for cut, levels in cuts.items()})
+    long = long_methods(rows, [f"{c}|{cut}" for c in labels for cut in cuts], ["is_anomaly", "anomaly_id"])
+    events = long.where("anomaly_id IS NOT NULL").groupBy("method", "anomaly_id").agg(F.max(F.col("predicted").cast("int")).alias("hit")).groupBy("method").agg(r6(F.avg("hit")).alias("event_recall"))
+    named = {"strategy": F.regexp_extract("method", r"^fusion_(.*)_label\|", 1), "cut": F.split_part("method", F.lit("|"), F.lit(2))}
+    return metrics(long, "predicted", by=("method",)).join(events, "method", "left").withColumns(named).drop("method")
+
+
 def two_cuts(rows: DataFrame, labels: list[str]) -> DataFrame:
     """Each label column at two cuts: anomaly only, and suspicious or higher."""
     columns = {}
@@ -207,6 +259,16 @@ def class_report(rows: DataFrame, truth: str = "expected", predicted: str = "dia
     return by_class.select("class", r6(precision).alias("precision"), r6(recall).alias("recall"), r6(ratio(2 * precision * recall, precision + recall)).alias("f1"), (F.col("hit") + F.col("miss")).alias("support"))
 
 
+def class_summary(rows: DataFrame, truth: str = "expected", predicted: str = "diagnosis") -> DataFrame:
+    """One row: rows with both labels, accuracy, and F1 over all diagnoses that have a fault, plain (absent ones are 0) and weighted by support."""
+    pairs = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).agg(F.count("*").alias("rows"), r6(F.coalesce(F.avg((F.col(truth) == F.col(predicted)).cast("int")), F.lit(0.0))).alias("accuracy"))
+    each = class_report(rows, truth, predicted).where(F.col("class").isin(*DIAGNOSIS_OF.values()))
+    means = each.agg(
+        F.round(F.coalesce(F.sum("f1"), F.lit(0.0)) / len(DIAGNOSIS_OF), 4).alias("macro_f1"),
+        F.round(F.coalesce(F.sum(F.col("f1") * F.col("support")) / F.nullif(F.sum("support"), F.lit(0)), F.lit(0.0)), 4).alias("weighted_f1"))
+    return pairs.crossJoin(means)  # one row each
+
+
 def confusion_matrix(rows: DataFrame, truth: str = "expected", predicted: str = "diagnosis") -> DataFrame:
     return rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("rows"))
 

@@ -98,6 +98,24 @@ def explain(rows: DataFrame, config: FusionConfig = FusionConfig(), variables: t
     return out.withColumn("explanation", F.to_json(whole, {"ignoreNullFields": "false"})).drop("decision", "detectors")
 
 
+def integrity(fused: DataFrame, config: FusionConfig = FusionConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
+    """One row of checks on the explanations of a fused table: that no row is lost, repeated or changed, that poisoned
+    truth columns change nothing, and how many rows have an explanation, all detectors and a model attribution."""
+    told = explain(fused, config, variables)
+    truth = [c for c in fused.columns if c.startswith("anomaly_") or c == "is_anomaly" or c.endswith("_original")]
+    poisoned = fused.withColumns({c: F.lit("true" if kind == "boolean" else "-999").cast(kind) for c, kind in fused.dtypes if c in truth})
+    again = explain(poisoned, config, variables).select(STATION, TIME, F.col("explanation").alias("_again"))
+    before = fused.select(STATION, TIME, F.xxhash64(*sorted(fused.columns)).alias("_before"))
+    rows = before.join(told.withColumn("_after", F.xxhash64(*sorted(fused.columns))), [STATION, TIME], "left").join(again, [STATION, TIME], "left")
+    parsed = F.from_json("explanation", "detectors struct<reconstruction: struct<available: boolean>>, model struct<available: boolean>")
+    rows = rows.withColumn("_e", parsed)
+    return rows.agg(
+        F.count("*").alias("fused_rows"), F.count_if("final_alert").alias("alerts"), F.count("explanation").alias("explained"),
+        F.count_if(F.coalesce(F.col("_e.detectors.reconstruction.available"), F.lit(False))).alias("complete"), F.count_if(F.coalesce(F.col("_e.model.available"), F.lit(False))).alias("attributed"),
+        (F.count("*") == F.count("explanation")).alias("no_row_lost"), F.bool_and(F.col("_before").eqNullSafe(F.col("_after"))).alias("columns_unchanged"),
+        F.bool_and(F.col("explanation").eqNullSafe(F.col("_again"))).alias("truth_plays_no_part"))
+
+
 # ----------------------------------------------------------------- attribution
 
 
@@ -153,7 +171,7 @@ def attribute(obs: DataFrame, alerted: DataFrame, stats: DataFrame, model, backg
     near = F.collect_list(F.struct(TIME, *(F.col(f"{v}_z") for v in config.variables))).over(by_time().rowsBetween(-reach, reach))
     same = F.collect_list("segment").over(by_time().rowsBetween(-reach, reach))
     contexts = rows.select(STATION, TIME, near.alias("near"), F.size(F.array_distinct(same)).alias("parts")).join(F.broadcast(chosen), [STATION, TIME])
-    samples = background.select(*(f"{v}_cells" for v in config.variables)).limit(budget.background).toPandas()
+    samples = background.orderBy("times", STATION).select(*(f"{v}_cells" for v in config.variables)).limit(budget.background).toPandas()
     earlier = np.stack([np.stack([np.stack(samples[f"{v}_cells"]) for v in config.variables], 2)])[0] if len(samples) else np.zeros((0, config.window, len(config.variables)))
     mean, directions = model.mean, model.directions
     rebuild = lambda flat: (flat - mean) @ directions @ directions.T + mean

@@ -14,6 +14,13 @@ def profile(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame
     return obs.agg(F.count("*").alias("rows"), F.count_distinct(STATION).alias("stations"), F.min(TIME).alias("first"), F.max(TIME).alias("last"), *(F.count_if(F.col(v).isNull()).alias(f"{v}_nulls") for v in variables))
 
 
+def table_profile(obs: DataFrame) -> DataFrame:
+    """One row for each column: its type and how many values are there."""
+    counted = obs.agg(F.count("*").alias("_rows"), *(F.count(c).alias(c) for c in obs.columns)).unpivot(["_rows"], obs.columns, "column", "present")
+    kinds = F.create_map(*(F.lit(x) for item in obs.dtypes for x in item))
+    return counted.select("column", F.element_at(kinds, F.col("column")).alias("type"), "present", r6(F.coalesce(F.col("present") / F.nullif(F.col("_rows"), F.lit(0)), F.lit(0.0))).alias("coverage"))
+
+
 def rows_by_station(obs: DataFrame) -> DataFrame:
     return obs.groupBy(STATION).agg(F.count("*").alias("rows"), F.min(TIME).alias("first"), F.max(TIME).alias("last"))
 
@@ -46,6 +53,12 @@ def correlations(obs: DataFrame, variable: str) -> DataFrame:
     return _pairs(obs, variable).groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.corr("x", "y")).alias("correlation"))
 
 
+def correlation_summary(obs: DataFrame, variable: str) -> DataFrame:
+    """One row: least, greatest and mean correlation of two different stations."""
+    found = correlations(obs, variable)
+    return found.agg(F.count("*").alias("pairs"), F.min("correlation").alias("low"), F.max("correlation").alias("high"), F.round(F.avg("correlation"), 4).alias("mean"))
+
+
 def identical_series(obs: DataFrame, variable: str) -> DataFrame:
     """For every two stations whether their series agree wherever both have rows."""
     return _pairs(obs, variable).groupBy("a", "b").agg(F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("identical"))
@@ -56,6 +69,14 @@ def spread_by_time(obs: DataFrame, variable: str) -> DataFrame:
     return obs.groupBy(TIME).agg(F.count(x).alias("n"), r6(F.min(x)).alias("low"), r6(F.max(x)).alias("high"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("std"), r6(F.max(x) - F.min(x)).alias("range"))
 
 
+def spread_percentiles(obs: DataFrame, variable: str, percents: tuple[float, ...] = (25, 50, 75, 90, 95, 99)) -> DataFrame:
+    """One row: how the range over the stations of one time is distributed over the times."""
+    x = F.col("range")
+    return spread_by_time(obs, variable).agg(
+        F.count(x).alias("times"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("std"), r6(F.min(x)).alias("low"), r6(F.max(x)).alias("high"),
+        *(r6(F.percentile(x, F.lit(p / 100))).alias(f"p{p:g}") for p in percents))
+
+
 def snapshot(obs: DataFrame, at: str) -> DataFrame:
     return obs.where(F.col(TIME) == F.lit(at).cast(dict(obs.dtypes)[TIME]))
 
@@ -76,6 +97,29 @@ def split_by_position(obs: DataFrame, share: float = 0.8) -> DataFrame:
     return obs.withColumn("part", F.when(F.row_number().over(by_time()) <= F.floor(n * share), "train").otherwise("test"))
 
 
+def scaled(obs: DataFrame, variables: tuple[str, ...] = VARIABLES, share: float = 0.8) -> DataFrame:
+    """``part`` and ``{v}_scaled``: readings by mean and population deviation of their station's training part; a deviation of 0 counts as 1."""
+    rows = split_by_position(obs, share)
+    own = rows.where("part = 'train'").groupBy(STATION).agg(*(c for v in variables for c in (F.avg(v).alias(f"_{v}_mean"), F.stddev_pop(v).alias(f"_{v}_std"))))
+    by = lambda v: F.when(F.col(f"_{v}_std") > 0, F.col(f"_{v}_std")).otherwise(1.0)
+    out = rows.join(own, STATION, "left").withColumns({f"{v}_scaled": F.round((F.col(v) - F.col(f"_{v}_mean")) / by(v), 4) for v in variables})
+    return out.drop(*(c for c in out.columns if c.startswith("_")))
+
+
+def window_counts(obs: DataFrame, sizes: tuple[int, ...] = (12, 24, 48), share: float = 0.8) -> DataFrame:
+    """How many whole windows of each size a station's training and test parts hold."""
+    counted = split_by_position(obs, share).groupBy(STATION, "part").agg(F.count("*").alias("n"))
+    return counted.select(STATION, "part", F.explode(F.array(*map(F.lit, sizes))).alias("size"), "n").select(STATION, "part", "size", F.greatest(F.col("n") - F.col("size") + 1, F.lit(0)).alias("windows"))
+
+
+def window_errors(rebuilt: DataFrame, variables: tuple[str, ...], quantile: float = 0.99) -> DataFrame:
+    """One row: mean squared error of whole windows, its quantile, and how many windows exceed that."""
+    gap = lambda v: F.aggregate(F.zip_with(f"{v}_cells", f"{v}_rebuilt", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x) / F.size(f"{v}_cells")
+    errors = rebuilt.select(r6(sum((gap(v) for v in variables), F.lit(0.0)) / len(variables)).alias("mse"))
+    limit = errors.agg(F.percentile("mse", F.lit(quantile)).alias("_limit"))
+    return errors.crossJoin(F.broadcast(limit)).agg(F.count("*").alias("windows"), F.round(F.avg("mse"), 4).alias("mean"), r6(F.first("_limit")).alias("threshold"), F.count_if(F.col("mse") > F.col("_limit")).alias("flagged"))  # one row
+
+
 def window_labels(rows: DataFrame, size: int = 24) -> DataFrame:
     """Whole windows of ``size`` rows by station: whether they hold an anomaly and whether one is predicted (``predicted`` column)."""
     ahead = by_time().rowsBetween(0, size - 1)
@@ -93,6 +137,47 @@ def latest_status(rows: DataFrame, index: int | None = None) -> DataFrame:
     return here.select(STATION, TIME, "idx", colour.alias("colour"), agreeing.alias("agreeing"), *(F.round(v, 2).alias(v) for v in VARIABLES), "final_severity")
 
 
+def station_coordinates(rows: DataFrame) -> DataFrame:
+    """The place in each station's first row."""
+    return rows.groupBy(STATION).agg(F.min_by("latitude", TIME).alias("latitude"), F.min_by("longitude", TIME).alias("longitude"))
+
+
+def shared_length(rows: DataFrame) -> DataFrame:
+    """One row: how many steps a replay has, the rows of the shortest station."""
+    return rows.groupBy(STATION).count().agg(F.coalesce(F.min("count"), F.lit(0)).alias("n_points"))
+
+
+def map_table(status: DataFrame, places: DataFrame) -> DataFrame:
+    """Current status by station with its place, readings to one digit, and the map's centre in every row."""
+    centre = places.agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
+    joined = status.join(places, STATION).crossJoin(F.broadcast(centre))  # one row
+    return joined.select(STATION, "colour", "latitude", "longitude", *((F.floor(F.col(v) * 10 + 0.5) / 10).alias(v) for v in VARIABLES), F.round("lat", 4).alias("centre_latitude"), F.round("lon", 4).alias("centre_longitude"))
+
+
+def newest_alerts(log: DataFrame, n: int) -> DataFrame:
+    """The last n entries of an alert log, newest first, with their place: a top-n report."""
+    newest = log.orderBy(F.desc(TIME), STATION).limit(n)
+    return newest.withColumn("place", F.row_number().over(Window.orderBy(F.desc(TIME), STATION)))  # n rows
+
+
+def alert_totals(status: DataFrame, log: DataFrame) -> DataFrame:
+    """Status counts of the current rows, and how many alerts were logged in all."""
+    return status_counts(status).crossJoin(log.agg(F.count("*").alias("alerts_logged")))  # one row each
+
+
+def stale_explanations(current: DataFrame, stored: DataFrame) -> DataFrame:
+    """station_id, timestamp and ``state`` of each current row's stored explanation (JSON column ``explanation``): fresh, missing, other decision or other readings."""
+    kind = "decision struct<alert: boolean, votes: int, severity: string>, readings struct<" + ", ".join(f"{v}: double" for v in VARIABLES) + ">"
+    told = stored.select(STATION, TIME, F.from_json("explanation", kind).alias("_told"))
+    d, r = F.col("_told.decision"), F.col("_told.readings")
+    decision = d["alert"].eqNullSafe(F.col("final_alert")) & d["votes"].eqNullSafe(F.col("detector_votes")) & d["severity"].eqNullSafe(F.col("final_severity"))
+    readings = F.lit(True)
+    for v in VARIABLES:
+        readings = readings & r[v].eqNullSafe(F.col(v))
+    state = F.when(F.col("_told").isNull(), "missing").when(~decision, "other decision").when(~readings, "other readings").otherwise("fresh")
+    return current.join(told, [STATION, TIME], "left").select(STATION, TIME, state.alias("state"))
+
+
 def status_counts(status: DataFrame) -> DataFrame:
     return status.agg(*(F.count_if(F.col("colour") == c).alias(c) for c in ("green", "yellow", "red")))
 

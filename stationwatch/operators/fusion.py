@@ -12,18 +12,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import STATION, TIME, FusionConfig
+from ..config import STATION, TIME, VARIABLES, FusionConfig
 from ..functions.scalar import count_true, flag, r6, severity_score
+from ..sources.tables import check_keys, require_columns
 
 ALERTS = ("statistical_alert", "spatial_alert", "lstm_ae_alert")
 
 
-def join_outputs(base: DataFrame, *outputs: DataFrame) -> DataFrame:
-    """Left joins on (station_id, timestamp); of columns with one name the first stays."""
-    out = base
+def validated(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
+    """The observations, if they have the detectors' columns and one row for each station and time."""
+    require_columns(obs, [STATION, TIME, *variables])
+    return check_keys(obs)
+
+
+def join_outputs(base: DataFrame, *outputs: DataFrame, check: bool = True) -> DataFrame:
+    """Left joins on (station_id, timestamp), one to one; of columns with one name the first stays.
+
+    Null and repeated keys are refused. Without ``check`` that is up to the
+    caller, who can look at the joined table once: a repeated key repeats there.
+    """
+    out = check_keys(base) if check else base
     for other in outputs:
         new = [c for c in other.columns if c not in out.columns]
-        out = out.join(other.select(STATION, TIME, *new), [STATION, TIME], "left")
+        out = out.join((check_keys(other) if check else other).select(STATION, TIME, *new), [STATION, TIME], "left")
     return out
 
 

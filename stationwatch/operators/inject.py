@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAD_FACTOR, STATION, TIME, VARIABLES
-from ..functions.scalar import is_finite, r6, with_medians
+from ..functions.scalar import is_finite, r6, uniform, with_medians
+from ..sources.tables import InvalidData, require_columns
 
 # Shares of fault types and severities, and the strength bands (low, high) by type and severity.
 TYPE_SHARES = (("spike", 0.20), ("offset", 0.20), ("drift", 0.15), ("stuck", 0.15), ("noise", 0.10), ("dropout", 0.05), ("rate_change", 0.15))
@@ -44,11 +45,6 @@ class InjectionConfig:
         return min(1.0, self.rate * self.slot / (0.5 * self.longest) / 3)
 
 
-def uniform(*key: Column) -> Column:
-    """A number in [0, 1) from the md5 of the key's parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-
-
 def _choice(u: Column, shares) -> Column:
     total, out = 0.0, F
     for name, share in shares[:-1]:
@@ -122,7 +118,14 @@ def inject(obs: DataFrame, config: InjectionConfig = InjectionConfig(), variable
 
     Truth: ``{v}_original``, ``is_anomaly``, and ``anomaly_id``, ``anomaly_type``, ``anomaly_variable``, ``anomaly_severity``, joined with ``|``
     where several variables fail at once. A stuck fault that would hardly show (natural range under half of the local scale) is left out.
+    Missing columns, variables without a known scale and empty tables are refused.
     """
+    require_columns(obs, [STATION, TIME, *variables])
+    unknown = sorted(set(variables) - set(FALLBACK_SCALES))
+    if unknown or not variables:
+        raise InvalidData(f"no faults are known for {unknown}" if unknown else "no variables")
+    if obs.isEmpty():
+        raise InvalidData("no observations")
     numbered = positions(obs)
     events = local_scales(numbered, plan(numbered, config, variables) if events is None else events, config, variables)
     rows = events.select("*", F.explode(F.sequence("first_pos", "last_pos")).alias("pos")).join(numbered.select(STATION, "pos", TIME, *variables), [STATION, "pos"])
@@ -167,6 +170,19 @@ def summary(log: DataFrame) -> DataFrame:
         r6(F.percentile("normalized_strength", F.lit(0.5))).alias("median_strength"))
 
 
+def counts_by(log: DataFrame) -> DataFrame:
+    """Events by type, severity and variable: kind, value, events."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("anomaly_type", "severity", "variable"))))
+    return log.select(each.alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("events"))
+
+
+def achieved_rate(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: observations, anomalous ones and their rate in percent, events, median length and strength."""
+    seen = rows.agg(F.count("*").alias("observations"), F.count_if("is_anomaly").alias("anomalous")).withColumn("rate_percent", F.round(100 * F.col("anomalous") / F.nullif(F.col("observations"), F.lit(0)), 4))
+    told = log.agg(F.count("*").alias("events"), r6(F.percentile("duration_rows", F.lit(0.5))).alias("median_rows"), r6(F.percentile("normalized_strength", F.lit(0.5))).alias("median_strength"))
+    return seen.crossJoin(told)  # one row each
+
+
 def stable_ids(log: DataFrame) -> DataFrame:
     """``stable_id``: event-000001 and so on by start, station and variable."""
     order = Window.orderBy("start_time", STATION, "variable")  # the log holds a row for each event

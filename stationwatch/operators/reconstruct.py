@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, ReconstructionConfig
 from ..functions.scalar import by_time, clip, flag, r6
+from ..sources.tables import stage
 
 GLOBAL = "__global__"
 
@@ -43,7 +44,7 @@ def normalise(obs: DataFrame, stats: DataFrame, config: ReconstructionConfig = R
     names = [f"{v}_{k}" for v in config.variables for k in ("mean", "std")]
     own = stats.where(F.col(STATION) != GLOBAL).select(STATION, F.struct(*names).alias("_own"))
     everyone = stats.where(F.col(STATION) == GLOBAL).select(F.struct(*names).alias("_all"))
-    joined = obs.join(F.broadcast(own), STATION, "left").join(F.broadcast(everyone), how="left")  # a row for each station; one row
+    joined = obs.join(own, STATION, "left").join(F.broadcast(everyone), how="left")  # one row
     use = F.coalesce("_own", "_all")
     return joined.withColumns({name: use[name] for name in names}).withColumns({
         f"{v}_z": r6(clip((F.col(v) - F.col(f"{v}_mean")) / F.col(f"{v}_std"), -config.clip, config.clip)) for v in config.variables}).drop("_own", "_all")
@@ -62,7 +63,7 @@ def segments(obs: DataFrame, steps: DataFrame, config: ReconstructionConfig = Re
     """``segment`` counts the gaps so far that are longer than the tolerance; ``pos`` numbers the rows of a segment."""
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
     gap = at - F.lag(at).over(by_time())
-    rows = obs.join(F.broadcast(steps), STATION)  # a row for each station
+    rows = obs.join(steps, STATION)
     rows = rows.withColumn("_opens", flag(gap > F.col("step") * config.gap_tolerance).cast("long"))
     rows = rows.withColumn("segment", F.sum("_opens").over(by_time())).drop("_opens", "step")
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(STATION, "segment").orderBy(TIME)) - 1)
@@ -224,14 +225,14 @@ def calibrate(history: DataFrame, config: ReconstructionConfig = ReconstructionC
     end = F.broadcast(cutoff(history, config.validation_share))  # one row
     split = history.crossJoin(end)
     train = split.where(F.col(TIME) < F.col("cutoff")).drop("cutoff")
-    stats = normalisation(train, config)
+    stats = stage(normalisation(train, config), "normalisation")
     model = LinearAutoencoder.fit(windows_of(train, stats, config), config) if linear else None
     tables = ReconstructionTables(stats, stats, model)
     held = split.where(F.col(TIME) >= F.col("cutoff")).drop("cutoff")
     scores = observation_scores(tables.rebuild(windows_of(held, stats, config), config), config)
     if scores.isEmpty():
         scores = observation_scores(tables.rebuild(windows_of(history, stats, config), config), config)
-    return ReconstructionTables(stats, limits(scores, config), model)
+    return ReconstructionTables(stats, stage(limits(scores, config), "bounds"), model)
 
 
 def detect(obs: DataFrame, tables: ReconstructionTables, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:

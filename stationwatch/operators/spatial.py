@@ -12,24 +12,24 @@ from ..functions.scalar import any_true, count_true, flag, haversine_km, is_fini
 def neighbours(stations: DataFrame, config: SpatialConfig = SpatialConfig()) -> DataFrame:
     """station_id, neighbor_id, rank, distance_km, weight: the nearest stations with inverse-distance weights that sum to 1.
 
-    ``stations`` has one row for each station; ties go by name. Stations are few, so their pairs are one broadcast theta join.
+    ``stations`` has one row for each station; ties go by name.
     """
     other = stations.select(F.col(STATION).alias("neighbor_id"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("_lat"), F.col("_lon"))
     near = Window.partitionBy(STATION).orderBy("distance_km", "neighbor_id")
-    ranked = stations.join(F.broadcast(other), F.col(STATION) != F.col("neighbor_id")).withColumn("distance_km", r6(distance)).withColumn("rank", F.row_number().over(near))
+    ranked = stations.join(other, F.col(STATION) != F.col("neighbor_id")).withColumn("distance_km", r6(distance)).withColumn("rank", F.row_number().over(near))
     kept = ranked.where(F.col("rank") <= config.neighbours).withColumn("_w", 1 / F.pow(F.greatest("distance_km", F.lit(1e-6)), F.lit(config.power)))
-    return kept.select(STATION, "neighbor_id", "rank", "distance_km", r6(F.col("_w") / F.sum("_w").over(Window.partitionBy(STATION))).alias("weight"))
+    return kept.select(STATION, "neighbor_id", "rank", "distance_km", (F.col("_w") / F.sum("_w").over(Window.partitionBy(STATION))).alias("weight"))
 
 
 def expected(obs: DataFrame, graph: DataFrame, config: SpatialConfig = SpatialConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """station_id, timestamp and for each variable expected, neighbor_count and neighbor_mad from the neighbours' readings of that time.
 
-    Every reading travels to its neighbours through a broadcast graph and meets
+    Every reading travels to its neighbours by the graph and meets
     theirs in one shuffle on (timestamp, station); at most ``neighbours`` values gather there.
     """
     averaged = obs.groupBy(STATION, TIME).agg(*(F.avg(F.when(is_finite(F.col(v)), F.col(v))).alias(v) for v in variables))
-    sent = averaged.withColumnRenamed(STATION, "neighbor_id").join(F.broadcast(graph), "neighbor_id")
+    sent = averaged.withColumnRenamed(STATION, "neighbor_id").join(graph, "neighbor_id")
     met = sent.groupBy(STATION, TIME).agg(F.sort_array(F.collect_list(F.struct("rank", "weight", *variables))).alias("near"))
     def pairs(v: str):
         return F.transform(F.filter("near", lambda p: p[v].isNotNull()), lambda p: F.struct(p[v].alias("x"), p["weight"].alias("w")))
@@ -72,7 +72,7 @@ def calibrate(history: DataFrame, graph: DataFrame, config: SpatialConfig = Spat
 
 def detect(obs: DataFrame, graph: DataFrame, limits: DataFrame, config: SpatialConfig = SpatialConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """Expectation, residual, flags, severity and alert of every row. Humidity counts as a family but never decides severity."""
-    rows = with_residuals(obs, graph, config, variables).join(F.broadcast(limits), STATION, "left")  # a row for each station
+    rows = with_residuals(obs, graph, config, variables).join(limits, STATION, "left")
     rows = rows.withColumns({
         f"{v}_spatial_{name}": flag((F.col(f"{v}_spatial_neighbor_count") >= config.least_neighbours) & (F.abs(f"{v}_spatial_residual") > F.col(f"{v}_{name}_limit")))
         for v in variables for name in ("suspicious", "anomaly")})

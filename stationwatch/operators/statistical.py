@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES, StatisticalConfig
-from ..functions.scalar import any_true, by_time, count_true, flag, r4, r6, severity_score
+from ..functions.scalar import any_true, by_time, count_true, flag, r6, severity_score, units
 
 FAMILIES = ("range", "roc", "level", "persistence")
 
@@ -16,7 +16,19 @@ def calibrate(history: DataFrame, config: StatisticalConfig = StatisticalConfig(
     steps = history.select(
         STATION, F.hour(TIME).alias("hour"), *variables, *(F.abs(F.col(v) - F.lag(v).over(by_time())).alias(f"_{v}") for v in variables))
     return steps.groupBy(STATION, "hour").agg(
-        *(r4(F.avg(v)).alias(f"{v}_baseline") for v in variables), *(r6(F.percentile(f"_{v}", F.lit(config.roc_quantile))).alias(f"{v}_roc_limit") for v in variables))
+        *(_mean4(v).alias(f"{v}_baseline") for v in variables), *(r6(F.percentile(f"_{v}", F.lit(config.roc_quantile))).alias(f"{v}_roc_limit") for v in variables))
+
+
+def _spread(window: Column) -> Column:
+    """n (n - 1) times the variance, in squared units; exact up to the last step."""
+    total = window["sum"].cast("decimal(19,0)")
+    return (window["n"].cast("decimal(10,0)") * window["squares"].cast("decimal(28,0)") - total * total).cast("double")
+
+
+def _mean4(v: str) -> Column:
+    """The mean to four decimals, halves upwards; whole numbers decide, so ties don't hang on the order of a sum."""
+    n = F.count(v).cast("double")
+    return F.floor((2 * F.sum(units(v)).cast("double") + 100 * n) / F.nullif(200 * n, F.lit(0.0))).cast("double") / 1e4
 
 
 def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = StatisticalConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
@@ -24,18 +36,24 @@ def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = Statis
 
     A station or hour without calibration has no baseline: its rate and level flags are false. Null readings raise no flag.
     """
-    joined = obs.withColumn("hour", F.hour(TIME)).join(F.broadcast(hourly), [STATION, "hour"], "left")  # 24 rows a station
+    joined = obs.withColumn("hour", F.hour(TIME)).join(hourly, [STATION, "hour"], "left")
     residual = joined.withColumns({f"{v}_hourly_residual": r6(F.col(v) - F.col(f"{v}_baseline")) for v in variables})
-    windows = {}
-    for v in variables:
-        r = F.col(f"{v}_hourly_residual")
-        windows[f"{v}_rate_of_change"] = r6(F.abs(F.col(v) - F.lag(v).over(by_time())))
-        for w in config.windows:
-            past = by_time().rowsBetween(-w, -1)
-            windows[f"_{v}_{w}"] = F.struct(F.avg(r).over(past).alias("mean"), F.stddev_samp(r).over(past).alias("sd"), F.count(r).over(past).alias("n"))
-        recent = by_time().rowsBetween(1 - config.persistence_rows, 0)
-        windows[f"_{v}_recent"] = F.struct(F.stddev_samp(v).over(recent).alias("sd"), F.count(v).over(recent).alias("n"))
-    out = residual.withColumns(windows)
+    rates = {f"{v}_rate_of_change": r6(F.abs(F.col(v) - F.lag(v).over(by_time()))) for v in variables}
+    # running totals, of which every window is a difference: a row costs the same for any length of window
+    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    sources = {f"_{v}": F.col(v) for v in variables} | {f"_{v}_residual": F.col(f"{v}_hourly_residual") for v in variables}
+    totals = {}
+    for name, value in sources.items():
+        own = F.coalesce(units(value), F.lit(0).cast("decimal(19,0)"))
+        totals |= {f"{name}_sum": F.sum(own).over(so_far), f"{name}_squares": F.sum((own * own).cast("decimal(38,0)")).over(so_far), f"{name}_n": F.count(value).over(so_far)}
+    joined = residual.withColumns(rates | totals)
+
+    def between(name: str, first: int, last: int) -> Column:
+        """Totals of the rows from ``first`` to ``last`` rows back."""
+        cut = lambda c, k: F.col(c) if k == 0 else F.coalesce(F.lag(c, k).over(by_time()), F.lit(0).cast(dict(joined.dtypes)[c]))
+        return F.struct(*((cut(f"{name}_{k}", last) - cut(f"{name}_{k}", first + 1)).alias(k) for k in ("sum", "squares", "n")))
+
+    out = joined.withColumns({f"_{v}_{w}": between(f"_{v}_residual", w, 1) for v in variables for w in config.windows} | {f"_{v}_recent": between(f"_{v}", config.persistence_rows - 1, 0) for v in variables})
     flags = {}
     for v in variables:
         low, high = config.ranges[v]
@@ -43,10 +61,11 @@ def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = Statis
         flags[f"{v}_roc_anomaly"] = flag(F.col(f"{v}_rate_of_change") > F.col(f"{v}_roc_limit"))
         for w in config.windows:
             past = F.col(f"_{v}_{w}")
-            spread = F.when((past["n"] >= min(config.least_rows, w)) & (past["sd"] > 1e-9), past["sd"])
-            flags[f"{v}_zscore_{w}h"] = F.abs((F.col(f"{v}_hourly_residual") - past["mean"]) / spread)
+            n, spread = past["n"].cast("double"), _spread(past)
+            away = F.abs(F.round(F.col(f"{v}_hourly_residual") * 1e6) - past["sum"].cast("double") / n)
+            flags[f"{v}_zscore_{w}h"] = r6(F.when((past["n"] >= max(2, min(config.least_rows, w))) & (spread >= 0.5), away / F.sqrt(F.greatest(spread, F.lit(0.5)) / (n * (n - 1)))))
         recent = F.col(f"_{v}_recent")
-        flags[f"{v}_persistence_anomaly"] = flag((recent["n"] >= config.persistence_rows) & (recent["sd"] < config.persistence_tolerance))
+        flags[f"{v}_persistence_anomaly"] = flag((recent["n"] >= config.persistence_rows) & (_spread(recent) < (config.persistence_tolerance * 1e6) ** 2 * recent["n"] * (recent["n"] - 1)))
     out = out.withColumns(flags).withColumns({f"{v}_zscore_{w}h_anomaly": flag(F.col(f"{v}_zscore_{w}h") > config.z_limit) for v in variables for w in config.windows})
     families = {
         "range": [F.col(f"{v}_range_anomaly") for v in variables], "roc": [F.col(f"{v}_roc_anomaly") for v in variables],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +15,8 @@ from ..sources import tables
 from . import sql
 
 V = VARIABLES
-#: Places for the stations of the test networks, which have none.
-EVENT_PLACES = [("click", 28.61, 77.21), ("error", 28.46, 77.03), ("purchase", 28.54, 77.39), ("signup", 28.41, 77.32), ("view", 28.70, 77.10)]
-LINE_PLACES = [("AF", 28.61, 77.21), ("AO", 28.46, 77.03), ("NF", 28.54, 77.39), ("NO", 28.41, 77.32), ("RF", 28.70, 77.10), ("RO", 28.35, 77.25)]
+#: Columns of the wide table.
+EVENT_STATIONS = ("click", "error", "purchase", "signup", "view")
 EVENT_CUT, LINE_CUT = "2024-01-21 00:00:00", "1999-01-01 00:00:00"
 EVENT_STAT = StatisticalConfig(ranges={"temperature": (0.5, 200.0), "humidity": (1.0, 8.0), "pressure": (1.0, 300.0)})
 LINE_STAT = StatisticalConfig(windows=(24, 168), persistence_tolerance=0.001, ranges={"temperature": (2.0, 49.0), "humidity": (0.0, 0.1), "pressure": (2000.0, 102000.0)})
@@ -44,41 +43,60 @@ def out(df: DataFrame, *columns) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c, kind in df.dtypes if kind.startswith("timestamp")})
 
 
-def places(spark: SparkSession, rows: list) -> DataFrame:
-    return spark.createDataFrame(rows, f"{STATION} string, latitude double, longitude double")
-
-
 def before(df: DataFrame, cut: str) -> DataFrame:
     return df.where(F.col(TIME) < F.lit(cut).cast(dict(df.dtypes)[TIME]))
 
 
 class Network:
-    """One test network with its calibrated tables. The raw table is reduced to observations once; all detectors read those."""
+    """One test network with its calibrated tables, each computed once and staged. The raw table is reduced to observations once; all detectors read those."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, lines: bool, faults: bool = False):
         self.spark, self.lines = spark, lines
         clean = tables.stage(tables.daily_lines(spark, sf_dir) if lines else tables.hourly_events(spark, sf_dir), "observations")
         self.clean, self.cut, self.config = clean, LINE_CUT if lines else EVENT_CUT, LINE_STAT if lines else EVENT_STAT
         self.history = before(clean, self.cut)
-        self.graph = spatial.neighbours(places(spark, LINE_PLACES if lines else EVENT_PLACES), SPATIAL)
         self.obs = tables.stage(inject.inject(clean, INJECT)[0], "faulty") if faults else clean
 
-    def statistical(self) -> DataFrame:
-        return statistical.detect(self.obs, statistical.calibrate(self.history, self.config), self.config)
+    @cached_property
+    def places(self) -> DataFrame:
+        return tables.stage(tables.station_places(self.clean), "places")
 
-    def spatial(self) -> DataFrame:
-        return spatial.detect(self.obs, self.graph, spatial.calibrate(self.history, self.graph, SPATIAL), SPATIAL)
+    @cached_property
+    def graph(self) -> DataFrame:
+        return tables.stage(spatial.neighbours(self.places, SPATIAL), "graph")
+
+    @cached_property
+    def hourly(self) -> DataFrame:
+        return tables.stage(statistical.calibrate(self.history, self.config), "hourly")
+
+    @cached_property
+    def limits(self) -> DataFrame:
+        return tables.stage(spatial.calibrate(self.history, self.graph, SPATIAL), "limits")
+
+    @cached_property
+    def linear_tables(self) -> reconstruct.ReconstructionTables:
+        return reconstruct.calibrate(self.history, RECON, True)
+
+    @cached_property
+    def mean_tables(self) -> reconstruct.ReconstructionTables:
+        return reconstruct.calibrate(self.history, RECON, False)
 
     def recon_tables(self, linear: bool = False) -> reconstruct.ReconstructionTables:
-        return reconstruct.calibrate(self.history, RECON, linear)
+        return self.linear_tables if linear else self.mean_tables
+
+    def statistical(self) -> DataFrame:
+        return statistical.detect(self.obs, self.hourly, self.config)
+
+    def spatial(self) -> DataFrame:
+        return spatial.detect(self.obs, self.graph, self.limits, SPATIAL)
 
     def reconstruction(self, linear: bool = False) -> DataFrame:
         return reconstruct.detect(self.obs, self.recon_tables(linear), RECON)
 
     def fused(self, linear: bool = False) -> DataFrame:
         """The joined outputs are staged: evaluations aggregate them several times over."""
-        joined = fusion.join_outputs(self.obs, self.statistical(), self.spatial(), self.reconstruction(linear))
-        return fusion.vote(tables.stage(joined, "fused"))
+        joined = fusion.join_outputs(self.obs, self.statistical(), self.spatial(), self.reconstruction(linear), check=False)
+        return fusion.vote(fusion.validated(tables.stage(joined, "fused")))
 
 
 # ------------------------------------------------------------ parts of the SQL
@@ -86,7 +104,7 @@ class Network:
 EV = sql.EVENTS + sql.history("ev", EVENT_CUT)
 EV_HOURLY = EV + sql.hourly("ev_hist", "ev_hourly", EVENT_STAT)
 EV_STAT = EV_HOURLY + sql.statistical("ev", "ev_hourly", "ev_stat", EVENT_STAT)
-EV_GRAPH = sql.graph(EVENT_PLACES, "ev_graph", SPATIAL)
+EV_GRAPH = sql.graph("ev", "ev_graph", SPATIAL)
 EV_RES = EV + EV_GRAPH + sql.residuals("ev", "ev_graph", "ev_res", SPATIAL)
 EV_HRES = EV + EV_GRAPH + sql.residuals("ev_hist", "ev_graph", "ev_hres", SPATIAL)
 EV_LIMITS = EV_HRES + sql.spatial_limits("ev_hres", "ev_limits", SPATIAL)
@@ -102,7 +120,7 @@ LN_INJ = LN + sql.injection("ln", "inj", INJECT)
 
 def _all_detectors(obs: str, tag: str) -> sql.Part:
     return (
-        LN_INJ + sql.hourly("ln_hist", "ln_hourly", LINE_STAT) + sql.statistical(obs, "ln_hourly", f"{tag}_stat", LINE_STAT) + sql.graph(LINE_PLACES, "ln_graph", SPATIAL)
+        LN_INJ + sql.hourly("ln_hist", "ln_hourly", LINE_STAT) + sql.statistical(obs, "ln_hourly", f"{tag}_stat", LINE_STAT) + sql.graph("ln", "ln_graph", SPATIAL)
         + sql.residuals(obs, "ln_graph", f"{tag}_res", SPATIAL) + sql.residuals("ln_hist", "ln_graph", "ln_hres", SPATIAL) + sql.spatial_limits("ln_hres", "ln_limits", SPATIAL)
         + sql.spatial(f"{tag}_res", "ln_limits", f"{tag}_spat", SPATIAL) + LN_BOUNDS + sql.windows(obs, "ln_norm", f"{tag}_win", RECON) + sql.mean_scores(f"{tag}_win", f"{tag}_scores", RECON)
         + sql.reconstruction(f"{tag}_win", f"{tag}_scores", "ln_bounds", f"{tag}_recon", RECON)
@@ -154,7 +172,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_(EV_HOURLY) + "SELECT station_id, CAST(hour AS INTEGER) AS hour, " + sql.join(f"{v}_baseline, {v}_roc_limit" for v in V) + " FROM ev_hourly")
 def hourly_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistical.calibrate(Network(spark, sf_dir, False).history, EVENT_STAT)
+    return Network(spark, sf_dir, False).hourly
 
 
 RANGE = [f"{v}_range_anomaly" for v in V]
@@ -166,13 +184,12 @@ LADDER = [*(f"evidence_{f}" for f in statistical.FAMILIES), "statistical_flag_co
 
 
 def _statistical(columns: list[str]) -> Query:
-    shown = lambda c: F.round(c, 4).alias(c) if c.endswith("h") else F.col(c)  # noqa: E731  deviations: engines' window sums differ beyond
-    return lambda spark, sf_dir: out(Network(spark, sf_dir, False).statistical(), STATION, TIME, *map(shown, columns))
+    return lambda spark, sf_dir: out(Network(spark, sf_dir, False).statistical(), STATION, TIME, *columns)
 
 
 for _name, _columns in {"range_flags": RANGE, "rate_of_change": RATES, "hourly_residual": RESIDUALS, "rolling_zscore": SCORES, "persistence_flags": STUCK, "statistical_severity": LADDER}.items():
     QUERIES[_name] = _statistical(_columns)
-    ORACLES[_name] = sql.with_(EV_STAT) + f"SELECT station_id, {S}, {sql.join(f'round({c}, 4) AS {c}' if c.endswith('h') else c for c in _columns)} FROM ev_stat"
+    ORACLES[_name] = sql.with_(EV_STAT) + f"SELECT station_id, {S}, {sql.join(_columns)} FROM ev_stat"
 
 
 @query(sql.with_(EV_STAT) + " UNION ALL ".join(
@@ -185,11 +202,11 @@ def alert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------- spatial
 
 
-@query(sql.with_(EV, EV_GRAPH) + "SELECT g.station_id, g.neighbor_id, g.rank, g.distance_km, g.weight, n.rows FROM ev_graph g JOIN (SELECT station_id, count(*) AS rows FROM ev GROUP BY 1) n ON g.neighbor_id = n.station_id")
+@query(sql.with_(EV, EV_GRAPH) + "SELECT g.station_id, g.neighbor_id, g.rank, g.distance_km, round(g.weight, 6) AS weight, n.rows FROM ev_graph g JOIN (SELECT station_id, count(*) AS rows FROM ev GROUP BY 1) n ON g.neighbor_id = n.station_id")
 def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = Network(spark, sf_dir, False)
     seen = net.obs.groupBy(F.col(STATION).alias("neighbor_id")).agg(F.count("*").alias("rows"))
-    return net.graph.join(seen, "neighbor_id")
+    return net.graph.withColumn("weight", r6("weight")).join(seen, "neighbor_id")
 
 
 SPATIAL_COLUMNS = [f"{v}_spatial_{k}" for v in V for k in ("expected", "residual", "neighbor_count", "neighbor_mad")]
@@ -205,7 +222,7 @@ def idw_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql.with_(EV_LIMITS) + "SELECT * FROM ev_limits")
 def spatial_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = Network(spark, sf_dir, False)
-    return spatial.calibrate(net.history, net.graph, SPATIAL)
+    return net.limits
 
 
 @query(sql.with_(EV_SPAT) + f"SELECT station_id, {S}, {sql.join(SPATIAL_FLAGS)} FROM ev_spat")
@@ -222,7 +239,7 @@ SHIFTED = [("shifted", f"SELECT station_id, timestamp, CASE WHEN timestamp = TIM
 def regional_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = Network(spark, sf_dir, False)
     moved = spatial.regional_shift(net.obs, SHIFT_AT, 6.0)
-    found = spatial.detect(moved, net.graph, spatial.calibrate(net.history, net.graph, SPATIAL), SPATIAL)
+    found = spatial.detect(moved, net.graph, net.limits, SPATIAL)
     return explore.snapshot(found, SHIFT_AT).select(STATION, "temperature_spatial_residual", "temperature_spatial_anomaly")
 
 
@@ -680,9 +697,9 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.describe(tables.hourly_events(spark, sf_dir))
 
 
-@query(sql.with_(sql.EVENTS) + f"SELECT {S}, " + sql.join(f"max(temperature) FILTER (station_id = '{s}') AS {s}" for s, _, _ in EVENT_PLACES) + " FROM ev GROUP BY ev.timestamp")
+@query(sql.with_(sql.EVENTS) + f"SELECT {S}, " + sql.join(f"max(temperature) FILTER (station_id = '{s}') AS {s}" for s in EVENT_STATIONS) + " FROM ev GROUP BY ev.timestamp")
 def pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(explore.wide(tables.hourly_events(spark, sf_dir), "temperature", [s for s, _, _ in EVENT_PLACES]))
+    return out(explore.wide(tables.hourly_events(spark, sf_dir), "temperature", list(EVENT_STATIONS)))
 
 
 _TWO = [("two", "SELECT a.station_id AS a, o.station_id AS b, a.temperature AS x, o.temperature AS y FROM ev a JOIN ev o ON a.timestamp = o.timestamp AND a.station_id < o.station_id")]
@@ -705,7 +722,7 @@ def spatial_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.with_(sql.EVENTS) + f"SELECT station_id, {S}, temperature, humidity, pressure FROM ev WHERE timestamp = TIMESTAMP '{SHIFT_AT}'")
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(explore.snapshot(tables.hourly_events(spark, sf_dir), SHIFT_AT))
+    return out(tables.hourly_events(spark, sf_dir, at=SHIFT_AT))
 
 
 @query(sql.with_(sql.EVENTS) + "SELECT station_id, count(*) AS rows FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")

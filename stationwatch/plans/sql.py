@@ -29,10 +29,18 @@ def b(condition: str) -> str:
     return f"coalesce({condition}, false)"
 
 
-EVENTS: Part = [("ev", """SELECT event_type AS station_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp, round(avg(value), 6) AS temperature,
+def _units(v: str) -> str:
+    return f"CAST(round({v} * 1e6) AS HUGEINT)"
+
+
+def mean6(v: str) -> str:
+    return f"floor((2 * CAST(sum({_units(v)}) AS DOUBLE) + count({v})) / nullif(2 * count({v}), 0)) / 1e6"
+
+
+EVENTS: Part = [("ev", f"""SELECT event_type AS station_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS timestamp, {mean6('value')} AS temperature,
     CAST(count(*) AS DOUBLE) AS humidity, round(max(value), 6) AS pressure FROM events GROUP BY 1, 2""")]
-LINES: Part = [("ln", """SELECT l_returnflag || l_linestatus AS station_id, CAST(l_shipdate AS TIMESTAMP) AS timestamp, round(avg(l_quantity), 6) AS temperature,
-    round(avg(l_discount), 6) AS humidity, round(avg(l_extendedprice), 6) AS pressure FROM lineitem GROUP BY 1, 2""")]
+LINES: Part = [("ln", f"""SELECT l_returnflag || l_linestatus AS station_id, CAST(l_shipdate AS TIMESTAMP) AS timestamp, {mean6('l_quantity')} AS temperature,
+    {mean6('l_discount')} AS humidity, {mean6('l_extendedprice')} AS pressure FROM lineitem GROUP BY 1, 2""")]
 
 
 def history(obs: str, cut: str) -> Part:
@@ -44,7 +52,8 @@ def history(obs: str, cut: str) -> Part:
 
 def hourly(hist: str, name: str, config: StatisticalConfig) -> Part:
     steps = join(f"abs({v} - lag({v}) OVER (PARTITION BY station_id ORDER BY timestamp)) AS d_{v}" for v in V)
-    columns = join(f"round(avg({v}), 4) AS {v}_baseline, round(quantile_cont(d_{v}, {config.roc_quantile}), 6) AS {v}_roc_limit" for v in V)
+    mean = lambda v: f"floor((2 * CAST(sum({_units(v)}) AS DOUBLE) + 100 * count({v})) / nullif(200 * count({v}), 0)) / 1e4"
+    columns = join(f"{mean(v)} AS {v}_baseline, round(quantile_cont(d_{v}, {config.roc_quantile}), 6) AS {v}_roc_limit" for v in V)
     return [(f"{name}_steps", f"SELECT station_id, hour(timestamp) AS hour, {join(V)}, {steps} FROM {hist}"), (name, f"SELECT station_id, hour, {columns} FROM {name}_steps GROUP BY 1, 2")]
 
 
@@ -55,16 +64,21 @@ def statistical(obs: str, hours: str, name: str, config: StatisticalConfig) -> P
     windows = [f"round(abs({v} - lag({v}) {w})), 6) AS {v}_rate_of_change" for v in V]
     n = config.persistence_rows
     for v in V:
-        windows += [f"stddev_samp({v}) {w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {v}_ps, count({v}) {w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS {v}_pn"]
+        recent = f"{w} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        windows += [f"sum({_units(v)}) {recent} AS {v}_ps, sum({_units(v)} * {_units(v)}) {recent} AS {v}_pq, count({v}) {recent} AS {v}_pn"]
         for k in config.windows:
             frame = f"{w} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)"
-            windows += [f"{f}({v}_hourly_residual) {frame} AS {v}_{k}_{a}" for f, a in (("avg", "m"), ("stddev_samp", "s"), ("count", "n"))]
+            units = _units(f"{v}_hourly_residual")
+            windows += [f"sum({units}) {frame} AS {v}_{k}_s", f"sum({units} * {units}) {frame} AS {v}_{k}_q", f"count({v}_hourly_residual) {frame} AS {v}_{k}_n"]
     flags = []
     for v in V:
         low, high = config.ranges[v]
         flags += [f"{b(f'{v} < {low} OR {v} > {high}')} AS {v}_range_anomaly", f"{b(f'{v}_rate_of_change > {v}_roc_limit')} AS {v}_roc_anomaly",
-                  f"{b(f'{v}_pn >= {n} AND {v}_ps < {config.persistence_tolerance}')} AS {v}_persistence_anomaly"]
-        flags += [f"CASE WHEN {v}_{k}_n >= {min(config.least_rows, k)} AND {v}_{k}_s > 1e-9 THEN abs(({v}_hourly_residual - {v}_{k}_m) / {v}_{k}_s) END AS {v}_zscore_{k}h" for k in config.windows]
+                  f"{b(f'{v}_pn >= {n} AND CAST({v}_pn * {v}_pq - {v}_ps * {v}_ps AS DOUBLE) < {(config.persistence_tolerance * 1e6) ** 2!r}::DOUBLE * {v}_pn * ({v}_pn - 1)')} AS {v}_persistence_anomaly"]
+        for k in config.windows:
+            seen, total = (f"CAST({v}_{k}_{a} AS DOUBLE)" for a in "ns")
+            spread = f"CAST({v}_{k}_n * {v}_{k}_q - {v}_{k}_s * {v}_{k}_s AS DOUBLE)"
+            flags += [f"CASE WHEN {v}_{k}_n >= {max(2, min(config.least_rows, k))} AND {spread} >= 0.5 THEN round(abs(round({v}_hourly_residual * 1e6) - {total} / {seen}) / sqrt(greatest({spread}, 0.5) / ({seen} * ({seen} - 1))), 6) END AS {v}_zscore_{k}h"]
     z = join(f"{b(f'{v}_zscore_{k}h > {config.z_limit}')} AS {v}_zscore_{k}h_anomaly" for v in V for k in config.windows)
     family = {"range": [f"{v}_range_anomaly" for v in V], "roc": [f"{v}_roc_anomaly" for v in V],
               "level": [f"{v}_zscore_{k}h_anomaly" for v in V for k in config.windows], "persistence": [f"{v}_persistence_anomaly" for v in V]}
@@ -85,15 +99,19 @@ def statistical(obs: str, hours: str, name: str, config: StatisticalConfig) -> P
 # --------------------------------------------------------------------- spatial
 
 
-def graph(stations: list[tuple[str, float, float]], name: str, config: SpatialConfig) -> Part:
-    values = join(f"('{s}', CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for s, lat, lon in stations)
+def places(obs: str, name: str) -> Part:
+    degree = lambda what, low: f"round({low} + {_u('station_id', chr(39) + what + chr(39))}, 6)"
+    return [(name, f"SELECT station_id, {degree('latitude', 28)} AS latitude, {degree('longitude', 77)} AS longitude FROM (SELECT DISTINCT station_id FROM {obs})")]
+
+
+def graph(obs: str, name: str, config: SpatialConfig) -> Part:
     return [
-        (f"{name}_s", f"SELECT * FROM (VALUES {values}) t(station_id, latitude, longitude)"),
+        *places(obs, f"{name}_s"),
         (f"{name}_d", f"""SELECT a.station_id, o.station_id AS neighbor_id, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(o.latitude - a.latitude) / 2), 2)
             + cos(radians(a.latitude)) * cos(radians(o.latitude)) * pow(sin(radians(o.longitude - a.longitude) / 2), 2))), 6) AS distance_km FROM {name}_s a JOIN {name}_s o ON a.station_id <> o.station_id"""),
         (f"{name}_r", f"SELECT *, CAST(row_number() OVER (PARTITION BY station_id ORDER BY distance_km, neighbor_id) AS INTEGER) AS rank FROM {name}_d"),
-        (name, f"""SELECT station_id, neighbor_id, rank, distance_km, round((1 / pow(greatest(distance_km, 1e-6), {config.power})) / sum(1 / pow(greatest(distance_km, 1e-6), {config.power}))
-            OVER (PARTITION BY station_id), 6) AS weight FROM {name}_r WHERE rank <= {config.neighbours}"""),
+        (name, f"""SELECT station_id, neighbor_id, rank, distance_km, (1 / pow(greatest(distance_km, 1e-6), {config.power})) / sum(1 / pow(greatest(distance_km, 1e-6), {config.power}))
+            OVER (PARTITION BY station_id) AS weight FROM {name}_r WHERE rank <= {config.neighbours}"""),
     ]
 
 

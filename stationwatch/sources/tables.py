@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import STATION, TIME, VARIABLES
-from ..functions.scalar import nan_to_null, r6
+from ..functions.scalar import mean6, nan_to_null, r6, uniform
 
 OBSERVATION = T.StructType([
     T.StructField(TIME, T.TimestampType()), T.StructField(STATION, T.StringType()), T.StructField("station_name", T.StringType()),
@@ -28,14 +28,15 @@ def read_observations(spark: SparkSession, parquet: str | None = None, csv: str
     """Parquet, or CSV if there is no Parquet at the path; NaN becomes null."""
     from pyspark.errors import AnalysisException
 
+    found = None
     try:
-        if parquet is None:
-            raise AnalysisException("no Parquet path")
-        found = spark.read.parquet(parquet)
-        found.schema  # noqa: B018  resolves the path
-    except AnalysisException:
-        if csv is None:
+        found = spark.read.parquet(parquet) if parquet is not None else None
+    except AnalysisException as e:
+        if csv is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
+    if found is None:
+        if csv is None:
+            raise InvalidData("no path")
         found = spark.read.option("header", True).schema(OBSERVATION).csv(csv)
     doubles = [f.name for f in found.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     return found.withColumns({c: nan_to_null(F.col(c)) for c in doubles})
@@ -83,6 +84,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise InvalidData("spark.checkpoint.dir is unset: executors of a cluster need a shared folder")
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(path)
@@ -132,11 +135,27 @@ def detector_input(df: DataFrame, variables: tuple[str, ...] = VARIABLES) -> Dat
 # --------------------------------------------------- the test tables as networks
 
 
-def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types as stations on an hourly grid: mean, number and maximum of values."""
+def station_places(obs: DataFrame) -> DataFrame:
+    """A place for each station that occurs, for networks whose tables have none: within a degree, by a hash of the name."""
+    degree = lambda what, low: r6(low + uniform(F.col(STATION), F.lit(what))).alias(what)
+    return obs.select(STATION).distinct().select(STATION, degree("latitude", 28), degree("longitude", 77))
+
+
+def read_station(spark: SparkSession, path: str, station: str, first: str, last: str) -> DataFrame:
+    """The rows of one station between two times, both included: the predicates reach the Parquet scan."""
+    rows = spark.read.parquet(path)
+    kind = dict(rows.dtypes)[TIME]
+    return rows.where((F.col(STATION) == station) & F.col(TIME).between(F.lit(first).cast(kind), F.lit(last).cast(kind)))
+
+
+def hourly_events(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """Event types as stations on an hourly grid: mean, number and maximum of values; with ``at`` of that hour only, which the scan is told."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if at is not None:
+        hour = F.lit(at).cast(dict(events.dtypes)["ts"])
+        events = events.where((F.col("ts") >= hour) & (F.col("ts") < hour + F.expr("INTERVAL 1 HOUR")))
     return events.groupBy(F.col("event_type").alias(STATION), F.date_trunc("hour", "ts").alias(TIME)).agg(
-        r6(F.avg("value")).alias("temperature"), F.count("*").cast("double").alias("humidity"), r6(F.max("value")).alias("pressure"))
+        mean6("value").alias("temperature"), F.count("*").cast("double").alias("humidity"), r6(F.max("value")).alias("pressure"))
 
 
 def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,4 +163,4 @@ def daily_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     station: Column = F.concat("l_returnflag", "l_linestatus")
     return lines.groupBy(station.alias(STATION), F.col("l_shipdate").alias(TIME)).agg(
-        r6(F.avg("l_quantity")).alias("temperature"), r6(F.avg("l_discount")).alias("humidity"), r6(F.avg("l_extendedprice")).alias("pressure"))
+        mean6("l_quantity").alias("temperature"), mean6("l_discount").alias("humidity"), mean6("l_extendedprice").alias("pressure"))
