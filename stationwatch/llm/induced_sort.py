@@ -162,6 +162,12 @@ def suffix_order(text: np.ndarray, symbols: int) -> np.ndarray:
     return _induce(text, s_type, order, symbols)
 
 
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int, step: int = 1 << 14) -> np.ndarray:
+    """Whether ``length`` bytes from a and from b are the same: bytes decide, hashes only choose whom to compare."""
+    view = np.lib.stride_tricks.sliding_window_view(raw, length) if len(raw) >= length else np.zeros((0, length), np.uint8)
+    return np.concatenate([np.zeros(0, bool), *((view[a[i : i + step]] == view[b[i : i + step]]).all(1) for i in range(0, len(a), step))])
+
+
 def repeated_starts(rows: list[bytes], least: int) -> list[np.ndarray]:
     """For each row the positions of its substrings of ``least`` bytes that stand at another place of any row too."""
     sizes = np.array([len(r) for r in rows])
@@ -178,8 +184,9 @@ def repeated_starts(rows: list[bytes], least: int) -> list[np.ndarray]:
     order = order[valid[order]]
     prefix = prefix_hash(raw)
     content = span_hash(prefix, order, order + least)
-    same = content[1:] == content[:-1]  # the common prefix of neighbours reaches ``least``
+    same = np.flatnonzero(content[1:] == content[:-1])  # the common prefix of neighbours seems to reach ``least``
+    same = same[_equal(raw, order[same], order[same + 1], least)]
     repeated = np.zeros(len(text), bool)
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
+    repeated[order[same + 1]] = True
+    repeated[order[same]] = True
     return [np.flatnonzero(repeated[start : start + size]) for start, size in zip(starts[:-1], sizes, strict=True)]

@@ -128,12 +128,28 @@ def test_induced_sort_orders_suffixes(monkeypatch, in_memory):
         assert list(induced_sort.suffix_order(np.array(s, np.int16), 8)) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_long_texts_go_in_pieces(monkeypatch):
+def test_long_texts_go_in_pieces(spark, monkeypatch, docs, corpus):
+    """Texts of many pieces lose the same bytes as whole ones."""
     rng = random.Random(2)
-    text = np.frombuffer((words(rng, 3000)).encode(), np.uint8)
-    whole = suffix_dedup.runs(text, np.array([0, len(text)]))
-    starts = np.concatenate([np.arange(f, f + s - 399) for f, s in zip(whole[1], whole[2], strict=True)])
-    assert sorted(starts) == list(range(len(text) - 399))
+    long = words(rng, 3000)
+    rows = [(1, long), (2, f"{words(rng, 50)} {long[4000:9000]} {words(rng, 50)}"), (3, words(rng, 900))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = sorted(map(str, map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect())))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    found = suffix_dedup.digest(suffix_dedup.remove_repeats(df)).collect()
+    assert sorted(map(str, map(tuple, found))) == wanted
+    assert {r.doc_id: r.n_removed for r in found if r.doc_id in (2,)}[2] >= 5000
+
+
+def test_bytes_decide_not_hashes(monkeypatch):
+    """With a hash that calls everything equal, only equal strings count as repeats."""
+    rng = random.Random(4)
+    rows = [words(rng, 200).encode() for _ in range(6)]
+    rows.append(rows[0][50:600])
+    wanted = [list(x) for x in induced_sort.repeated_starts(rows, 400)]
+    monkeypatch.setattr(induced_sort, "span_hash", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(induced_sort, "suffix_order", lambda text, symbols: np.array(sorted(range(len(text)), key=lambda i: text[i:].tolist())))
+    assert [list(x) for x in induced_sort.repeated_starts(rows, 400)] == wanted and sum(map(len, wanted)) > 0
 
 
 def test_language_identification(spark, none):
