@@ -3,11 +3,14 @@
 All substrings of LEAST bytes are dealt into shards by their minimiser, the
 lowest hash of a GRAM-byte gram in them: equal substrings have the same one at
 the same place. Neighbouring substrings with one minimiser travel as one run of
-text, about two runs in LEAST bytes. Runs whose gram stands alone cannot repeat
-and go no further, and equal runs become one class that repeats throughout.
-Only unequal runs with a common gram are compared: their texts are sorted by
-gram, cut into shards and given to external induced suffix sorting, whose
-neighbours with a common prefix of LEAST bytes are the repeats.
+text, about two runs in LEAST bytes. Equal runs become one class that repeats
+throughout. Unequal runs with a common gram can only share LEAST bytes if they
+also share the SIDE bytes before it or the SIDE bytes behind it, for a string of
+LEAST bytes around a gram holds one of the two. So a gram, however common, falls
+apart into groups by what stands beside it; runs that are alone in theirs go no
+further. The texts of the others are cut into shards of whole groups and given to
+external induced suffix sorting, whose neighbours with a common prefix of LEAST
+bytes are the repeats.
 """
 
 from __future__ import annotations
@@ -16,14 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, powers, prefix_hash, slices, span_hash, stage, _INVERSE
 from .induced_sort import repeated_starts
 
 LEAST, GRAM = 400, 16
-#: A shard takes whole grams until it holds so many bytes.
+SIDE = (LEAST - GRAM) // 2
+#: A shard takes whole groups until it holds so many bytes.
 SHARD_BYTES = 2 << 20
 #: Longer texts are read in pieces that overlap by LEAST - 1 bytes.
 PIECE = 4 << 20
@@ -46,10 +50,11 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of substring starts with one minimiser: row, first start within the row, bytes of the run's text, gram hash, content hash."""
+    """Runs of substring starts with one minimiser: row, first start within the row, bytes of the run's text, gram hash, content hash, hashes of
+    the SIDE bytes before and behind the gram (0 where the run has fewer)."""
     none = np.zeros(0, np.int64)
     if len(data) < LEAST:
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none
     prefix = prefix_hash(data)
     n_grams = len(data) - GRAM + 1
     grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(n_grams, _INVERSE))
@@ -60,12 +65,15 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     inside = starts + LEAST <= offsets[row + 1]
     starts, row, least = starts[inside], row[inside], least[inside]
     if not len(starts):
-        return none, none, none, none, none
+        return none, none, none, none, none, none, none
     opens = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])]))
     last = np.concatenate([opens[1:], [len(starts)]]) - 1
     first, end = starts[opens], starts[last] + LEAST
     content = mix(span_hash(prefix, first, end) + ((least[opens] - first).astype(np.uint64) << np.uint64(32)) + (end - first).astype(np.uint64))
-    return row[opens], first - offsets[row[opens]], end - first, grams[least[opens]].view(np.int64), content.view(np.int64)
+    at = least[opens]
+    before = np.where(at - SIDE >= first, span_hash(prefix, np.maximum(at - SIDE, 0), at) | np.uint64(1), np.uint64(0))
+    behind = np.where(at + GRAM + SIDE <= end, span_hash(prefix, at + GRAM, np.minimum(at + GRAM + SIDE, len(data))) | np.uint64(1), np.uint64(0))
+    return row[opens], first - offsets[row[opens]], end - first, grams[at].view(np.int64), content.view(np.int64), before.view(np.int64), behind.view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -79,18 +87,22 @@ def _all_runs(texts: DataFrame) -> DataFrame:
             t1, t2 = batch.column("t1").to_numpy(), batch.column("t2").to_numpy()
             for at in range(0, max(len(data) - LEAST + 1, 1), PIECE):  # one piece unless one text is very long
                 piece = data[at : at + PIECE + LEAST - 1]
-                row, first, size, gram, content = runs(piece, np.clip(offsets - at, 0, len(piece)))
+                row, first, size, gram, content, before, behind = runs(piece, np.clip(offsets - at, 0, len(piece)))
                 inner = first + np.maximum(at - offsets[row], 0)
-                yield pa.RecordBatch.from_pydict({"t1": t1[row], "t2": t2[row], "first": inner, "size": size.astype(np.int32), "gram": gram, "content": content})
+                yield pa.RecordBatch.from_pydict({
+                    "t1": t1[row], "t2": t2[row], "first": inner, "size": size.astype(np.int32), "gram": gram, "content": content, "before": before, "behind": behind})
 
-    return texts.mapInArrow(find, "t1 long, t2 long, first long, size int, gram long, content long")
+    return texts.mapInArrow(find, "t1 long, t2 long, first long, size int, gram long, content long, before long, behind long")
 
 
 def _compare(run_texts: DataFrame) -> DataFrame:
-    """(gram, content, spans) of the runs with repeated substrings, by induced sorting of shards that arrive sorted by gram."""
+    """(gram, content, spans) of the runs with repeated substrings, by induced sorting of shards that arrive sorted by side and group.
+
+    A run is in at most one group of each side, and no shard holds both sides, so none meets itself.
+    """
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, contents, texts, held = [], [], [], 0
+        grams, contents, texts, held, last = [], [], [], 0, None
 
         def result() -> pa.RecordBatch:
             spans = []
@@ -102,10 +114,11 @@ def _compare(run_texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({"gram": pa.array(grams, pa.int64()), "content": pa.array(contents, pa.int64()), "spans": pa.array(spans, kind)})
 
         for batch in batches:
-            for gram, content, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "content", "body")), strict=True):
-                if held >= SHARD_BYTES and gram != grams[-1]:
+            for side, gram, key, content, text in zip(*(batch.column(c).to_pylist() for c in ("side", "gram", "key", "content", "body")), strict=True):
+                if last is not None and (side != last[0] or held >= SHARD_BYTES and (side, gram, key) != last):
                     yield result()
                     grams, contents, texts, held = [], [], [], 0
+                last = side, gram, key
                 grams.append(gram)
                 contents.append(content)
                 texts.append(text)
@@ -113,19 +126,20 @@ def _compare(run_texts: DataFrame) -> DataFrame:
         if texts:
             yield result()
 
-    return run_texts.repartition("gram").sortWithinPartitions("gram", "content").mapInArrow(shards, f"gram long, content long, spans {_SPANS}")
+    return run_texts.repartition("side", "gram", "key").sortWithinPartitions("side", "gram", "key", "content").mapInArrow(shards, f"gram long, content long, spans {_SPANS}")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(t1, t2, spans) of every text with repeats, spans in bytes, not yet merged."""
     texts = _keyed(docs.select("text").where(F.col("text").isNotNull()))
     found = stage(_all_runs(texts), "runs")
-    by_gram = Window.partitionBy("gram")
-    classes = found.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "size")).alias("at"))
-    classes = stage(classes.withColumn("classes", F.count("*").over(by_gram)).where("n > 1 OR classes > 1"), "classes")
-
-    unequal = classes.where("classes > 1").select("at.*", "gram", "content")
-    wanted = stage(unequal.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "size", "gram", "content")).alias("cuts")), "wanted")
+    classes = found.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "first", "size", "before", "behind")).alias("at"))
+    classes = stage(classes, "classes")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("at.before").alias("key")), F.struct(F.lit(1).alias("side"), F.col("at.behind").alias("key"))))
+    placed = classes.select("gram", "content", "at", sides.alias("s")).select("gram", "content", "at", "s.side", "s.key").where("key <> 0")
+    groups = placed.groupBy("gram", "side", "key").agg(F.count("*").alias("members")).where("members > 1").select("gram", "side", "key")
+    unequal = placed.join(groups, ["gram", "side", "key"]).select("at.t1", "at.t2", "at.first", "at.size", "gram", "content", "side", "key")
+    wanted = stage(unequal.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "size", "gram", "content", "side", "key")).alias("cuts")), "wanted")
     keys = wanted.select("t1", "t2")
     few = keys.count() <= BROADCAST_KEYS
     holders = texts.join(F.broadcast(keys) if few else keys, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
@@ -135,11 +149,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                 raw = text.encode()
                 yield pa.RecordBatch.from_pydict({
-                    "gram": pa.array([c["gram"] for c in cuts], pa.int64()), "content": pa.array([c["content"] for c in cuts], pa.int64()),
+                    "side": pa.array([c["side"] for c in cuts], pa.int32()), **{k: pa.array([c[k] for c in cuts], pa.int64()) for k in ("gram", "key", "content")},
                     "body": pa.array([raw[c["first"] : c["first"] + c["size"]] for c in cuts], pa.binary()),
                 })
 
-    bodies = holders.join(wanted, ["t1", "t2"]).mapInArrow(cut, "gram long, content long, body binary")
+    bodies = holders.join(wanted, ["t1", "t2"]).mapInArrow(cut, "side int, gram long, key long, content long, body binary")
     compared = _compare(bodies).where(F.size("spans") > 0)
     whole = classes.where("n > 1").select("gram", "content", F.lit(True).alias("whole"))
     repeats = whole.join(compared, ["gram", "content"], "full_outer")
