@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES
-from ..functions.scalar import r6, to_number
+from ..functions.scalar import to_number
 from ..operators import evaluate, explain, explore, fusion, inject, reconstruct
 from ..sources import tables
 from . import sql
+from .calibration import Calibration
 from .queries import (
-    _COLOUR, _IDX, _PAIRS, _diagnosed, _faulty, _scored, CLEAN_FUSED, EV_FAULTY, FUSED, INJ_RECON, INJECT, LN, LN_BOUNDS, LN_INJ, Network, RECON, S, _n, _p, _r, _w, out, query,
+    _COLOUR, _IDX, _PAIRS, _diagnosed, _faulty, _scored, CLEAN_FUSED, EV_FAULTY, FUSED, INJ_RECON, INJECT, LN, LN_BOUNDS, LN_INJ, Network, RECON, S, SPATIAL, _n, _p, _r, _w, out, query,
 )
 
 V = VARIABLES
@@ -222,3 +225,12 @@ def stale_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explanations stored for the clean network, looked up for the one with faults."""
     stored = explain.explain(Network(spark, sf_dir, True).fused())
     return out(explore.stale_explanations(_faulty(spark, sf_dir), stored))
+
+
+@query(sql.with_(CLEAN_FUSED) + f"SELECT station_id, {S}, detector_votes, final_alert, final_severity FROM cfused")
+def saved_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's votes from detectors that start from saved tables."""
+    net = Network(spark, sf_dir, True)
+    path = f"{tables.shared_dir(spark)}/calibration-{uuid.uuid4().hex}"
+    Calibration.fit(net.history, net.places, net.config, SPATIAL, RECON, linear=False).save(path)
+    return out(Calibration.load(spark, path, net.config, SPATIAL, RECON).detect(net.obs), STATION, TIME, "detector_votes", "final_alert", "final_severity")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -77,21 +78,22 @@ def load_tables(spark: SparkSession, path: str, variables: tuple[str, ...] = VAR
     return tables, manifest
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write into the folder that driver and executors share and read back: a reduction of the raw table is computed once, and survives lost executors.
-
-    The folder is ``spark.checkpoint.dir``; only where it is unset, as in tests, a temporary one is taken.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path and not spark.sparkContext.master.startswith("local"):
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise InvalidData("spark.checkpoint.dir is unset: executors of a cluster need a shared folder")
     if not path:
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(path)
-    path = f"{path}/stage-{uuid.uuid4().hex}/{name}"
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write into the folder that driver and executors share and read back: a reduction of the raw table is computed once, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...]) -> None:
