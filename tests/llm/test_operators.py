@@ -372,3 +372,28 @@ def test_pipeline_stages_keep_columns(spark, tmp_path, docs):
         rows = function(spark, rows, str(tmp_path))
         assert k == len(corpus_pipeline.STAGES) - 1 or rows.columns == before
     assert rows.count() > 0
+
+
+def test_pipeline_keeps_own_columns_and_reads_empty_tables(spark, tmp_path, docs, none):
+    """Columns named like a stage's results come back as they were; an empty table goes through all stages."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, words(random.Random(99), 60, "xa xe xi".split()))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    own = {"held_out": "own", "score": "7", "lang_pred": "x", "items": "y", "secret_spans": "z", "kept": "k"}
+    for rows in (docs.selectExpr("*", *(f"'{v}' AS {c}" for c, v in own.items())), none):
+        before = rows.columns
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            rows = function(spark, rows, str(tmp_path))
+            assert rows.columns == before
+        found = rows.collect()
+        assert all(r[c] == v for r in found for c, v in own.items() if c in before)
+    assert not found and corpus_pipeline.mix_sources(spark, rows, str(tmp_path)).count() == 0
+
+
+def test_one_id_with_two_texts_keeps_the_same_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = [(1, words(rng, 80), "en", "a", 1), (1, words(rng, 80), "en", "b", 2), (2, words(rng, 80), "en", "a", 3), (None, "x", "en", "a", 4), (None, "x", "en", "a", 4)]
+    kept = [sorted((str(r.doc_id), r.n_chars) for r in corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(n), "").collect()) for n in (1, 4)]
+    assert kept[0] == kept[1] and len(kept[0]) == 4
