@@ -34,6 +34,8 @@ from .common import stage
 
 #: Slots of a chunk at least, and rows of a table that a task hands on at once.
 CHUNK, BATCH = 4096, 1 << 16
+#: The table of sources is broadcast up to this count (some 100 bytes each).
+BROADCAST_SOURCES = 200_000
 #: Rows of one sorted piece of a source's order, and pieces that are summed before the sources are.
 PIECE_ROWS, SHELF = 4096, 4096
 
@@ -146,7 +148,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float | Fraction]
     pieces = spark.createDataFrame([(r["_source"], -(-r["rows"] // PIECE_ROWS)) for r in sizes], "_source string, _pieces long")
 
     # running characters: sums of shelves of pieces first, then of pieces, then within each piece
-    placed = named.join(pieces, "_source").withColumn("_piece", F.floor(F.col("_draw") / F.lit(2.0**63) * F.col("_pieces"))).drop("_pieces")
+    few = len(sizes) <= BROADCAST_SOURCES
+    placed = named.join(F.broadcast(pieces) if few else pieces, "_source").withColumn("_piece", F.floor(F.col("_draw") / F.lit(2.0**63) * F.col("_pieces"))).drop("_pieces")
     earlier = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda what, by, order: F.coalesce(F.sum(what).over(earlier(by, order)), F.lit(0))
     sums = placed.groupBy("_source", "_piece").agg(F.sum("_chars").alias("_sum"), F.max("_chars").alias("_most")).withColumn("_shelf", F.floor(F.col("_piece") / SHELF))
