@@ -325,10 +325,10 @@ def link(turns: DataFrame) -> DataFrame:
     at = stage(checked.where("nth = 1").join(bounds, "conv_id", "left").select(*key, "own", F.col("own").alias("at"), F.lit(0).cast("long").alias("hops"), F.coalesce("bound", F.lit(0)).alias("bound")), "order")
     moving = not needs.isEmpty()
     while moving:  # as many rounds as the longest chain that stands out of order, or circle's conversation, has calls
-        live = at.where("hops <= bound")
-        ready = live.join(answers, key).select("conv_id", F.col("call_id").alias("needs"), later(F.col("result_own"), after(F.col("at"))).alias("ready"), "hops")
+        ready = at.join(answers, key).select("conv_id", F.col("call_id").alias("needs"), later(F.col("result_own"), after(F.col("at"))).alias("ready"), "hops")
         push = needs.join(ready, ["conv_id", "needs"]).groupBy(*key).agg(F.max("ready").alias("ready"), F.max("hops").alias("before"))
-        pushed = (F.col("hops") <= F.col("bound")) & F.col("ready").isNotNull() & (after(F.col("ready")) > F.col("at"))
+        # too many hops for any chain: in a circle; what refers there is as well
+        pushed = (F.col("hops") <= F.col("bound")) & F.col("ready").isNotNull() & ((after(F.col("ready")) > F.col("at")) | (F.col("before") > F.col("bound")))
         new = stage(at.join(push, key, "left").select(
             *key, "own", F.when(pushed, after(F.col("ready"))).otherwise(F.col("at")).alias("at"),
             F.when(pushed, F.greatest(F.col("hops"), F.col("before") + 1)).otherwise(F.col("hops")).alias("hops"), "bound", pushed.alias("pushed")), "order")
