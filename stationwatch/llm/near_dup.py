@@ -41,8 +41,8 @@ NEAREST = 4
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Classes whose SLOTS keys each one task makes.
 CLASSES_A_TASK = 8192
-#: Ids are broadcast up to this count (8 bytes each).
-BROADCAST_IDS = 2_000_000
+#: Ids are broadcast up to this count (some 100 bytes each as a hash table).
+BROADCAST_IDS = 200_000
 
 _RANDOM = np.random.default_rng(605)
 _FACTORS = _RANDOM.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

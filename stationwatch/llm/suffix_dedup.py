@@ -31,8 +31,8 @@ SIDE = (LEAST - GRAM) // 2
 SHARD_BYTES = 2 << 20
 #: Longer texts are read in pieces that overlap by LEAST - 1 bytes.
 PIECE = 4 << 20
-#: Keys of texts are broadcast up to this count (16 bytes each).
-BROADCAST_KEYS = 2_000_000
+#: Keys of texts are broadcast up to this count (some 100 bytes each as a hash table).
+BROADCAST_KEYS = 200_000
 
 _SPANS = "array<struct<start: long, end: long>>"
 _PLACE_BITS = np.uint64(24)
