@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,3 +168,21 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     closes[last] = inside[last]
     starts = np.flatnonzero(opens)
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For words [start, stop), which don't overlap, the place of each in the list of distinct words, and that list: by bytes, not by hash."""
+    sizes = stops - starts
+    ends = np.cumsum(sizes)
+    offsets = np.concatenate([[0], ends])
+    inside = np.repeat(starts - offsets[:-1], sizes) + np.arange(offsets[-1])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def keyed_hash(values: pa.Array) -> np.ndarray:
+    """64-bit SipHash of byte strings: a keyed hash, in which no structure of the input survives."""
+    if not len(values):
+        return np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array([v.decode("utf-8", "surrogateescape") for v in values.to_pylist()], dtype=object), encoding="utf8", hash_key="0f1e2d3c4b5a6978", categorize=False)

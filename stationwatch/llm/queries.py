@@ -82,6 +82,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess
+
+    found = assess(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clusters import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -94,6 +113,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_html_extraction": op9_html_extraction,
         "op10_secret_scan": op10_secret_scan,
+        "op11_phrase_mining": op11_phrase_mining,
+        "op12_quality_rules": op12_quality_rules,
+        "op13_centroid_clustering": op13_centroid_clustering,
     }
 
 
@@ -111,5 +133,54 @@ SELECT n.doc_id, n.n AS n_shingles, min(reach) AS component_id, n.doc_id = min(r
 """
 
 
+#: All n-grams of pieces by language, their parts' counts at every cut, and what stands inside longer ones.
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 5) x(k)) GROUP BY 1, 2, 3 HAVING k = 1 OR count(*) >= 30),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+parts AS (SELECT lang, k, phrase, f, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS rest FROM c, range(1, 4) x(j) WHERE j < k),
+best AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * c.f // (l.f + r.f) AS BIGINT) AS score FROM parts c JOIN f l ON c.lang = l.lang AND c.head = l.phrase JOIN f r ON c.lang = r.lang AND c.rest = r.phrase
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, phrase, max(f) AS longest FROM (SELECT lang, f, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM c, range(2, 4) y(m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON b.lang = i.lang AND b.phrase = i.phrase WHERE i.longest IS NULL OR 100::HUGEINT * i.longest < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+#: Repeated windows of 4, 8 and 201 words say what the maximal repeats say: words in some of 4 or more, and whether one is longer than 200.
+QUALITY_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {'g': array_to_string(w[i:i + k - 1], ' '), 'i': i})) AS x FROM d, (VALUES (4), (8)) x(k)),
+h AS MATERIALIZED (SELECT id, k, x.g AS g, list(x.i) AS places FROM s GROUP BY 1, 2, 3 HAVING count(*) > 1),
+o AS (SELECT id FROM (SELECT id, unnest(places) AS i FROM h WHERE k = 8) JOIN d USING (id) WHERE i + 200 <= len(w) GROUP BY id, array_to_string(w[i:i + 200], ' ') HAVING count(*) > 1),
+c AS (SELECT id, k, count(DISTINCT i) AS n FROM (SELECT id, k, unnest(range(i, i + k)) AS i FROM (SELECT id, k, unnest(places) AS i FROM h)) GROUP BY 1, 2),
+l AS (SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(e.n, 0) AS n_repeat_words,
+    coalesce(f.n, 0) AS covered, d.id IN (SELECT id FROM o) AS long_one FROM d LEFT JOIN l ON d.id = l.id LEFT JOIN c e ON d.id = e.id AND e.k = 8 LEFT JOIN c f ON d.id = f.id AND f.k = 4)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * covered <= 50 * n_words AND NOT long_one AS kept FROM m
+"""
+
+
+def _clusters_sql() -> str:
+    """Rounds of assignment and floored means over arrays of whole numbers."""
+    far = "list_sum(list_transform(range(1, 65), lambda j: (v.x[j] - c.x[j]) * (v.x[j] - c.x[j])))"
+    parts = [
+        "v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, x FROM v ORDER BY cluster LIMIT 40)",
+    ]
+    for k in range(6):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT id, arg_min(cluster, (far, cluster)) AS cluster, min(far) AS distance FROM (SELECT v.id, c.cluster, {far} AS far FROM v, c{k} c) GROUP BY 1)")
+        if k < 5:
+            parts.append(f"m{k} AS (SELECT cluster, list(q ORDER BY j) AS x FROM (SELECT cluster, j, (s - ((s % n) + n) % n) // n AS q FROM (SELECT a.cluster, j, CAST(sum(v.x[j]) AS HUGEINT) AS s, count(*) AS n FROM v JOIN a{k} a USING (id), range(1, 65) t(j) GROUP BY 1, 2)) GROUP BY 1)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (cluster))")
+    return f"""WITH {", ".join(parts)}, i AS (SELECT cluster, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a5 GROUP BY 1)
+SELECT v.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance, cluster_inertia, (SELECT CAST(sum(distance) AS BIGINT) FROM a5) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM v JOIN a5 a USING (id) JOIN c5 c ON a.cluster = c.cluster JOIN i ON a.cluster = i.cluster"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": NEAR_DUPLICATES_SQL}
+    return {"op1_near_duplicates": NEAR_DUPLICATES_SQL, "op11_phrase_mining": PHRASES_SQL, "op12_quality_rules": QUALITY_SQL, "op13_centroid_clustering": _clusters_sql()}
