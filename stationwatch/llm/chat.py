@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import slices, stage
 
 _PART = "conv_id long, turn long, part long, role string, kind string, call_id string, name string, body string, refs array<string>"
+#: Null turns stand before all others.
+_LEAST = -(1 << 63)
 _LONE = re.compile("[\ud800-\udfff]")
 
 
@@ -310,7 +312,7 @@ def link(turns: DataFrame) -> DataFrame:
         calls.join(schemas.hint("shuffle_hash"), ["conv_id", "name"], "left").join(equipped.hint("shuffle_hash"), "conv_id", "left")
         .join(answered.hint("shuffle_hash"), key, "left")
     )
-    own = F.array(F.coalesce("turn", F.lit(-1)), "part", F.lit(0).cast("long"))
+    own = F.array(F.coalesce("turn", F.lit(_LEAST)), "part", F.lit(0).cast("long"))
     checked = stage(checked.mapInArrow(_broken, checked.withColumn("broken", F.lit(None).cast("string")).schema).withColumn("own", own), "checked")
 
     # topological order: a call stands after the results it refers to, a result after its call
@@ -364,6 +366,7 @@ def _serialised(rows: DataFrame) -> DataFrame:
                 messages.append(canonical(value))
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in batch.schema.names if c != "body"} | {"message": pa.array(messages, pa.string())})
 
-    place = F.concat_ws(".", F.transform("at", lambda x: F.lpad((x + 1).cast("string"), 12, "0")))
+    # a signed number as 16 digits that sort like it
+    place = F.concat_ws(".", F.transform("at", lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(_LEAST))), 16, "0")))
     rows = rows.select("conv_id", "turn", "part", "role", "kind", "call_id", "name", "status", place.alias("place"), "body")
     return rows.mapInArrow(write, rows.drop("body").withColumn("message", F.lit("")).schema)

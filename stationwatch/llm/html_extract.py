@@ -32,10 +32,15 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s
 # Fixed values of HTML: tags inside a line, tags without an end, tags whose content is no text of the page.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template textarea svg math title select button iframe object canvas video audio map datalist".split())
+SILENT = frozenset("script style noscript template textarea svg title select button iframe object canvas video audio map datalist annotation annotation-xml".split())
 #: Of these the content is raw: without an end tag the rest of the page belongs to it, as in browsers.
 RAW = frozenset("script style textarea title iframe".split())
-_SILENT_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in SILENT}
+_EDGE = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.IGNORECASE) for tag in SILENT}
+#: Only these can close themselves; elsewhere browsers ignore the slash.
+_FOREIGN = frozenset(["svg"])
+_VALUE_END = re.compile(r"=\s*[^\s\"'=]+\Z")
+#: Tags that end a formula left open.
+_LEAVES_FORMULA = frozenset("p div article section main header footer nav aside body html table tr td th ul ol li dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre form figure".split())
 #: An opening tag of the first kind closes an open one of the second.
 _CLOSES = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -55,15 +60,40 @@ def _features_of_tag(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _closes_itself(attributes: str) -> bool:
+    """A slash before the end of a tag, that is not the end of a value without quotes."""
+    return attributes.endswith("/") and not _VALUE_END.search(attributes)
+
+
+def _silent_end(page: str, tag: str, at: int) -> int | None:
+    """Where an element that began before ``at`` ends, its like inside it counted; None if it doesn't. The content of a raw one has no elements."""
+    depth = 1
+    while m := _EDGE[tag].search(page, at):
+        rest = TAG_REST.match(page, m.end())
+        if rest is None:
+            return None
+        at = rest.end()
+        if m[1]:
+            depth -= 1
+        elif tag not in RAW and not (tag in _FOREIGN and _closes_itself(rest[1])):
+            depth += 1
+        if not depth:
+            return at
+    return None
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Unclosed and stray tags are read as browsers mostly do: a tag that never ends takes the rest of the page with it."""
+    """The blocks of a page in order. Unclosed and stray tags are read as browsers mostly do: a tag that never ends takes the rest of the page with it.
+
+    Formulas are text of their paragraph, controls (buttons, lists to choose from) and drawings are none.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     opened: Counter[str] = Counter()  # tags on the stack
     around: Counter[str] = Counter()  # their features
     endless: set[str] = set()  # silent tags of which no end follows
     parts: list[str] = []
-    linked = at = links = 0
+    linked = at = links = formula = 0
 
     def flush() -> None:
         nonlocal linked
@@ -102,22 +132,28 @@ def leaf_blocks(page: str) -> list[Block]:
         if rest is None:
             break
         at, tag, closing, attributes = rest.end(), m[1].lower(), m[0][1] == "/", rest[1]
-        if tag in INLINE:
+        if tag == "math":
+            formula = int(not closing)
+            continue
+        if tag in INLINE or formula and tag not in SILENT and tag not in _LEAVES_FORMULA:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
                 links = 0 if closing else 1
             continue
-        if not closing and tag in SILENT and not attributes.endswith("/"):
-            end = None if tag in endless else _SILENT_END[tag].search(page, at)
-            if end:
-                at = end.end()
+        if not closing and tag in SILENT:
+            if tag in _FOREIGN and _closes_itself(attributes):
+                continue
+            end = None if tag in endless else _silent_end(page, tag, at)
+            if end is not None:
+                at = end
             elif tag in RAW:
                 break
             else:
                 endless.add(tag)
             continue
         flush()
+        formula = 0
         if closing:
             if opened[tag]:
                 leave(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
@@ -125,7 +161,7 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if stack and (stack[-1][0] == "p" or tag in _CLOSES and stack[-1][0] in (tag, _CLOSES[tag])):
             leave(len(stack) - 1)
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID:
             features = tuple(dict.fromkeys(_features_of_tag(tag, attributes)))
             stack.append((tag, features))
             opened[tag] += 1

@@ -136,10 +136,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float | Fraction]
     """
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("block", "slot", "offset")]
-    named = docs.select(*keep).withColumns({
-        "_source": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long"),
-        "_draw": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), 1),
-    })
+    named = docs.select(  # own columns travel as one, so that no name of theirs is in the way
+        F.struct(*keep).alias("_row"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_chars"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")), 1).alias("_draw"))
     sizes = named.groupBy("_source").agg(F.sum("_chars").alias("chars"), F.count("*").alias("rows")).collect()  # one row for each source
     if not sizes:
         return docs.select(*keep, *(F.lit(0).cast("long").alias(c) for c in ("block", "slot", "offset")))
@@ -173,8 +172,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float | Fraction]
     wanted = wanted.groupBy("_source", "_piece").agg(F.array_sort(F.collect_list(F.struct("block", "slot"))).alias("_slots"))  # a piece has PIECE_ROWS rows on average
     wanted = sums.select("_source", "_piece", "_before").join(wanted, ["_source", "_piece"])
 
-    within = Window.partitionBy("_source", "_piece").orderBy("_draw", "doc_id", "_chars").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_piece").orderBy("_draw", "_row.doc_id", "_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_within", F.coalesce(F.sum("_chars").over(within), F.lit(0))).join(wanted, ["_source", "_piece"])
     placed = placed.withColumn("offset", F.col("_before") + F.col("_within")).withColumn("block", F.floor(F.col("offset") / block_chars))
     at = (F.col("block") - F.get("_slots", F.lit(0))["block"]).cast("int")
-    return placed.select(*keep, "block", F.get("_slots", at)["slot"].cast("long").alias("slot"), "offset")
+    return placed.select("_row.*", "block", F.get("_slots", at)["slot"].cast("long").alias("slot"), "offset")

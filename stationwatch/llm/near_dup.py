@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, mix, prefix_hash, slices, span_hash, stage, word_bounds
+from .common import components, keyed_hash, mix, slices, stage, word_bounds, word_codes
 
 WORDS = 5
 SLOTS, BITS, CHUNKS = 60, 16, 10
@@ -55,10 +55,11 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and the n + 1 offsets of the texts in them."""
+    """Keyed hashes of the words of all texts in order, and the n + 1 offsets of the texts in them."""
     data = _LOWER[data]
     starts, stops, bounds = word_bounds(data, offsets, _SEPARATOR)
-    return span_hash(prefix_hash(data), starts, stops), bounds
+    codes, names = word_codes(data, starts, stops)
+    return keyed_hash(names)[codes], bounds
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:

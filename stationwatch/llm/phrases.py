@@ -63,17 +63,17 @@ class Words:
         starts, stops, bounds = word_bounds(data, offsets, _SEPARATOR)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
         codes, names = word_codes(data, starts, stops)
-        breaks = np.cumsum(_BREAKS[data])[starts] if len(starts) else np.zeros(0, np.int64)
+        breaks = np.cumsum(_BREAKS[data], dtype=np.int32)[starts]
         follows = np.zeros(len(starts), bool)
         follows[:-1] = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
         sizes = stops - starts
         ends = np.cumsum(sizes + 1)  # words with one space behind each
         spaced = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-        first = ends - sizes - 1
-        inside = np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else first, sizes) + np.arange(int(sizes.sum()))
-        spaced[inside] = data[np.repeat(starts - first, sizes) + inside]
+        lettered = np.ones(len(spaced), bool)
+        lettered[ends - 1] = False
+        spaced[lettered] = data[~_SEPARATOR[data]]
         lang = langs[row]
-        return cls(codes, keyed_hash(names)[codes] * _PLACES[LONGEST] + salts[lang], lang, follows, spaced.tobytes(), first, ends - 1)
+        return cls(codes, keyed_hash(names)[codes] * _PLACES[LONGEST] + salts[lang], lang, follows, spaced.tobytes(), ends - sizes - 1, ends - 1)
 
     def whole(self, size: int) -> np.ndarray:
         """Where a phrase of ``size`` words starts."""
@@ -188,13 +188,17 @@ def locally_frequent(texts: DataFrame, shares: DataFrame, sizes: tuple[int, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, pairs = shared.value
         for batch, words, known in _texts(batches):
+            marks = np.zeros(len(known), np.int64)
+            marks[batch.column("lang").dictionary_encode().indices.to_numpy(zero_copy_only=False)] = batch.column("mark").to_numpy()
             for size in sizes:
                 at, keys, n = words.counted(_allowed(words, size, frequent, pairs, None), size)
                 yield pa.RecordBatch.from_pydict({
-                    "lang": _named(known, words, at), "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "key": keys.view(np.int64), "n": pa.array(n, pa.int64())})
+                    "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "key": keys.view(np.int64), "mark": marks[words.langs[at]], "n": pa.array(n, pa.int64())})
 
-    counts = texts.mapInArrow(run, "lang string, shard int, key long, n long").groupBy("lang", "shard", "key").agg(F.sum("n").alias("n"))
-    return counts.join(shares, ["lang", "shard"], "left").where(F.col("n") >= F.coalesce("need", F.lit(1))).select("key")
+    # a key is of one language, whose mark goes along as a number: numbers only, which are aggregated fastest
+    counts = texts.withColumn("mark", F.xxhash64("lang")).mapInArrow(run, "shard int, key long, mark long, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    shares = shares.select("shard", F.xxhash64("lang").alias("mark"), "need")
+    return counts.join(shares, ["mark", "shard"], "left").where(F.col("n") >= F.coalesce("need", F.lit(1))).select("key")
 
 
 def phrase_counts(texts: DataFrame, frequent: Bits, pairs: Bits, longer: Bits) -> DataFrame:

@@ -121,6 +121,26 @@ def maximal_repeats(symbols: np.ndarray, order: np.ndarray, prefixes: np.ndarray
     return out
 
 
+def _deepest(intervals: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """For each of n places the length of the longest repeat whose interval holds it, or 0. Intervals are nested or apart, and inner ones are longer."""
+    places, lengths, open_ = [0], [0], []
+
+    def leave(before: int) -> None:
+        while open_ and open_[-1][1] < before:
+            places.append(open_.pop()[1] + 1)
+            lengths.append(open_[-1][0] if open_ else 0)
+
+    for length, first, last in sorted(intervals, key=lambda i: (i[1], -i[2])):
+        leave(first)
+        open_.append((length, last))
+        places.append(first)
+        lengths.append(length)
+    leave(n)
+    changes = np.full(n + 1, -1)
+    changes[places] = np.arange(len(places))  # the last of several at one place holds
+    return np.array(lengths)[np.maximum.accumulate(changes[:n])]
+
+
 def _united(starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans, as spans that neither touch nor overlap within a text; ``row`` has the text of each word."""
     if not len(starts):
@@ -156,13 +176,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, repeat: int = REPEAT) -> dict
     found = maximal_repeats(symbols, order, prefixes, repeat)
     longest = np.zeros(rows, np.int64)
     if found:
-        length, first, last = (np.array(x) for x in zip(*found, strict=True))
+        length, first, _ = (np.array(x) for x in zip(*found, strict=True))
         np.maximum.at(longest, row[order[first]], length)
-        counts = last - first + 1
-        # of the intervals that hold a suffix the longest decides its span
         reach = np.zeros(n, np.int64)
-        flat = np.repeat(first - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(int(counts.sum()))
-        np.maximum.at(reach, order[flat], np.repeat(length, counts))
+        reach[order] = _deepest(found, n)
         at = np.flatnonzero(reach)
         spans = _united(at, at + reach[at], row)
     else:

@@ -170,14 +170,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     null text is empty. Ids play no part: a repeated row repeats all its
     substrings. Columns named like the results are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("removed", "kept", "t1", "t2", "spans")]
-    joined = _keyed(docs.select(*keep)).join(repeated_spans(docs), ["t1", "t2"], "left").select(*keep, "spans")
+    keep = [c for c in docs.columns if c not in ("removed", "kept")]
+    rows = docs.select(F.struct(*keep).alias("row"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2"))
+    joined = rows.join(repeated_spans(docs), ["t1", "t2"], "left").select("row", "spans")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept = [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("row").field("text"), batch.column("spans").to_pylist(), strict=True):
                 raw = text.as_py().encode() if text.is_valid else b""
                 merged: list[list[int]] = []
                 for s in sorted(spans or (), key=lambda s: s["start"]):
@@ -188,10 +189,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 edges = [0, *(x for m in merged for x in m), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 removed.append([{"start": a, "end": b} for a, b in merged])
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"removed": pa.array(removed, span), "kept": pa.array(kept, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row")} | {"removed": pa.array(removed, span), "kept": pa.array(kept, pa.binary())})
 
-    schema = joined.select(*keep, F.col("spans").alias("removed"), F.lit(b"").alias("kept")).schema
-    return joined.mapInArrow(strip, schema)
+    schema = joined.select("row", F.col("spans").alias("removed"), F.lit(b"").alias("kept")).schema
+    return joined.mapInArrow(strip, schema).select("row.*", "removed", "kept")
 
 
 def digest(stripped: DataFrame) -> DataFrame:
