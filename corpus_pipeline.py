@@ -36,7 +36,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     gone = near_dup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns), "text"))
-    once = left.where("doc_id IS NOT NULL").withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    nth = f"{max(docs.columns, key=len)}_"  # no column's name
+    once = left.where("doc_id IS NOT NULL").withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(left.where("doc_id IS NULL"))
 
 
