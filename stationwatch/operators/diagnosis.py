@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES
-from ..functions.scalar import by_time, finite, flag, is_finite, r6, with_medians
-from ..sources.tables import InvalidData, check_keys, require_columns
-from . import spatial
+from ..functions.scalar import finite, flag, is_finite, r6, with_medians
+from ..sources.tables import InvalidData, check_keys, require_columns, stage
+from . import spatial, timeline
 
 # Kinds by precedence, with the confidence of each.
 KINDS = (
@@ -55,17 +55,17 @@ def check_input(df: DataFrame, reference_end: str | None) -> DataFrame:
 
 def build_reference(history: DataFrame, graph: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """Centre and deviation of residuals against neighbours and of their hourly steps, for each station and variable with enough of both."""
-    rows = spatial.with_residuals(history, graph, variables=variables)
-    at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    rows = rows.withColumn("_step", at - F.lag(at).over(by_time()))
+    rows = timeline.chunked(spatial.with_residuals(history, graph, variables=variables), back=1)
+    at, by_chunk = F.unix_timestamp(F.col(TIME).cast("timestamp")), timeline.local()
+    rows = rows.withColumn("_step", at - F.lag(at).over(by_chunk))
     columns = {}
     for v in variables:
         columns[f"_{v}"] = F.when(F.col(f"{v}_spatial_neighbor_count") >= 2, finite(F.col(v)) - F.col(f"{v}_spatial_expected"))
     rows = rows.withColumns(columns)
+    rows = rows.withColumns({f"_d_{v}": F.when(F.col("_step") == 3600, F.col(f"_{v}") - F.lag(f"_{v}").over(by_chunk)) for v in variables}).where(timeline.OWN)
     long = None
     for v in variables:
-        r = F.col(f"_{v}")
-        part = rows.select(STATION, F.lit(v).alias("variable"), r.alias("r"), F.when(F.col("_step") == 3600, r - F.lag(r).over(by_time())).alias("d"))
+        part = rows.select(STATION, F.lit(v).alias("variable"), F.col(f"_{v}").alias("r"), F.col(f"_d_{v}").alias("d"))
         long = part if long is None else long.unionByName(part)
     found = long.groupBy(STATION, "variable").agg(
         r6(F.avg("r")).alias("residual_center"), r6(F.stddev_samp("r")).alias("residual_scale"), r6(F.avg("d")).alias("rate_center"), r6(F.stddev_samp("d")).alias("rate_scale"),
@@ -75,11 +75,12 @@ def build_reference(history: DataFrame, graph: DataFrame, variables: tuple[str,
 
 
 def features(df: DataFrame, reference: DataFrame, variables: tuple[str, ...]) -> DataFrame:
-    """``{v}_f``: a struct of the shape features of each variable, all windows over one sort by time."""
+    """``{v}_f``: a struct of the shape features of each variable, all windows over one sort of each chunk of a station's rows."""
     wide = reference.groupBy(STATION).pivot("variable", list(variables)).agg(F.first(F.struct(*PARAMETERS)))
-    rows = df.join(wide.withColumnsRenamed({v: f"_p_{v}" for v in variables}), STATION, "left")
+    by_chunk = timeline.local()
+    rows = timeline.chunked(df, back=8, ahead=1).join(wide.withColumnsRenamed({v: f"_p_{v}" for v in variables}), STATION, "left")
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    rows = rows.withColumn("_contiguous", flag(at - F.lag(at).over(by_time()) == 3600))
+    rows = rows.withColumn("_contiguous", flag(at - F.lag(at).over(by_chunk) == 3600))
     first = {}
     for v in variables:
         p = F.col(f"_p_{v}")
@@ -92,22 +93,22 @@ def features(df: DataFrame, reference: DataFrame, variables: tuple[str, ...]) ->
         }
     rows = rows.withColumns(first)
     rows = rows.withColumns({f"_{v}_z": r6((F.col(f"_{v}_x") - F.col(f"_{v}_peer") - F.col(f"_p_{v}.residual_center")) / F.col(f"_p_{v}.residual_scale")) for v in variables})
-    second = {"_c_last": flag(F.lag("_contiguous").over(by_time())), "_c_next": flag(F.lead("_contiguous").over(by_time())),
-              "_c5": F.sum(F.col("_contiguous").cast("int")).over(by_time().rowsBetween(-4, 0))}
+    second = {"_c_last": flag(F.lag("_contiguous").over(by_chunk)), "_c_next": flag(F.lead("_contiguous").over(by_chunk)),
+              "_c5": F.sum(F.col("_contiguous").cast("int")).over(by_chunk.rowsBetween(-4, 0))}
     for v in variables:
         z, x, peer, p = (F.col(f"_{v}_{k}") for k in ("z", "x", "peer", "z"))
-        step = lambda c: F.when(F.col("_contiguous"), r6(c - F.lag(c).over(by_time())))
+        step = lambda c: F.when(F.col("_contiguous"), r6(c - F.lag(c).over(by_chunk)))
         second |= {
             f"_{v}_dx": step(x), f"_{v}_dp": step(peer), f"_{v}_dz": step(z),
-            f"_{v}_rate": F.when(F.col("_contiguous"), r6(((x - peer) - F.lag(x - peer).over(by_time()) - F.col(f"_p_{v}.rate_center")) / F.col(f"_p_{v}.rate_scale"))),
-            f"_{v}_z1": F.lag(z).over(by_time()), f"_{v}_z2": F.lag(z, 2).over(by_time()), f"_{v}_zn": F.lead(z).over(by_time()),
+            f"_{v}_rate": F.when(F.col("_contiguous"), r6(((x - peer) - F.lag(x - peer).over(by_chunk) - F.col(f"_p_{v}.rate_center")) / F.col(f"_p_{v}.rate_scale"))),
+            f"_{v}_z1": F.lag(z).over(by_chunk), f"_{v}_z2": F.lag(z, 2).over(by_chunk), f"_{v}_zn": F.lead(z).over(by_chunk),
         }
     rows = rows.withColumns(second)
-    rows = rows.withColumns({f"_{v}_turn": flag(F.col(f"_{v}_dz") * F.lag(f"_{v}_dz").over(by_time()) < 0) for v in variables})
+    rows = rows.withColumns({f"_{v}_turn": flag(F.col(f"_{v}_dz") * F.lag(f"_{v}_dz").over(by_chunk) < 0) for v in variables})
     third = {}
     for v in variables:
         z, dz, x, peer, rate = (F.col(f"_{v}_{k}") for k in ("z", "dz", "x", "peer", "rate"))
-        w = lambda n: by_time().rowsBetween(1 - n, 0)
+        w = lambda n: by_chunk.rowsBetween(1 - n, 0)
         share = lambda c, n: F.when(F.count(F.lit(1)).over(w(n)) == n, F.avg(flag(c).cast("double")).over(w(n)))
         whole = lambda c, n, e: F.when(F.count(c).over(w(n)) == n, e)
         third[f"{v}_f"] = F.struct(
@@ -118,7 +119,7 @@ def features(df: DataFrame, reference: DataFrame, variables: tuple[str, ...]) ->
             share(F.col(f"_{v}_turn"), 4).alias("reversal"),
             flag((F.abs(z) >= 3) & (F.abs(f"_{v}_z1") < 2) & (F.abs(f"_{v}_z2") < 2) & (F.abs(f"_{v}_zn") < 2) & F.col("_contiguous") & F.col("_c_last") & F.col("_c_next")).alias("spike"),
             flag((F.count(z).over(w(6)) == 6) & (F.col("_c5") == 5)).alias("ready"))
-    rows = rows.withColumns(third)
+    rows = rows.withColumns(third).where(timeline.OWN)
     rows = with_medians(rows, {f"_{v}_{k}": F.col(f"{v}_f.{k}") for v in variables for k in ("zs", "dzs", "rates")})
     rows = rows.withColumns({f"{v}_f": F.struct(
         *(F.col(f"{v}_f.{k}").alias(k) for k in ("z", "rate", "dx", "peer_dx", "peer_count", "peer_span", "span", "same_sign", "monotonic", "reversal", "spike", "ready")),
@@ -138,9 +139,22 @@ def _kind(f: Column, reading: Column) -> Column:
     return kind.when(F.abs(f["rate"]) >= f["rate_threshold"], "RATE_CHANGE")
 
 
-def _alike(steps: Column, dx: Column) -> Column:
-    """How many steps go the same way, within a quarter of the same size."""
-    return F.size(F.filter(steps, lambda d: (d * dx > 0) & (F.abs(d) >= 0.75 * F.abs(dx)) & (F.abs(d) <= 1.25 * F.abs(dx))))
+def band_counts(steps: DataFrame, low: float = 0.75, high: float = 1.25) -> DataFrame:
+    """(station_id, timestamp, variable, alike): for each asking row how many steps of its time and variable go the same way, between ``low`` and ``high`` times its size.
+
+    ``steps`` has station_id, timestamp, variable, dx and ``asks``. Each step is a point on a
+    line for its time, variable and direction, each question the two ends of a
+    band; one sort runs over them, and what an end needs is the number of points
+    before it. So a time costs memory for no station but the current one.
+    """
+    size = F.abs("dx")
+    mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    # of equal places a band begins before the points and ends behind them
+    ends = F.when(F.col("asks"), F.array(mark(low * size, 0), mark(size, 1), mark(high * size, 2))).otherwise(F.array(mark(size, 1)))
+    marks = steps.where("dx IS NOT NULL AND dx <> 0").select(STATION, TIME, "variable", (F.col("dx") > 0).alias("up"), F.explode(ends).alias("m")).select("*", "m.at", "m.kind").drop("m")
+    line = Window.partitionBy(TIME, "variable", "up").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marks.withColumn("seen", F.sum((F.col("kind") == 1).cast("long")).over(line)).where("kind <> 1")
+    return counted.groupBy(STATION, TIME, "variable").agg((F.max(F.when(F.col("kind") == 2, F.col("seen"))) - F.max(F.when(F.col("kind") == 0, F.col("seen")))).alias("alike"))
 
 
 def diagnose(df: DataFrame, reference: DataFrame, reference_end: str | None = None, check: bool = True) -> DataFrame:
@@ -157,8 +171,16 @@ def diagnose(df: DataFrame, reference: DataFrame, reference_end: str | None = No
     calm = {f"_{v}_calm": flag((F.abs(F.col(f"{v}_f.z")) < 2) & is_finite(F.col(v).cast("double"))).cast("int") for v in variables}
     rows = rows.withColumns(calm)
     rows = rows.withColumns({f"_{v}_normal": (F.sum(f"_{v}_calm").over(same_time) - F.col(f"_{v}_calm")).cast("int") for v in variables})
-    # stations that move alike at the same time: the steps of one time are as many as there are stations
-    rows = rows.withColumns({f"_{v}_steps": F.collect_list(F.col(f"{v}_f.dx")).over(same_time) for v in variables})
+    # stations that move alike at the same time
+    asks = {}
+    for v in variables:
+        f = F.col(f"{v}_f")
+        asks[v] = flag((F.abs(f["dx"]) > 0.05) & (F.abs(f["z"]) < 2) & (f["peer_count"] >= 2) & (F.abs(f["dx"]) / f["rate_scale"] >= 3) & (F.abs(f["peer_dx"] - f["dx"]) <= 0.25 * F.abs(f["dx"])))
+    each = F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_f.dx").alias("dx"), asks[v].alias("asks")) for v in variables)))
+    rows = stage(rows.drop(*(f"_{v}_calm" for v in variables)), "features")
+    alike_by = band_counts(rows.select(STATION, TIME, each.alias("e")).select(STATION, TIME, "e.*")).groupBy(STATION, TIME).agg(
+        *(F.max(F.when(F.col("variable") == v, F.col("alike"))).alias(f"_{v}_alike") for v in variables))
+    rows = rows.join(alike_by, [STATION, TIME], "left")
     candidates, movers = [], []
     for i, v in enumerate(variables):
         f, kind = F.col(f"{v}_f"), _kind(F.col(f"{v}_f"), F.col(v).cast("double"))
@@ -166,8 +188,8 @@ def diagnose(df: DataFrame, reference: DataFrame, reference_end: str | None = No
         candidates.append(F.when(kind.isNotNull(), F.struct(
             order.alias("order"), (-F.coalesce(F.abs(f["z"]), F.lit(0.0))).alias("weaker"), F.lit(i).alias("place"), kind.alias("diagnosis"), F.lit(v).alias("variable"),
             f["z"].alias("z"), F.coalesce(f["peer_count"], F.lit(0)).alias("peer_count"), F.col(f"_{v}_normal").alias("normal_peers"))))
-        dx, alike = f["dx"], _alike(F.col(f"_{v}_steps"), f["dx"]) - 1
-        moves = (F.abs(dx) > 0.05) & (F.abs(f["z"]) < 2) & (f["peer_count"] >= 2) & (F.abs(dx) / f["rate_scale"] >= 3) & (alike >= 2) & (F.abs(f["peer_dx"] - dx) <= 0.25 * F.abs(dx))
+        dx, alike = f["dx"], (F.col(f"_{v}_alike") - 1).cast("int")
+        moves = alike >= 2
         movers.append(F.when(flag(moves), F.struct(F.lit(v).alias("variable"), alike.alias("stations"), dx.alias("step"), f["peer_dx"].alias("peer_step"))))
     rows = rows.withColumns({"_candidates": F.array_sort(F.array_compact(F.array(*candidates))), "_mover": F.coalesce(*movers)})
     best = F.get("_candidates", 0)

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME
-from ..functions.scalar import by_time, flag, r6, ratio
+from ..functions.scalar import flag, r6, ratio
 from ..sources.tables import InvalidData, check_keys
+from . import timeline
+from .order import order_statistics
 
 BUFFER = 23
 #: Diagnoses by the fault that causes them, and their families.
@@ -58,12 +60,15 @@ def event_table(rows: DataFrame, predicted: str) -> DataFrame:
 
 def distance_to_anomaly(rows: DataFrame) -> DataFrame:
     """``anomaly_distance``: rows of the station to the nearest anomaly before or after; null if the station has none."""
-    pos = F.row_number().over(by_time())
-    numbered = rows.withColumn("_pos", pos)
-    at = F.when(F.col("is_anomaly"), F.col("_pos"))
-    back = F.col("_pos") - F.last(at, ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(by_time().rowsBetween(0, Window.unboundedFollowing)) - F.col("_pos")
-    return numbered.withColumn("anomaly_distance", F.least(back, ahead)).drop("_pos")
+    at = F.when(F.col("is_anomaly"), F.col(timeline.POSITION))
+    # chunks hand on the last anomaly before them and the first one behind them
+    numbered = timeline.carried(
+        timeline.chunked(rows), {"_last": F.max(at), "_next": F.min(at)},
+        {"_before": F.max("_last").over(timeline.earlier()), "_behind": F.min("_next").over(timeline.later())})
+    last = F.coalesce(F.max(at).over(timeline.local().rowsBetween(Window.unboundedPreceding, 0)), F.col("_before"))
+    following = F.coalesce(F.min(at).over(timeline.local().rowsBetween(0, Window.unboundedFollowing)), F.col("_behind"))
+    here = F.col(timeline.POSITION)
+    return numbered.withColumn("anomaly_distance", F.least(here - last, following - here).cast("int")).select(*rows.columns, "anomaly_distance")
 
 
 def buffer_clear_fpr(rows: DataFrame, predicted: str, buffer: int = BUFFER) -> DataFrame:
@@ -158,11 +163,10 @@ def detector_overlap(rows: DataFrame, first: str, second: str, third: str) -> Da
 
 def threshold_candidates(scores: DataFrame, bounds: DataFrame, percents: tuple[float, ...] = (90, 95, 97, 98, 99, 99.5, 99.9)) -> DataFrame:
     """Distinct thresholds: the calibrated ones and percentiles of all and of clean scores."""
-    at = F.array(*(F.lit(p / 100) for p in percents))
-    everything = scores.agg(F.percentile("lstm_ae_score", at).alias("t"))
-    clean = scores.where(~flag(F.col("is_anomaly"))).agg(F.percentile("lstm_ae_score", at).alias("t"))
-    calibrated = bounds.select(F.array("p95", "p99").alias("t"))
-    every = everything.unionByName(clean).unionByName(calibrated)
+    names = {f"p{i}": p / 100 for i, p in enumerate(percents)}
+    group = F.explode(F.when(flag(F.col("is_anomaly")), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("clean"))))
+    found = order_statistics(scores.select(group.alias("group"), "lstm_ae_score"), "lstm_ae_score", names, by=("group",))
+    every = found.select(F.array(*names).alias("t")).unionByName(bounds.select(F.array("p95", "p99").alias("t")))
     return every.select(F.explode("t").alias("t")).select(r6("t").alias("threshold")).where("threshold IS NOT NULL").distinct()
 
 
@@ -178,14 +182,23 @@ def score_distribution(scores: DataFrame, percents: tuple[float, ...] = (1, 5, 2
     """Count, mean, population deviation, extremes and percentiles of all, clean and anomalous scores."""
     s = F.col("lstm_ae_score")
     group = F.explode(F.when(flag(F.col("is_anomaly")), F.array(F.lit("all"), F.lit("anomalous"))).otherwise(F.array(F.lit("all"), F.lit("clean"))))
-    return scores.where(s.isNotNull()).select(group.alias("group"), s).groupBy("group").agg(
-        F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.stddev_pop(s)).alias("std"), r6(F.min(s)).alias("low"), r6(F.max(s)).alias("high"),
-        *(r6(F.percentile(s, F.lit(p / 100))).alias(f"p{p:g}".replace(".", "_")) for p in percents))
+    rows = scores.where(s.isNotNull()).select(group.alias("group"), s)
+    told = rows.groupBy("group").agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.stddev_pop(s)).alias("std"), r6(F.min(s)).alias("low"), r6(F.max(s)).alias("high"))
+    return told.join(_quantiles(rows, s, {f"p{p:g}".replace(".", "_"): p / 100 for p in percents}, "group"), "group")
+
+
+def _quantiles(rows: DataFrame, value: Column, shares: dict[str, float], by: str) -> DataFrame:
+    """To six decimals, for each of a few groups."""
+    found = order_statistics(rows, value, shares, by=(by,))
+    return found.select(by, *(r6(name).alias(name) for name in shares))
 
 
 def clean_score_by(scores: DataFrame, by: Column, name: str) -> DataFrame:
     """Clean scores by station, month or hour."""
     s = F.col("lstm_ae_score")
+    if name != "station":  # few groups, any of which may hold most rows
+        rows = scores.where(s.isNotNull() & ~flag(F.col("is_anomaly"))).select(by.alias(name), s)
+        return rows.groupBy(name).agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean")).join(_quantiles(rows, s, {"median": 0.5, "p95": 0.95}, name), name)
     return scores.where(s.isNotNull() & ~flag(F.col("is_anomaly"))).groupBy(by.alias(name)).agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.percentile(s, F.lit(0.5))).alias("median"), r6(F.percentile(s, F.lit(0.95))).alias("p95"))
 
 
@@ -205,7 +218,7 @@ def stations_against_calibration(scores: DataFrame, bounds: DataFrame, buffer: i
 def errors_by_variable(scores: DataFrame, bounds: DataFrame, variables: tuple[str, ...], buffer: int = BUFFER) -> DataFrame:
     """Errors of clear rows by variable beside that variable's calibrated limits."""
     long = _clear(scores, buffer).unpivot([], [f"{v}_lstm_ae_error" for v in variables], "column", "x").where("x IS NOT NULL").withColumn("variable", F.regexp_replace("column", "_lstm_ae_error$", ""))
-    found = long.groupBy("variable").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.percentile("x", F.lit(0.95))).alias("p95"), r6(F.percentile("x", F.lit(0.99))).alias("p99"))
+    found = long.groupBy("variable").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("mean")).join(_quantiles(long, F.col("x"), {"p95": 0.95, "p99": 0.99}, "variable"), "variable")
     limits = bounds.select(F.explode(F.array(*(F.struct(F.lit(v).alias("variable"), F.col(f"{v}_p95").alias("calibrated_p95"), F.col(f"{v}_p99").alias("calibrated_p99")) for v in variables))).alias("l")).select("l.*")
     return limits.join(found, "variable", "left").fillna(0, ["n"])
 
@@ -215,7 +228,9 @@ def overlap_contamination(scores: DataFrame, buffer: int = BUFFER) -> DataFrame:
     near = F.coalesce("anomaly_distance", F.lit(1 << 30)) <= buffer
     group = F.when(flag(F.col("is_anomaly")), "anomalous").when(near, "near").otherwise("clear")
     s = F.col("lstm_ae_score")
-    return distance_to_anomaly(scores).where(s.isNotNull()).groupBy(group.alias("group")).agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), r6(F.percentile(s, F.lit(0.95))).alias("p95"), F.count_if("lstm_ae_alert").alias("alerts"))
+    rows = distance_to_anomaly(scores).where(s.isNotNull()).select(group.alias("group"), s, "lstm_ae_alert")
+    told = rows.groupBy("group").agg(F.count("*").alias("n"), r6(F.avg(s)).alias("mean"), F.count_if("lstm_ae_alert").alias("alerts"))
+    return told.join(_quantiles(rows, s, {"p95": 0.95}, "group"), "group")
 
 
 def strategy_comparison(rows: DataFrame, strategies: list[str]) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES
+from ..sources.tables import stage
 from ..functions.scalar import by_time, flag, r6
+from . import timeline
+from .order import order_statistics
 
 
 
@@ -28,9 +31,10 @@ def rows_by_station(obs: DataFrame) -> DataFrame:
 def describe(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles, one row for each variable."""
     long = obs.unpivot([], list(variables), "variable", "x")
-    return long.groupBy("variable").agg(
-        F.count("x").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x")).alias("std"), r6(F.min("x")).alias("low"), r6(F.max("x")).alias("high"),
-        *(r6(F.percentile("x", F.lit(q))).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    told = long.groupBy("variable").agg(
+        F.count("x").alias("n"), r6(F.avg("x")).alias("mean"), r6(F.stddev_samp("x")).alias("std"), r6(F.min("x")).alias("low"), r6(F.max("x")).alias("high"))
+    quartiles = order_statistics(long, "x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, by=("variable",))
+    return told.join(quartiles.select("variable", *(r6(q).alias(q) for q in ("q25", "q50", "q75"))), "variable", "left")
 
 
 def daily_means(obs: DataFrame, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
@@ -71,10 +75,10 @@ def spread_by_time(obs: DataFrame, variable: str) -> DataFrame:
 
 def spread_percentiles(obs: DataFrame, variable: str, percents: tuple[float, ...] = (25, 50, 75, 90, 95, 99)) -> DataFrame:
     """One row: how the range over the stations of one time is distributed over the times."""
-    x = F.col("range")
-    return spread_by_time(obs, variable).agg(
-        F.count(x).alias("times"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("std"), r6(F.min(x)).alias("low"), r6(F.max(x)).alias("high"),
-        *(r6(F.percentile(x, F.lit(p / 100))).alias(f"p{p:g}") for p in percents))
+    x, spread = F.col("range"), spread_by_time(obs, variable)
+    told = spread.agg(F.count(x).alias("times"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("std"), r6(F.min(x)).alias("low"), r6(F.max(x)).alias("high"))
+    found = order_statistics(spread, x, {f"p{p:g}": p / 100 for p in percents})
+    return told.crossJoin(found.select(*(r6(f"p{p:g}").alias(f"p{p:g}") for p in percents)))  # one row each
 
 
 def snapshot(obs: DataFrame, at: str) -> DataFrame:
@@ -116,7 +120,8 @@ def window_errors(rebuilt: DataFrame, variables: tuple[str, ...], quantile: floa
     """One row: mean squared error of whole windows, its quantile, and how many windows exceed that."""
     gap = lambda v: F.aggregate(F.zip_with(f"{v}_cells", f"{v}_rebuilt", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x) / F.size(f"{v}_cells")
     errors = rebuilt.select(r6(sum((gap(v) for v in variables), F.lit(0.0)) / len(variables)).alias("mse"))
-    limit = errors.agg(F.percentile("mse", F.lit(quantile)).alias("_limit"))
+    errors = stage(errors, "window-errors")
+    limit = order_statistics(errors, "mse", {"_limit": quantile}).select("_limit")
     return errors.crossJoin(F.broadcast(limit)).agg(F.count("*").alias("windows"), F.round(F.avg("mse"), 4).alias("mean"), r6(F.first("_limit")).alias("threshold"), F.count_if(F.col("mse") > F.col("_limit")).alias("flagged"))  # one row
 
 
@@ -183,9 +188,10 @@ def status_counts(status: DataFrame) -> DataFrame:
 
 
 def alert_log(rows: DataFrame) -> DataFrame:
-    """Suspicious and alerted rows, each once, with their index within the station."""
-    numbered = rows.withColumn("idx", F.row_number().over(by_time()) - 1)
-    return numbered.where((F.col("final_severity") != "normal")).select(STATION, TIME, "idx", "final_severity", "detector_votes").dropDuplicates([STATION, "idx"])
+    """Suspicious and alerted rows with their index within the station, which counts times: a repeated row is logged once, as its first severity by name says."""
+    once = rows.groupBy(STATION, TIME).agg(F.min(F.struct("final_severity", "detector_votes")).alias("_first")).select(STATION, TIME, "_first.*")
+    numbered = timeline.positions(once).withColumn("idx", F.col(timeline.POSITION).cast("int"))
+    return numbered.where((F.col("final_severity") != "normal")).select(STATION, TIME, "idx", "final_severity", "detector_votes")
 
 
 def station_history(rows: DataFrame, station: str, until: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import MAD_FACTOR, STATION, TIME, VARIABLES
 from ..functions.scalar import is_finite, r6, uniform, with_medians
 from ..sources.tables import InvalidData, require_columns
+from . import timeline
 
 # Shares of fault types and severities, and the strength bands (low, high) by type and severity.
 TYPE_SHARES = (("spike", 0.20), ("offset", 0.20), ("drift", 0.15), ("stuck", 0.15), ("noise", 0.10), ("dropout", 0.05), ("rate_change", 0.15))
@@ -55,7 +56,7 @@ def _choice(u: Column, shares) -> Column:
 
 def positions(obs: DataFrame) -> DataFrame:
     """``pos``: each station's rows from 0 on, by time."""
-    return obs.withColumn("pos", F.row_number().over(Window.partitionBy(STATION).orderBy(TIME)) - 1)
+    return timeline.positions(obs).withColumn("pos", F.col(timeline.POSITION))
 
 
 def plan(numbered: DataFrame, config: InjectionConfig = InjectionConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
@@ -153,7 +154,7 @@ def inject(obs: DataFrame, config: InjectionConfig = InjectionConfig(), variable
     hit = rows.groupBy(STATION, "pos").agg(named.alias("_hit"))
     packed = {"anomaly_id": "event_id", "anomaly_type": "anomaly_type", "anomaly_variable": "variable", "anomaly_severity": "severity"}
     here = lambda v: F.get(F.filter("_hit", lambda h: h["variable"] == v), 0)
-    out = numbered.join(hit, [STATION, "pos"], "left").withColumns({f"{v}_original": F.col(v) for v in variables} | {"is_anomaly": F.col("_hit").isNotNull()})
+    out = numbered.select(*obs.columns, "pos").join(hit, [STATION, "pos"], "left").withColumns({f"{v}_original": F.col(v) for v in variables} | {"is_anomaly": F.col("_hit").isNotNull()})
     out = out.withColumns({v: F.when(here(v).isNotNull(), here(v)["new"]).otherwise(F.col(v)) for v in variables} | {
         name: F.array_join(F.col(f"_hit.{field}"), "|") for name, field in packed.items()}).drop("_hit", "pos")
     log = rows.groupBy("event_id", "anomaly_type", "severity", STATION, "variable").agg(

@@ -7,8 +7,9 @@ reading by its window's mean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, ReconstructionConfig
-from ..functions.scalar import by_time, clip, flag, r6
+from ..functions.scalar import clip, flag, r6
 from ..sources.tables import stage
+from . import timeline
+from .order import order_statistics
 
 GLOBAL = "__global__"
 
@@ -53,7 +56,8 @@ def normalise(obs: DataFrame, stats: DataFrame, config: ReconstructionConfig = R
 def modal_step(obs: DataFrame) -> DataFrame:
     """station_id, step: the commonest gap in seconds, the earliest seen of equals; an hour for a station of one row."""
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    gaps = obs.select(STATION, TIME, (at - F.lag(at).over(by_time())).alias("gap"))
+    rows = timeline.chunked(obs.select(STATION, TIME, *(c for c in obs.columns if c == timeline.POSITION)), back=1)
+    gaps = timeline.own(rows.withColumn("gap", at - F.lag(at).over(timeline.local())))
     counted = gaps.where("gap IS NOT NULL").groupBy(STATION, "gap").agg(F.count("*").alias("n"), F.min(TIME).alias("first"))
     best = counted.groupBy(STATION).agg(F.min_by("gap", F.struct(-F.col("n"), "first")).alias("step"))
     return obs.select(STATION).distinct().join(best, STATION, "left").select(STATION, F.coalesce("step", F.lit(3600)).cast("long").alias("step"))
@@ -62,11 +66,18 @@ def modal_step(obs: DataFrame) -> DataFrame:
 def segments(obs: DataFrame, steps: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
     """``segment`` counts the gaps so far that are longer than the tolerance; ``pos`` numbers the rows of a segment."""
     at = F.unix_timestamp(F.col(TIME).cast("timestamp"))
-    gap = at - F.lag(at).over(by_time())
-    rows = obs.join(steps, STATION)
-    rows = rows.withColumn("_opens", flag(gap > F.col("step") * config.gap_tolerance).cast("long"))
-    rows = rows.withColumn("segment", F.sum("_opens").over(by_time())).drop("_opens", "step")
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(STATION, "segment").orderBy(TIME)) - 1)
+    gap = at - F.lag(at).over(timeline.local())
+    rows = timeline.chunked(obs, back=1).join(steps, STATION)
+    rows = rows.withColumn("_opens", flag(gap > F.col("step") * config.gap_tolerance).cast("long")).drop("step").where(timeline.OWN)
+    opened = F.when(F.col("_opens") == 1, F.col(timeline.POSITION))
+    # chunks hand on how many gaps there were and where the last one ended
+    rows = timeline.carried(
+        rows, {"_gaps": F.sum("_opens"), "_last": F.max(opened), "_first": F.min(timeline.POSITION)},
+        {"_gaps": F.coalesce(F.sum("_gaps").over(timeline.earlier()), F.lit(0)), "_last": F.max("_last").over(timeline.earlier()), "_first": F.min("_first").over(timeline.earlier().rowsBetween(Window.unboundedPreceding, 0))})
+    so_far = timeline.local().rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.max(opened).over(so_far), F.col("_last"), F.col("_first"))
+    rows = rows.withColumns({"segment": F.sum("_opens").over(so_far) + F.col("_gaps"), "pos": (F.col(timeline.POSITION) - start).cast("int")})
+    return timeline.own(rows.drop("_opens", "_gaps", "_last", "_first"))
 
 
 def _filled(cells: Column, run: int) -> Column:
@@ -77,9 +88,10 @@ def _filled(cells: Column, run: int) -> Column:
 
 def sliding_windows(rows: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
     """station_id, segment, start, times, and a filled array ``{v}_cells`` for each variable, for every whole window with enough readings."""
-    ahead = Window.partitionBy(STATION, "segment").orderBy(TIME).rowsBetween(0, config.window - 1)
+    rows = timeline.chunked(rows, ahead=config.window - 1)
+    ahead = timeline.local("segment").rowsBetween(0, config.window - 1)
     cells = F.collect_list(F.struct(F.col(TIME), *(F.col(f"{v}_z") for v in config.variables))).over(ahead)
-    found = rows.select(STATION, "segment", F.col("pos").alias("start"), cells.alias("_cells"))
+    found = rows.select(STATION, "segment", F.col("pos").alias("start"), timeline.OWN, cells.alias("_cells")).where(timeline.OWN).drop(timeline.OWN)
     found = found.where((F.size("_cells") == config.window) & (F.col("start") % config.stride == 0))
     def present(v: str) -> Column:
         return F.size(F.filter("_cells", lambda c: c[f"{v}_z"].isNotNull()))
@@ -174,7 +186,9 @@ def score_of(config: ReconstructionConfig) -> Column:
 def limits(scores: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
     """One row: the limits p95 and p99 of the score and of each variable's error."""
     columns = {"": score_of(config)} | {f"{v}_": F.col(f"{v}_lstm_ae_error") for v in config.variables}
-    return scores.agg(*(r6(F.percentile(c, F.lit(q))).alias(f"{name}{p}") for name, c in columns.items() for p, q in zip(("p95", "p99"), config.quantiles, strict=True)))
+    long = scores.select(*(c.alias(f"{name}error") for name, c in columns.items())).unpivot([], [f"{name}error" for name in columns], "name", "x")
+    found = order_statistics(long, "x", dict(zip(("p95", "p99"), config.quantiles, strict=True)), by=("name",))
+    return found.agg(*(r6(F.max(F.when(F.col("name") == f"{name}error", F.col(p)))).alias(f"{name}{p}") for name in columns for p in ("p95", "p99")))
 
 
 def severity_of(score: Column, p95: Column, p99: Column) -> Column:
@@ -204,13 +218,19 @@ def label(obs: DataFrame, scores: DataFrame, bounds: DataFrame, config: Reconstr
     return out.drop(*drop)
 
 
+class Model(Protocol):
+    """Anything that adds ``{v}_rebuilt`` to windows."""
+
+    def rebuild(self, windows: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class ReconstructionTables:
     """What calibration leaves: statistics, score limits and the model (None: window means)."""
 
     stats: DataFrame
     bounds: DataFrame
-    model: LinearAutoencoder | None
+    model: Model | None
 
     def rebuild(self, windows: DataFrame, config: ReconstructionConfig) -> DataFrame:
         return window_mean(windows, config) if self.model is None else self.model.rebuild(windows, config)
@@ -220,15 +240,23 @@ def windows_of(obs: DataFrame, stats: DataFrame, config: ReconstructionConfig =
     return sliding_windows(segments(normalise(obs, stats, config), modal_step(obs), config), config)
 
 
-def calibrate(history: DataFrame, config: ReconstructionConfig = ReconstructionConfig(), linear: bool = True) -> ReconstructionTables:
-    """Statistics and model from the part before the cutoff, limits from the part after it (from all if that has no windows)."""
+def calibrate(history: DataFrame, config: ReconstructionConfig = ReconstructionConfig(), linear: bool = True, refine: Callable[[DataFrame, DataFrame, LinearAutoencoder], Model] | None = None) -> ReconstructionTables:
+    """Statistics and model from the part before the cutoff, limits from the part after it (from all if that has no windows).
+
+    ``refine`` makes another model of the staged training and held-out windows and the linear model.
+    """
     end = F.broadcast(cutoff(history, config.validation_share))  # one row
     split = history.crossJoin(end)
     train = split.where(F.col(TIME) < F.col("cutoff")).drop("cutoff")
     stats = stage(normalisation(train, config), "normalisation")
-    model = LinearAutoencoder.fit(windows_of(train, stats, config), config) if linear else None
-    tables = ReconstructionTables(stats, stats, model)
     held = split.where(F.col(TIME) >= F.col("cutoff")).drop("cutoff")
+    windows = windows_of(train, stats, config) if linear else None
+    if refine is not None:
+        windows = stage(windows, "windows")
+    model: Model | None = LinearAutoencoder.fit(windows, config) if linear else None
+    if refine is not None and model is not None:
+        model = refine(windows, stage(windows_of(held, stats, config), "held-windows"), model)
+    tables = ReconstructionTables(stats, stats, model)
     scores = observation_scores(tables.rebuild(windows_of(held, stats, config), config), config)
     if scores.isEmpty():
         scores = observation_scores(tables.rebuild(windows_of(history, stats, config), config), config)

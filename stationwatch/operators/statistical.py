@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES, StatisticalConfig
-from ..functions.scalar import any_true, by_time, count_true, flag, r6, severity_score, units
+from ..functions.scalar import any_true, count_true, flag, r6, severity_score, units
+from . import timeline
 
 FAMILIES = ("range", "roc", "level", "persistence")
 
 
 def calibrate(history: DataFrame, config: StatisticalConfig = StatisticalConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
     """station_id, hour, and for each variable the mean and the rate-of-change limit of that hour."""
-    steps = history.select(
-        STATION, F.hour(TIME).alias("hour"), *variables, *(F.abs(F.col(v) - F.lag(v).over(by_time())).alias(f"_{v}") for v in variables))
+    rows = timeline.chunked(history.select(STATION, TIME, *variables, *(c for c in history.columns if c == timeline.POSITION)), back=1)
+    steps = rows.select(STATION, F.hour(TIME).alias("hour"), *variables, timeline.OWN, *(F.abs(F.col(v) - F.lag(v).over(timeline.local())).alias(f"_{v}") for v in variables)).where(timeline.OWN)
     return steps.groupBy(STATION, "hour").agg(
         *(_mean4(v).alias(f"{v}_baseline") for v in variables), *(r6(F.percentile(f"_{v}", F.lit(config.roc_quantile))).alias(f"{v}_roc_limit") for v in variables))
 
@@ -32,15 +33,18 @@ def _mean4(v: str) -> Column:
 
 
 def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = StatisticalConfig(), variables: tuple[str, ...] = VARIABLES) -> DataFrame:
-    """All flags, their families, severity and alert of every row. One join with the calibration, one pass of windows.
+    """All flags, their families, severity and alert of every row. One join with the calibration, one pass of windows over chunks of each station's rows.
 
     A station or hour without calibration has no baseline: its rate and level flags are false. Null readings raise no flag.
     """
-    joined = obs.withColumn("hour", F.hour(TIME)).join(hourly, [STATION, "hour"], "left")
+    by_chunk = timeline.local()
+    obs_columns = obs.columns
+    back = max(1, config.persistence_rows, *(w + 1 for w in config.windows))
+    joined = timeline.chunked(obs, back=back).withColumn("hour", F.hour(TIME)).join(hourly, [STATION, "hour"], "left")
     residual = joined.withColumns({f"{v}_hourly_residual": r6(F.col(v) - F.col(f"{v}_baseline")) for v in variables})
-    rates = {f"{v}_rate_of_change": r6(F.abs(F.col(v) - F.lag(v).over(by_time()))) for v in variables}
+    rates = {f"{v}_rate_of_change": r6(F.abs(F.col(v) - F.lag(v).over(by_chunk))) for v in variables}
     # running totals, of which every window is a difference: a row costs the same for any length of window
-    so_far = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    so_far = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
     sources = {f"_{v}": F.col(v) for v in variables} | {f"_{v}_residual": F.col(f"{v}_hourly_residual") for v in variables}
     totals = {}
     for name, value in sources.items():
@@ -50,7 +54,7 @@ def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = Statis
 
     def between(name: str, first: int, last: int) -> Column:
         """Totals of the rows from ``first`` to ``last`` rows back."""
-        cut = lambda c, k: F.col(c) if k == 0 else F.coalesce(F.lag(c, k).over(by_time()), F.lit(0).cast(dict(joined.dtypes)[c]))
+        cut = lambda c, k: F.col(c) if k == 0 else F.coalesce(F.lag(c, k).over(by_chunk), F.lit(0).cast(dict(joined.dtypes)[c]))
         return F.struct(*((cut(f"{name}_{k}", last) - cut(f"{name}_{k}", first + 1)).alias(k) for k in ("sum", "squares", "n")))
 
     out = joined.withColumns({f"_{v}_{w}": between(f"_{v}_residual", w, 1) for v in variables for w in config.windows} | {f"_{v}_recent": between(f"_{v}", config.persistence_rows - 1, 0) for v in variables})
@@ -72,7 +76,8 @@ def detect(obs: DataFrame, hourly: DataFrame, config: StatisticalConfig = Statis
         "level": [F.col(f"{v}_zscore_{w}h_anomaly") for v in variables for w in config.windows], "persistence": [F.col(f"{v}_persistence_anomaly") for v in variables],
     }
     out = out.withColumns({f"evidence_{name}": any_true(flags) for name, flags in families.items()} | {"statistical_flag_count": count_true(sum(families.values(), []))})
-    return with_severity(out.drop("hour", *(c for c in out.columns if c.startswith("_"))))
+    out = out.where(timeline.OWN)
+    return with_severity(out.drop("hour", *(c for c in out.columns if c.startswith("_") and c not in obs_columns)))
 
 
 def with_severity(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,17 @@ from ..sources import tables
 NAMES = ("hourly", "graph", "limits", "normalisation", "bounds", "model")
 
 
+def model_table(spark: SparkSession, model: reconstruct.LinearAutoencoder | None) -> DataFrame:
+    """The model as a table: its mean, then its directions; empty for window means."""
+    rows = [] if model is None else [(i, [float(x) for x in row]) for i, row in enumerate([model.mean, *model.directions.T])]
+    return spark.createDataFrame(rows, "place int, x array<double>")
+
+
+def model_of(table: DataFrame) -> reconstruct.LinearAutoencoder | None:
+    rows = [r["x"] for r in table.orderBy("place").collect()]  # components + 1 rows
+    return reconstruct.LinearAutoencoder(np.array(rows[0]), np.array(rows[1:]).T) if rows else None
+
+
 @dataclass(frozen=True)
 class Calibration:
     """Everything the three detectors learn from a history."""
@@ -44,9 +55,8 @@ class Calibration:
 
     def save(self, path: str) -> None:
         """Tables as Parquet and a manifest that says what they are for. The model is a table too: its mean, then its directions."""
-        spark, model = self.hourly.sparkSession, self.reconstruction.model
-        rows = [] if model is None else [(i, [float(x) for x in row]) for i, row in enumerate([model.mean, *model.directions.T])]
-        found = dict(zip(NAMES, (self.hourly, self.graph, self.limits, self.reconstruction.stats, self.reconstruction.bounds, spark.createDataFrame(rows, "place int, x array<double>")), strict=True))
+        model = model_table(self.hourly.sparkSession, self.reconstruction.model)
+        found = dict(zip(NAMES, (self.hourly, self.graph, self.limits, self.reconstruction.stats, self.reconstruction.bounds, model), strict=True))
         tables.save_tables(found, self._manifest(), path)
 
     @classmethod
@@ -59,9 +69,7 @@ class Calibration:
         missing = sorted(set(NAMES) - set(found))
         if missing:
             raise tables.InvalidData(f"no tables {missing}")
-        rows = [r["x"] for r in found["model"].orderBy("place").collect()]  # components + 1 rows
-        model = reconstruct.LinearAutoencoder(np.array(rows[0]), np.array(rows[1:]).T) if rows else None
-        out = cls(found["hourly"], found["graph"], found["limits"], reconstruct.ReconstructionTables(found["normalisation"], found["bounds"], model), statistical_config, spatial_config, reconstruction_config)
+        out = cls(found["hourly"], found["graph"], found["limits"], reconstruct.ReconstructionTables(found["normalisation"], found["bounds"], model_of(found["model"])), statistical_config, spatial_config, reconstruction_config)
         for name, value in out._manifest().items():
             if manifest.get(name) != value:
                 raise tables.InvalidData(f"calibrated for {name} {manifest.get(name)}, not {value}")

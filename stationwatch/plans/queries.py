@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 from collections.abc import Callable
 from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import STATION, TIME, VARIABLES, FusionConfig, ReconstructionConfig, SpatialConfig, StatisticalConfig
+from ..functions import scalar
 from ..functions.scalar import flag, hour_label, r6, severity_score
-from ..operators import diagnosis, evaluate, explain, explore, fusion, inject, reconstruct, spatial, statistical
+from ..operators import diagnosis, evaluate, explain, explore, fusion, inject, neural, order, reconstruct, spatial, statistical, timeline
 from ..sources import tables
 from . import sql
+from .calibration import model_of, model_table
 
 V = VARIABLES
 #: Columns of the wide table.
@@ -22,6 +27,9 @@ EVENT_STAT = StatisticalConfig(ranges={"temperature": (0.5, 200.0), "humidity":
 LINE_STAT = StatisticalConfig(windows=(24, 168), persistence_tolerance=0.001, ranges={"temperature": (2.0, 49.0), "humidity": (0.0, 0.1), "pressure": (2000.0, 102000.0)})
 SPATIAL, RECON, FUSE, INJECT = SpatialConfig(), ReconstructionConfig(), FusionConfig(), inject.InjectionConfig()
 
+#: What is kept under a fingerprint depends on the code that makes it.
+VERSION = hashlib.sha256("".join(inspect.getsource(m) for m in (config, scalar, fusion, inject, reconstruct, spatial, statistical, timeline, order, tables)).encode()).hexdigest()
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -48,41 +56,58 @@ def before(df: DataFrame, cut: str) -> DataFrame:
 
 
 class Network:
-    """One test network with its calibrated tables, each computed once and staged. The raw table is reduced to observations once; all detectors read those."""
+    """One test network with its calibrated tables.
+
+    The raw table is read, reduced to observations, checked, numbered and staged in one
+    pass, which also sums up its contents. Every table that is learned from these
+    is kept under that fingerprint and the settings: the first query that needs
+    it makes it, later ones, of later runs with the same shared folder too, read it.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, lines: bool, faults: bool = False):
-        self.spark, self.lines = spark, lines
-        clean = tables.stage(tables.daily_lines(spark, sf_dir) if lines else tables.hourly_events(spark, sf_dir), "observations")
-        self.clean, self.cut, self.config = clean, LINE_CUT if lines else EVENT_CUT, LINE_STAT if lines else EVENT_STAT
-        self.history = before(clean, self.cut)
-        self.obs = tables.stage(inject.inject(clean, INJECT)[0], "faulty") if faults else clean
+        self.spark, self.lines, self.faults = spark, lines, faults
+        loaded = tables.load(tables.daily_lines(spark, sf_dir) if lines else tables.hourly_events(spark, sf_dir), "observations")
+        self.clean, self.rows = loaded.rows, loaded.count
+        self.cut, self.config = LINE_CUT if lines else EVENT_CUT, LINE_STAT if lines else EVENT_STAT
+        self.history = before(self.clean, self.cut)
+        self.store = tables.Store(spark, [VERSION, loaded.digest, self.cut, self.config, SPATIAL, RECON, INJECT])
+        self.obs = self.store.table("faulty", lambda: inject.inject(self.clean, INJECT)[0]) if faults else self.clean
 
     @cached_property
     def places(self) -> DataFrame:
-        return tables.stage(tables.station_places(self.clean), "places")
+        return self.store.table("places", lambda: tables.station_places(self.clean))
 
     @cached_property
     def graph(self) -> DataFrame:
-        return tables.stage(spatial.neighbours(self.places, SPATIAL), "graph")
+        return self.store.table("graph", lambda: spatial.neighbours(self.places, SPATIAL))
 
     @cached_property
     def hourly(self) -> DataFrame:
-        return tables.stage(statistical.calibrate(self.history, self.config), "hourly")
+        return self.store.table("hourly", lambda: statistical.calibrate(self.history, self.config))
 
     @cached_property
     def limits(self) -> DataFrame:
-        return tables.stage(spatial.calibrate(self.history, self.graph, SPATIAL), "limits")
+        return self.store.table("limits", lambda: spatial.calibrate(self.history, self.graph, SPATIAL))
 
-    @cached_property
-    def linear_tables(self) -> reconstruct.ReconstructionTables:
-        return reconstruct.calibrate(self.history, RECON, True)
+    def recon_tables(self, linear: bool = False) -> reconstruct.ReconstructionTables:
+        return self._linear_tables if linear else self._mean_tables
 
     @cached_property
-    def mean_tables(self) -> reconstruct.ReconstructionTables:
-        return reconstruct.calibrate(self.history, RECON, False)
+    def _linear_tables(self) -> reconstruct.ReconstructionTables:
+        return self._reconstruction("linear")
 
-    def recon_tables(self, linear: bool = False) -> reconstruct.ReconstructionTables:
-        return self.linear_tables if linear else self.mean_tables
+    @cached_property
+    def _mean_tables(self) -> reconstruct.ReconstructionTables:
+        return self._reconstruction("means")
+
+    def _reconstruction(self, kind: str) -> reconstruct.ReconstructionTables:
+        names = [f"{kind}-{part}" for part in ("normalisation", "bounds", "model")]
+        found = [self.store.find(name) for name in names]
+        if any(f is None for f in found):
+            made = reconstruct.calibrate(self.history, RECON, kind == "linear")
+            parts = made.stats, made.bounds, model_table(self.spark, made.model)
+            found = [self.store.table(name, lambda part=part: part) for name, part in zip(names, parts, strict=True)]
+        return reconstruct.ReconstructionTables(found[0], found[1], model_of(found[2]) if kind == "linear" else None)
 
     def statistical(self) -> DataFrame:
         return statistical.detect(self.obs, self.hourly, self.config)
@@ -94,9 +119,13 @@ class Network:
         return reconstruct.detect(self.obs, self.recon_tables(linear), RECON)
 
     def fused(self, linear: bool = False) -> DataFrame:
-        """The joined outputs are staged: evaluations aggregate them several times over."""
+        """The joined outputs, kept with the calibrations: evaluations, here and in later queries, aggregate them several times over."""
+        name = f"fused-{'faulty' if self.faults else 'clean'}-{'linear' if linear else 'means'}"
+        return fusion.vote(self.store.table(name, lambda: self._joined(linear)))
+
+    def _joined(self, linear: bool) -> DataFrame:
         joined = fusion.join_outputs(self.obs, self.statistical(), self.spatial(), self.reconstruction(linear), check=False)
-        return fusion.vote(fusion.validated(tables.stage(joined, "fused")))
+        return tables.stage_joined(joined, "fused", self.rows)
 
 
 # ------------------------------------------------------------ parts of the SQL
@@ -322,6 +351,24 @@ def reconstruction_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(Network(spark, sf_dir, True).reconstruction(linear=True), STATION, TIME, *RECON_COLUMNS)
 
 
+def _neural_tables(net: Network) -> reconstruct.ReconstructionTables:
+    return reconstruct.calibrate(net.history, RECON, refine=lambda windows, held, linear: neural.NeuralAutoencoder.fit(windows, held, linear, RECON))
+
+
+@query()
+def reconstruction_neural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the nonlinear autoencoder."""
+    net = Network(spark, sf_dir, True)
+    return out(reconstruct.detect(net.obs, _neural_tables(net), RECON), STATION, TIME, *RECON_COLUMNS)
+
+
+@query()
+def autoencoder_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses by epoch; epoch 0 is the linear model."""
+    model = _neural_tables(Network(spark, sf_dir, True)).model
+    return spark.createDataFrame(model.history if model else [], "epoch int, training_loss double, held_out_loss double")
+
+
 # ----------------------------------------------------------------------- fusion
 
 VOTES = ["statistical_alert", "spatial_alert", "lstm_ae_alert", "detector_votes", "final_alert", "final_severity", "final_confidence"]

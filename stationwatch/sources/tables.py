@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import STATION, TIME, VARIABLES
 from ..functions.scalar import mean6, nan_to_null, r6, uniform
+from ..operators import timeline
 
 OBSERVATION = T.StructType([
     T.StructField(TIME, T.TimestampType()), T.StructField(STATION, T.StringType()), T.StructField("station_name", T.StringType()),
@@ -96,6 +100,106 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """A table that was read, checked, numbered and staged in one pass, and what the pass saw."""
+
+    rows: DataFrame
+    count: int
+    first_year: int | None
+    last_year: int | None
+    #: Two sums over the contents, the same for any order of rows.
+    digest: str
+
+
+def contents(columns: list[str]) -> list[Column]:
+    """Aggregates that tell tables of other contents apart, in whatever order and parts the rows come."""
+    return [F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("_sum"), F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(20,0)")).alias("_other"), F.bit_xor(F.xxhash64(F.lit(2), *columns)).alias("_xor")]
+
+
+def load(df: DataFrame, name: str, years: tuple[int, int] | None = None) -> Loaded:
+    """Stage observations with their positions, checking them in the pass that writes them.
+
+    Refused are null and repeated (station, time) keys, and with ``years`` empty
+    tables and other years. The checks are observed metrics of the one job.
+    """
+    require_columns(df, [STATION, TIME])
+    columns = sorted(c for c in df.columns if c != timeline.POSITION)
+    seen = Observation(name)
+    year = F.year(F.col(TIME))
+    numbered = timeline.positions(df, repeated="_repeated").observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(STATION).isNull() | F.col(TIME).isNull()).alias("nulls"), F.count_if("_repeated").alias("repeated"),
+        F.min(year).alias("first_year"), F.max(year).alias("last_year"), *contents(columns))
+    staged = stage(numbered.drop("_repeated"), name)
+    found = seen.get
+    if found["nulls"]:
+        raise InvalidData("null station or timestamp")
+    if found["repeated"]:
+        raise InvalidData("repeated (station_id, timestamp)")
+    if years and not (found["rows"] and years[0] <= found["first_year"] and found["last_year"] <= years[1]):
+        raise InvalidData(f"not all timestamps are of {years[0]}..{years[1]}")
+    digest = json.dumps([columns, found["rows"], *(str(found[c]) for c in ("_sum", "_other", "_xor"))])
+    return Loaded(staged, found["rows"], found["first_year"], found["last_year"], digest)
+
+
+def load_history(spark: SparkSession, parquet: str, csv: str | None = None, years: tuple[int, int] = (2023, 2025)) -> Loaded:
+    """Observations to calibrate on: these years only, one row for each station and time."""
+    return load(read_observations(spark, parquet, csv), "history", years)
+
+
+def load_present(spark: SparkSession, parquet: str, csv: str | None = None, years: tuple[int, int] = (2026, 2026)) -> Loaded:
+    """Observations to judge: this year only, one row for each station and time."""
+    return load(read_observations(spark, parquet, csv), "present", years)
+
+
+def stage_joined(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """Stage a one-to-one join of a table of ``rows`` rows with unique keys, and refuse it if the pass that writes it sees more or fewer."""
+    seen = Observation(name)
+    staged = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    if seen.get["rows"] != rows:
+        raise InvalidData(f"{seen.get['rows']} joined rows of {rows}: a key is repeated")
+    return staged
+
+
+class Store:
+    """Tables that are made once for given contents, in the shared folder: a later run with the same fingerprint reads them.
+
+    ``contents`` names everything a table depends on: the digest of its input and
+    all settings. A table counts from when its manifest is written, which is
+    last; the manifest repeats the contents, and one that says other than its
+    name is refused. Two runs that make a table at once write it twice; either is right.
+    """
+
+    def __init__(self, spark: SparkSession, contents: object, root: str | None = None):
+        self.spark, self.contents = spark, json.dumps(contents, sort_keys=True, default=str)
+        self.root = f"{root or f'{shared_dir(spark)}/calibrations'}/{hashlib.sha256(self.contents.encode()).hexdigest()}"
+
+    def find(self, name: str) -> DataFrame | None:
+        """The table of this name, if it was made; refuses a manifest of other contents."""
+        path = f"{self.root}/{name}-manifest"
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+            return None
+        told = self.spark.read.schema("contents string, path string, columns string").json(path).orderBy("path").first()
+        if told is None:
+            return None
+        if told["contents"] != self.contents:
+            raise InvalidData(f"stale: {name} was made for other contents")
+        kept = T.StructType.fromJson(json.loads(told["columns"]))
+        return self.spark.read.schema(kept).parquet(told["path"])
+
+    def table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        found = self.find(name)
+        if found is not None:
+            return found
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        made = make()
+        made.write.parquet(path)
+        row = [(self.contents, path, made.schema.json())]
+        self.spark.createDataFrame(row, "contents string, path string, columns string").coalesce(1).write.mode("append").json(f"{self.root}/{name}-manifest")
+        return self.spark.read.schema(made.schema).parquet(path)
+
+
 def require_columns(df: DataFrame, columns: list[str] | tuple[str, ...]) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
