@@ -1,21 +1,22 @@
 """Collocations: phrases of two to four words that are used together, mined by SON partitioning.
 
 The corpus falls into SHARDS shards, which are whole partitions of the input. A
-phrase with SUPPORT occurrences in all has, in some shard, at least the share of
-SUPPORT that the shard has of the language's words: each shard is mined
-completely at that lowered support, level by level, and what is frequent in some
-shard is a candidate. The union of the candidates is a table of bits of a fixed
-size, which travels to all tasks; it lets some other phrases through, as sets of
-bits do, but holds no candidate back. Then the texts are read once more and all
-candidates are counted exactly, by their words. A level only looks at phrases
-whose parts passed the level below, so that rare phrases, which are most of a
-corpus, hardly reach a shuffle.
+phrase with SUPPORT occurrences in all has, in some shard, at least a SHARDS-th
+of them: each shard is mined completely at that lowered support, level by level,
+and what is frequent in some shard is a candidate. One aggregation by phrase,
+whose key is a 64-bit hash, counts the shards side by side, so candidates that
+miss the support in all shards together go at once. The union of the others is
+a table of bits of a fixed size, which travels to all tasks; it lets some more
+phrases through, as sets of bits do, but holds none back. Then the texts are read
+once more and all that passes is counted exactly, by its words. A level only
+looks at phrases whose parts passed the level below, so that rare phrases, which
+are most of a corpus, hardly reach a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import keyed_hash, mix, slices, stage, word_bounds, word_codes
 
 LONGEST, SUPPORT, PERCENT_INSIDE, TOP = 4, 30, 80, 2000
-#: Shards are mined at a tenth of the support, more or less.
-SHARDS = 10
+#: Shards are mined at this part of the support.
+SHARDS = 4
 #: Bits of the tables of frequent words, and of candidates: 2 MB and 16 MB, whatever the size of the corpus.
 WORD_BITS, PHRASE_BITS = 24, 27
 #: Text that is counted in one go; longer texts are cut between pieces.
@@ -155,70 +156,64 @@ def _named(known: list[str], words: Words, at: np.ndarray) -> pa.Array:
     return pa.array(known, pa.string()).take(pa.array(words.langs[at])) if len(at) else pa.array([], pa.string())
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, shard, word, n) of all words, exactly."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words, known in _texts(batches):
-            at, _, n = words.counted(np.arange(len(words.codes)), 1)
-            yield pa.RecordBatch.from_pydict({
-                "lang": _named(known, words, at), "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "word": words.phrases(at, 1), "n": pa.array(n, pa.int64())})
-
-    return texts.mapInArrow(run, "lang string, shard int, word string, n long").groupBy("lang", "shard", "word").agg(F.sum("n").alias("n"))
+@dataclass(frozen=True)
+class Passed:
+    """What passed the levels so far: tables of single words, of pairs and of longer phrases."""
 
+    words: Bits | None = None
+    pairs: Bits | None = None
+    longer: Bits | None = None
 
-def _allowed(words: Words, size: int, frequent: Bits, pairs: Bits | None, longer: Bits | None) -> np.ndarray:
-    """Where phrases of ``size`` words may be frequent, by the levels below."""
-    ok = words.whole(size)
-    at = np.flatnonzero(ok)
-    part, table = (1, frequent) if pairs is None else (2, pairs)
-    inner = words.whole(part)
-    inner[inner] = table.has(words.keys(np.flatnonzero(inner), part))
-    for k in range(size - part + 1):
-        at = at[inner[at + k]]
-    if longer is not None and size > 2:
-        at = at[longer.has(words.keys(at, size))]
-    return at
+    def places(self, words: Words, size: int) -> np.ndarray:
+        """Where phrases of ``size`` words start whose parts, and which themselves where that is known, passed."""
+        at = np.flatnonzero(words.whole(size))
+        part, table = (2, self.pairs) if self.pairs is not None and size > 1 else (1, self.words)
+        if table is not None:
+            inner = words.whole(part)
+            inner[inner] = table.has(words.keys(np.flatnonzero(inner), part))
+            for k in range(size - part + 1):
+                at = at[inner[at + k]]
+        if self.longer is not None and size > 2:
+            at = at[self.longer.has(words.keys(at, size))]
+        return at
 
 
-def locally_frequent(texts: DataFrame, shares: DataFrame, sizes: tuple[int, ...], frequent: Bits, pairs: Bits | None = None) -> DataFrame:
-    """(key) of phrases that reach their lowered support in some shard. ``shares``: lang, shard, need."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, pairs))  # two tables of fixed sizes
+def mined(texts: DataFrame, sizes: tuple[int, ...], passed: Passed) -> DataFrame:
+    """(key) of phrases that reach the lowered support in some shard, and the support in all of them."""
+    shared = texts.sparkSession.sparkContext.broadcast(passed)  # tables of fixed sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, pairs = shared.value
-        for batch, words, known in _texts(batches):
-            marks = np.zeros(len(known), np.int64)
-            marks[batch.column("lang").dictionary_encode().indices.to_numpy(zero_copy_only=False)] = batch.column("mark").to_numpy()
+        for batch, words, _ in _texts(batches):
             for size in sizes:
-                at, keys, n = words.counted(_allowed(words, size, frequent, pairs, None), size)
-                yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "key": keys.view(np.int64), "mark": marks[words.langs[at]], "n": pa.array(n, pa.int64())})
+                at, keys, n = words.counted(shared.value.places(words, size), size)
+                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "n": pa.array(n, pa.int64())})
 
-    # a key is of one language, whose mark goes along as a number: numbers only, which are aggregated fastest
-    counts = texts.withColumn("mark", F.xxhash64("lang")).mapInArrow(run, "shard int, key long, mark long, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
-    shares = shares.select("shard", F.xxhash64("lang").alias("mark"), "need")
-    return counts.join(shares, ["mark", "shard"], "left").where(F.col("n") >= F.coalesce("need", F.lit(1))).select("key")
+    counts = texts.mapInArrow(run, "key long, shard int, n long").groupBy("key").agg(*(F.sum(F.when(F.col("shard") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(SHARDS)))
+    local = [F.col(f"n{k}") for k in range(SHARDS)]
+    frequent = F.greatest(*local, F.lit(0)) >= -(-SUPPORT // SHARDS)
+    return counts.where(frequent & (sum(local, F.lit(0)) >= SUPPORT)).select("key")
 
 
-def phrase_counts(texts: DataFrame, frequent: Bits, pairs: Bits, longer: Bits) -> DataFrame:
-    """(lang, phrase, size, a): all candidates with at least SUPPORT occurrences, counted by their words."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, pairs, longer))  # three tables of fixed sizes
+def phrase_counts(texts: DataFrame, passed: Passed) -> DataFrame:
+    """(lang, phrase, size, a): words and phrases with at least SUPPORT occurrences, counted by their words, and for each language all its words together as size 0."""
+    shared = texts.sparkSession.sparkContext.broadcast(passed)  # tables of fixed sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
         for _, words, known in _texts(batches):
-            for size in range(2, LONGEST + 1):
-                at, _, n = words.counted(_allowed(words, size, *tables), size)
+            every = np.bincount(words.langs, minlength=len(known))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(known, pa.string()), "phrase": pa.array([""] * len(known), pa.string()), "size": pa.array([0] * len(known), pa.int32()), "n": pa.array(every, pa.int64())})
+            for size in range(1, LONGEST + 1):
+                at, _, n = words.counted(shared.value.places(words, size), size)
                 yield pa.RecordBatch.from_pydict({"lang": _named(known, words, at), "phrase": words.phrases(at, size), "size": pa.array(np.full(len(at), size), pa.int32()), "n": pa.array(n, pa.int64())})
 
-    return texts.mapInArrow(run, "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= SUPPORT)
+    counts = texts.mapInArrow(run, "lang string, phrase string, size int, n long").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
+    return counts.where((F.col("size") == 0) | (F.col("a") >= SUPPORT))
 
 
-def scored(phrases: DataFrame, words: DataFrame) -> DataFrame:
-    """(lang, phrase, size, a, l, r, score) of the phrases at their lowest-scoring cut."""
-    known = phrases.select("lang", "phrase", F.col("a").alias("f")).unionByName(words.select("lang", F.col("word").alias("phrase"), "f"))
-    cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+def scored(counts: DataFrame) -> DataFrame:
+    """(lang, phrase, size, a, l, r, score) of the phrases of two words or more at their lowest-scoring cut; ``counts`` has their parts too."""
+    known = counts.where("size > 0").select("lang", "phrase", F.col("a").alias("f"))
+    cuts = counts.where("size > 1").select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.withColumns({"first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - size)")})
     part = lambda name, f: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     cuts = cuts.join(part("first", "l"), ["lang", "first"]).join(part("rest", "r"), ["lang", "rest"])
@@ -248,24 +243,13 @@ def collocations(docs: DataFrame) -> DataFrame:
     """
     shard = (F.spark_partition_id() % SHARDS).cast("int")
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").withColumn("shard", shard)
-    singles = stage(word_counts(texts), "words")
-    shares = singles.groupBy("lang", "shard").agg(F.sum("n").alias("words"))
-    totals = stage(shares.groupBy("lang").agg(F.sum("words").alias("n")), "totals")
-    need = F.expr(f"cast(({SUPPORT} * cast(words as decimal(19,0)) + n - 1) div n as long)")
-    shares = stage(shares.join(totals, "lang").select("lang", "shard", F.greatest(need, F.lit(1)).alias("need")), "shares")
-    words = stage(singles.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= SUPPORT), "frequent-words")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = keyed_hash(batch.column("word").cast(pa.large_binary())) * _PLACES[LONGEST] + keyed_hash(batch.column("lang").cast(pa.large_binary()))
-            yield pa.RecordBatch.from_pydict({"key": mix(names * _PLACES[0] + np.uint64(1)).view(np.int64)})
-
-    frequent = Bits.of(words.select("lang", "word").mapInArrow(keyed, "key long"), WORD_BITS)
-    pairs = Bits.of(locally_frequent(texts, shares, (2,), frequent), PHRASE_BITS)
-    longer = Bits.of(locally_frequent(texts, shares, tuple(range(3, LONGEST + 1)), frequent, pairs), PHRASE_BITS)
-    phrases = stage(phrase_counts(texts, frequent, pairs, longer), "phrases")
+    words = Passed(Bits.of(mined(texts, (1,), Passed()), WORD_BITS))
+    pairs = replace(words, pairs=Bits.of(mined(texts, (2,), words), PHRASE_BITS))
+    passed = replace(pairs, longer=Bits.of(mined(texts, tuple(range(3, LONGEST + 1)), pairs), PHRASE_BITS))
+    counts = stage(phrase_counts(texts, passed), "phrases")
+    totals = counts.where("size = 0").select("lang", F.col("a").alias("n"))
     hidden = F.expr(f"100 * cast(longest as decimal(19,0)) >= {PERCENT_INSIDE} * cast(a as decimal(19,0))")
-    left = scored(phrases, words).join(_contained(phrases), ["lang", "phrase"], "left").where(~F.coalesce(hidden, F.lit(False)))
+    left = scored(counts).join(_contained(counts), ["lang", "phrase"], "left").where(~F.coalesce(hidden, F.lit(False)))
     order = [F.desc("score"), F.desc("a"), "phrase"]
     group = F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS))
     first = left.withColumn("g", group).withColumn("place", F.row_number().over(Window.partitionBy("lang", "g").orderBy(*order))).where(F.col("place") <= TOP)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,13 +68,30 @@ def test_phrases_match_brute_force(spark, talk, monkeypatch):
     df = spark.createDataFrame([(*r, 1, "k") for r in talk], "lang string, text string, n long, phrase string").repartition(7)
     found = lambda: sorted(tuple(r) for r in phrases.collocations(df).collect())
     assert found() == wanted
-    monkeypatch.setattr(phrases, "SLICE_BYTES", 40)  # texts in parts
     monkeypatch.setattr(phrases, "PHRASE_BITS", 8)  # crowded tables of bits hold nothing back
     monkeypatch.setattr(phrases, "WORD_BITS", 7)
     assert found() == wanted
     assert phrases.collocations(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 10_000])
+def test_long_texts_are_cut_between_pieces(talk, monkeypatch, size):
+    monkeypatch.setattr(phrases, "SLICE_BYTES", size)
+    batch = pa.RecordBatch.from_pydict({"lang": pa.array([r[0] or "und" for r in talk], pa.string()), "text": pa.array([r[1] for r in talk], pa.string())})
+    found = Counter()
+    for _, words, known in phrases._texts(iter([batch])):
+        for k in range(1, 5):
+            at, _, n = words.counted(phrases.Passed().places(words, k), k)
+            for name, phrase, count in zip(phrases._named(known, words, at).to_pylist(), words.phrases(at, k).to_pylist(), n.tolist(), strict=True):
+                found[name, phrase] += count
+    wanted = Counter()
+    for lang, text in talk:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            wanted.update((lang or "und", " ".join(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert found == wanted
+
+
 def test_phrases_are_cut_at_the_first_of_equals_and_ranked_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(phrases, "TOP", 3)
     rows = [("en", t) for t in ("z q. z q", "a b; é b", "é c! zz c") for _ in range(40)]
@@ -90,9 +108,8 @@ def test_supports_add_up_whatever_the_shards(spark, talk, monkeypatch):
 
 def test_scores_are_exact_beyond_64_bits(spark):
     a = 7_000_000_000_000_000
-    p = spark.createDataFrame([("en", "x y", 2, a)], "lang string, phrase string, size int, a long")
-    w = spark.createDataFrame([("en", "x", a + 1), ("en", "y", a + 2)], "lang string, word string, f long")
-    assert phrases.scored(p, w).first().score == 2000000 * a // (2 * a + 3)
+    counts = spark.createDataFrame([("en", "", 0, 9 * a), ("en", "x y", 2, a), ("en", "x", 1, a + 1), ("en", "y", 1, a + 2)], "lang string, phrase string, size int, a long")
+    assert phrases.scored(counts).first().score == 2000000 * a // (2 * a + 3)
 
 
 # --------------------------------------------------------------------- quality
