@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import STATION, TIME, VARIABLES, FusionConfig, ReconstructionConfig
-from ..functions.scalar import by_time, count_true, finite, r6
-from ..sources.tables import InvalidData, check_keys
+from ..functions.scalar import count_true, finite, r6
+from ..sources.tables import InvalidData, check_keys, stage
+from . import timeline
 from .fusion import ALERTS, severity_of_votes
-from .reconstruct import modal_step, normalise, segments
+from .reconstruct import Model, modal_step, normalise, segments
 
 #: What to do about each diagnosis.
 RECOMMENDATIONS = {
@@ -121,14 +125,20 @@ def integrity(fused: DataFrame, config: FusionConfig = FusionConfig(), variables
 
 @dataclass(frozen=True)
 class AttributionConfig:
-    rows: int = 2
+    #: Alerts that are explained, the earliest first; the others are told so.
+    rows: int = 1000
     background: int = 25
     permutations: int = 2
     seed: int = 42
+    #: Windows that one alert may cost, and seconds that one of its paths may take.
     windows: int = 500_000
+    seconds: float = 30.0
 
 
-def row_score(context: np.ndarray, window: int, target: int, rebuild: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+Rebuild = Callable[[np.ndarray], np.ndarray]
+
+
+def row_score(context: np.ndarray, window: int, target: int, rebuild: Rebuild) -> np.ndarray:
     """Scores of many contexts (n, length, variables): the mean squared error at ``target`` over all windows that cover it."""
     n, length, k = context.shape
     starts = range(max(0, target - window + 1), min(target, length - window) + 1)
@@ -140,62 +150,112 @@ def row_score(context: np.ndarray, window: int, target: int, rebuild: Callable[[
     return total / max(len(starts), 1)
 
 
-def permutation_values(score: Callable[[np.ndarray], np.ndarray], x: np.ndarray, background: np.ndarray, config: AttributionConfig) -> tuple[np.ndarray, float, float]:
-    """Shapley values of the context's cells by permutations and their reverses, with the scores of x and of the background's mean."""
-    rng = np.random.default_rng(config.seed)
-    base = background.mean(0)
-    flat, empty = x.reshape(-1), base.reshape(-1)
-    values = np.zeros(len(flat))
-    for _ in range(config.permutations):
-        order = rng.permutation(len(flat))
-        for path in (order, order[::-1]):
-            steps = np.repeat(empty[None], len(flat) + 1, 0)
-            for i, cell in enumerate(path, 1):
-                steps[i:, cell] = flat[cell]
-            scores = score(steps.reshape(-1, *x.shape))
-            values[path] += np.diff(scores)
-    return values / (2 * config.permutations), float(score(x[None])[0]), float(score(base[None])[0])
-
-
-def attribute(obs: DataFrame, alerted: DataFrame, stats: DataFrame, model, background: DataFrame, config: ReconstructionConfig = ReconstructionConfig(),
-              budget: AttributionConfig = AttributionConfig()) -> DataFrame:
-    """station_id, timestamp, available, reason, and each variable's share of the score, for the first ``budget.rows`` alerted rows of the whole table.
+def contexts(obs: DataFrame, stats: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
+    """Every row of ``obs`` with ``near``, the normalised rows up to a window's length before and after it, and ``parts``, how many segments these come from."""
+    reach = config.window - 1
+    rows = timeline.chunked(segments(normalise(obs, stats, config), modal_step(obs), config), back=reach, ahead=reach)
+    around = timeline.local().rowsBetween(-reach, reach)
+    near = F.collect_list(F.struct(TIME, *(F.col(f"{v}_z") for v in config.variables))).over(around)
+    same = F.collect_list("segment").over(around)
+    return rows.select(STATION, TIME, near.alias("near"), F.size(F.array_distinct(same)).alias("parts"), timeline.OWN).where(timeline.OWN).drop(timeline.OWN)
+
+
+def requests(obs: DataFrame, alerted: DataFrame, stats: DataFrame, background_end: datetime | None, config: ReconstructionConfig = ReconstructionConfig(), budget: AttributionConfig = AttributionConfig()) -> DataFrame:
+    """The alerted rows (with ``lstm_ae_score``) with their contexts, the place of the row in it, and ``reason`` where it can't be explained."""
+    first = alerted.select(STATION, TIME).orderBy(TIME, STATION).limit(budget.rows).withColumn("_chosen", F.lit(True))
+    asked = alerted.select(STATION, TIME, F.col("lstm_ae_score").alias("stored")).join(first, [STATION, TIME], "left").join(contexts(obs, stats, config), [STATION, TIME], "left")
+    target = F.array_position(F.transform("near", lambda c: c[TIME]), F.col(TIME)) - 1
+    broken = F.exists("near", lambda c: reduce(lambda a, b: a | b, (c[f"{v}_z"].isNull() for v in config.variables)))
+    length, covering = F.size("near"), F.least(target, F.size("near") - config.window) - F.greatest(target - config.window + 1, F.lit(0)) + 1
+    cost = (length * len(config.variables) + 1) * 2 * budget.permutations * covering
+    late = F.lit(False) if background_end is None else F.col(TIME) <= F.lit(background_end).cast(dict(alerted.dtypes)[TIME])
+    reason = (
+        F.when(F.col("_chosen").isNull(), "row budget exceeded").when(F.lit(background_end is None), "no background").when(late, "background must precede the row")
+        .when(F.col("near").isNull() | target.isNull(), "missing row key").when((F.col("parts") > 1) | broken, "the context has gaps").when(length < config.window, "the context is too short")
+        .when(cost > budget.windows, "window budget exceeded"))
+    return asked.select(STATION, TIME, "stored", "near", target.cast("int").alias("target"), reason.alias("reason"))
+
+
+def coalition_steps(asked: DataFrame, ground: np.ndarray, rebuild: Rebuild, config: ReconstructionConfig = ReconstructionConfig(), budget: AttributionConfig = AttributionConfig()) -> DataFrame:
+    """(station_id, timestamp, path, step, cell, score): along each path the cells of a context replace the background's one by one, and after each step the row's score stands.
 
-    The number of explained rows is the feature: attribution is a report, not a
-    scan. ``background`` holds normalised windows from strictly earlier times.
+    A path is a permutation of the cells or its reverse; paths are rows and are dealt
+    over all tasks. One that takes too long has a single step with a null score.
     """
-    # a report on budget.rows rows
-    chosen = alerted.select(STATION, TIME).orderBy(TIME, STATION).limit(budget.rows)
-    rows = segments(normalise(obs, stats, config), modal_step(obs), config)
-    reach = config.window - 1
-    near = F.collect_list(F.struct(TIME, *(F.col(f"{v}_z") for v in config.variables))).over(by_time().rowsBetween(-reach, reach))
-    same = F.collect_list("segment").over(by_time().rowsBetween(-reach, reach))
-    contexts = rows.select(STATION, TIME, near.alias("near"), F.size(F.array_distinct(same)).alias("parts")).join(F.broadcast(chosen), [STATION, TIME])
-    samples = background.orderBy("times", STATION).select(*(f"{v}_cells" for v in config.variables)).limit(budget.background).toPandas()
-    earlier = np.stack([np.stack([np.stack(samples[f"{v}_cells"]) for v in config.variables], 2)])[0] if len(samples) else np.zeros((0, config.window, len(config.variables)))
-    mean, directions = model.mean, model.directions
-    rebuild = lambda flat: (flat - mean) @ directions @ directions.T + mean
-    schema = f"{STATION} string, {TIME} timestamp, available boolean, reason string, score double, base double, " + ", ".join(f"{v}_share double" for v in config.variables)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    width = len(config.variables)
+    paths = asked.where("reason IS NULL").select(STATION, TIME, "near", "target", F.explode(F.sequence(F.lit(0), F.lit(2 * budget.permutations - 1))).alias("path"))
+    spread = paths.repartition(paths.sparkSession.sparkContext.defaultParallelism * 4, STATION, TIME, "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, row in batch.iterrows():
-                cells = np.array([[c[f"{v}_z"] for v in config.variables] for c in row["near"]], float)
-                target = next(i for i, c in enumerate(row["near"]) if pd.Timestamp(c[TIME]) == pd.Timestamp(row[TIME]))
-                why = "the context has gaps" if row["parts"] > 1 or np.isnan(cells).any() else "the context is too short" if len(cells) < config.window else "no background" if not len(earlier) else None
-                cost = (cells.size + 1) * 2 * budget.permutations * config.window
-                why = why or ("over the window budget" if cost > budget.windows else None)
-                if why:
-                    out.append((row[STATION], row[TIME], False, why, None, None, *[None] * len(config.variables)))
-                    continue
-                ground = np.repeat(earlier.mean(0, keepdims=True), -(-len(cells) // config.window), 0).reshape(-1, cells.shape[1])[: len(cells)]
-                values, full, base = permutation_values(lambda c, t=target: row_score(c, config.window, t, rebuild), cells, ground[None], budget)
-                if abs(values.sum() - (full - base)) > 1e-6 * max(1.0, abs(full)):
-                    out.append((row[STATION], row[TIME], False, "the shares do not add up", None, None, *[None] * len(config.variables)))
-                    continue
-                shares = np.abs(values.reshape(cells.shape)).sum(0)
-                out.append((row[STATION], row[TIME], True, None, full, base, *shares))
-            yield pd.DataFrame(out, columns=[STATION, TIME, "available", "reason", "score", "base", *(f"{v}_share" for v in config.variables)])
-
-    return contexts.select(STATION, F.col(TIME).cast("timestamp").alias(TIME), "near", "parts").mapInPandas(run, schema)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                began, near = time.perf_counter(), row.column("near")[0].as_py()
+                x = np.array([[c[f"{v}_z"] for v in config.variables] for c in near], float)
+                base = np.concatenate([ground] * -(-len(x) // len(ground)))[: len(x)].reshape(-1)
+                path, target = row.column("path")[0].as_py(), row.column("target")[0].as_py()
+                order = np.random.default_rng([budget.seed, path // 2]).permutation(x.size)
+                order = order[::-1] if path % 2 else order
+                steps = np.repeat(base[None], x.size + 1, 0)
+                place = np.empty(x.size, np.int64)
+                place[order] = np.arange(1, x.size + 1)
+                steps = np.where(np.arange(x.size + 1)[:, None] >= place[None], x.reshape(1, -1), steps)
+                scores = row_score(steps.reshape(-1, len(x), width), config.window, target, rebuild)
+                if time.perf_counter() - began > budget.seconds:
+                    order, scores = order[:0], np.array([np.nan])
+                n = len(scores)
+                yield pa.RecordBatch.from_pydict({
+                    STATION: pa.array(row.column(STATION).to_pylist() * n, pa.string()), TIME: pa.chunked_array([row.column(TIME)] * n).combine_chunks(),
+                    "path": pa.array([path] * n, pa.int32()), "step": pa.array(np.arange(n), pa.int32()), "cell": pa.array([-1, *order.tolist()], pa.int32()),
+                    "score": pa.array([None if np.isnan(s) else float(s) for s in scores], pa.float64())})
+
+    kinds = dict(asked.dtypes)
+    return spread.mapInArrow(run, f"{STATION} string, {TIME} {kinds[TIME]}, path int, step int, cell int, score double")
+
+
+def attribute(obs: DataFrame, alerted: DataFrame, stats: DataFrame, model: Model, background: DataFrame, config: ReconstructionConfig = ReconstructionConfig(),
+              budget: AttributionConfig = AttributionConfig()) -> DataFrame:
+    """One row for each alerted row (with ``lstm_ae_score``): available, reason, score, base, ``{v}_share``, top_variable, top_offset, uses_future, shares.
+
+    Shapley values of the cells of the row's context, by permutations and their
+    reverses, against the mean of ``budget.background`` windows of ``background``
+    (normalised windows of strictly earlier times). ``shares`` has a value for each
+    variable and offset in hours; they add up to score - base. A variable's share is
+    the sum of their magnitudes. A row isn't explained beyond the budgets, with
+    gaps in its context, where the stored score isn't reproduced or shares don't add up.
+    """
+    samples = background.orderBy("times", STATION).select(F.element_at("times", -1).alias("end"), *(f"{v}_cells" for v in config.variables)).limit(budget.background).toPandas()  # a fixed number
+    # mean background window: window x variables
+    ground = np.stack([np.mean(np.stack(samples[f"{v}_cells"]), 0) for v in config.variables], 1) if len(samples) else np.zeros((config.window, len(config.variables)))
+    latest = background.agg(F.max(F.element_at("times", -1)).alias("end")).first()["end"]
+    asked = stage(requests(obs, alerted, stats, latest, config, budget), "asked")
+    steps = stage(coalition_steps(asked, ground, model.rebuild_matrix, config, budget), "steps")
+    path = Window.partitionBy(STATION, TIME, "path").orderBy("step")
+    moved = steps.withColumn("gain", F.col("score") - F.lag("score").over(path))
+    cells = moved.where("cell >= 0").groupBy(STATION, TIME, "cell").agg((F.sum("gain") / (2 * budget.permutations)).alias("share"))
+    ends = steps.groupBy(STATION, TIME).agg(
+        F.avg(F.when(F.col("step") == 0, F.col("score"))).alias("base"), F.max_by("score", "step").alias("score"), F.count_if(F.col("score").isNull()).alias("_late"))
+    width = len(config.variables)
+    by_row = cells.groupBy(STATION, TIME).agg(F.sort_array(F.collect_list(F.struct("cell", "share"))).alias("_cells"))  # as many as a context has cells
+    rows = asked.join(ends, [STATION, TIME], "left").join(by_row, [STATION, TIME], "left")
+    hours = lambda at: (F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(F.col(TIME).cast("timestamp"))) / 3600.0
+    names = F.array(*map(F.lit, config.variables))
+    shares = F.transform("_cells", lambda c: F.struct(
+        F.get(names, c["cell"] % width).alias("variable"), hours(F.get(F.col("near"), F.floor(c["cell"] / width).cast("int"))[TIME]).alias("offset_hours"), c["share"].alias("share")))
+    rows = rows.withColumn("shares", shares)
+    total = F.aggregate("shares", F.lit(0.0), lambda a, s: a + s["share"])
+    gap = F.abs(F.col("score") - F.col("stored"))
+    reason = (
+        F.when(F.col("reason").isNotNull(), F.col("reason")).when((F.col("_late") > 0) | F.col("score").isNull(), "time budget exceeded")
+        .when(gap > 1e-5 + 1e-3 * F.abs("stored"), F.format_string("the stored score is not reproduced: %.9g, not %.9g", "score", "stored"))
+        .when(F.abs(F.col("base") + total - F.col("score")) > 1e-7 + 1e-5 * F.abs("score"), "the shares do not add up"))
+    rows = rows.withColumn("reason", reason).withColumn("available", F.col("reason").isNull())
+    mine = lambda v: F.filter("shares", lambda s: s["variable"] == v)
+    sums = {f"{v}_share": F.aggregate(mine(v), F.lit(0.0), lambda a, s: a + F.abs(s["share"])) for v in config.variables}
+    rows = rows.withColumns(sums)
+    largest = F.array_max(F.transform("shares", lambda s: F.struct(F.abs(s["share"]).alias("size"), (-F.abs(s["offset_hours"])).alias("near"), s["offset_hours"].alias("offset"))))
+    top = F.array_max(F.array(*(F.struct(F.col(f"{v}_share").alias("size"), F.lit(-i).alias("place"), F.lit(v).alias("name")) for i, v in enumerate(config.variables))))
+    told = lambda c, name: F.when(F.col("available"), c).alias(name)
+    return rows.select(
+        STATION, TIME, "available", "reason", told(F.col("score"), "score"), told(F.col("base"), "base"), *(told(F.col(name), name) for name in sums), told(top["name"], "top_variable"),
+        told(largest["offset"], "top_offset"), told(F.exists("shares", lambda s: s["offset_hours"] > 0), "uses_future"), told(F.col("shares"), "shares"))

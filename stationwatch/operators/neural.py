@@ -150,6 +150,9 @@ class NeuralAutoencoder:
                     break
         return cls(best, history)
 
+    def rebuild_matrix(self, x: np.ndarray) -> np.ndarray:
+        return forward(self.parameters, x)[-1]
+
     def rebuild(self, windows: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
         columns, p = [f"{v}_cells" for v in config.variables], self.parameters
 

@@ -144,6 +144,9 @@ class LinearAutoencoder:
         _, vectors = np.linalg.eigh(covariance)
         return cls(mean, vectors[:, ::-1][:, : config.components])
 
+    def rebuild_matrix(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) @ self.directions @ self.directions.T + self.mean
+
     def rebuild(self, windows: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame:
         columns = [f"{v}_cells" for v in config.variables]
         mean, directions = self.mean, self.directions
@@ -219,10 +222,12 @@ def label(obs: DataFrame, scores: DataFrame, bounds: DataFrame, config: Reconstr
 
 
 class Model(Protocol):
-    """Anything that adds ``{v}_rebuilt`` to windows."""
+    """Anything that adds ``{v}_rebuilt`` to windows, and rebuilds flattened ones."""
 
     def rebuild(self, windows: DataFrame, config: ReconstructionConfig = ReconstructionConfig()) -> DataFrame: ...
 
+    def rebuild_matrix(self, x: np.ndarray) -> np.ndarray: ...
+
 
 @dataclass(frozen=True)
 class ReconstructionTables:

@@ -719,12 +719,13 @@ def explanation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled Shapley values aren't SQL. The number of explained alerts is a report's limit."""
+    """Sampled Shapley values aren't SQL. The number of explained alerts is a report's limit; the others are listed as beyond it."""
     net = Network(spark, sf_dir, True, faults=True)
     found = net.recon_tables(linear=True)
     if found.model is None:
         return spark.createDataFrame([], f"{STATION} string, {TIME} string, available boolean, reason string")
     alerted = reconstruct.detect(net.obs, found, RECON).where("lstm_ae_alert")
+    alerted = alerted.where(F.col(TIME) >= F.lit(net.cut).cast(dict(alerted.dtypes)[TIME]))
     return out(explain.attribute(net.obs, alerted, found.stats, found.model, reconstruct.windows_of(net.history, found.stats, RECON), RECON))
 
 
