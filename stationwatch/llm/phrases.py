@@ -15,6 +15,7 @@ are most of a corpus, hardly reach a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -30,6 +31,10 @@ LONGEST, SUPPORT, PERCENT_INSIDE, TOP = 4, 30, 80, 2000
 SHARDS = 4
 #: Bits of the tables of frequent words, and of candidates: 2 MB and 16 MB, whatever the size of the corpus.
 WORD_BITS, PHRASE_BITS = 24, 27
+#: Bits of a key that travel when candidates are mined. Phrases that share one are candidates sooner, never later.
+KEY_BITS = 40
+#: Input of a task at least: the larger the tasks, the fewer of them send the same phrase.
+TASK_BYTES = 64 << 20
 #: Text that is counted in one go; longer texts are cut between pieces.
 SLICE_BYTES = 4 << 20
 #: Groups in which each language is ranked before its first phrases meet.
@@ -179,14 +184,14 @@ class Passed:
 
 
 def mined(texts: DataFrame, sizes: tuple[int, ...], passed: Passed) -> DataFrame:
-    """(key) of phrases that reach the lowered support in some shard, and the support in all of them."""
+    """(key) of phrases that reach the lowered support in some shard, and the support in all of them; KEY_BITS of each."""
     shared = texts.sparkSession.sparkContext.broadcast(passed)  # tables of fixed sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words, _ in _texts(batches):
             for size in sizes:
                 at, keys, n = words.counted(shared.value.places(words, size), size)
-                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "n": pa.array(n, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"key": (keys & np.uint64((1 << KEY_BITS) - 1)).view(np.int64), "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "n": pa.array(n, pa.int64())})
 
     counts = texts.mapInArrow(run, "key long, shard int, n long").groupBy("key").agg(*(F.sum(F.when(F.col("shard") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(SHARDS)))
     local = [F.col(f"n{k}") for k in range(SHARDS)]
@@ -234,6 +239,14 @@ def _contained(phrases: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
 
 
+def _in_tasks(texts: DataFrame) -> DataFrame:
+    """The texts in tasks of several of the input's partitions, where these are smaller than TASK_BYTES by the session's settings."""
+    size = texts.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", size.lower()).groups()
+    each = max(1, TASK_BYTES // (int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]))
+    return texts.coalesce(-(-texts.rdd.getNumPartitions() // each)) if each > 1 else texts
+
+
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first TOP phrases of each language of ``docs`` (lang, text).
 
@@ -242,7 +255,7 @@ def collocations(docs: DataFrame) -> DataFrame:
     count, then by the phrase's bytes.
     """
     shard = (F.spark_partition_id() % SHARDS).cast("int")
-    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").withColumn("shard", shard)
+    texts = _in_tasks(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")).withColumn("shard", shard)
     words = Passed(Bits.of(mined(texts, (1,), Passed()), WORD_BITS))
     pairs = replace(words, pairs=Bits.of(mined(texts, (2,), words), PHRASE_BITS))
     passed = replace(pairs, longer=Bits.of(mined(texts, tuple(range(3, LONGEST + 1)), pairs), PHRASE_BITS))
