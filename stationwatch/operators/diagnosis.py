@@ -25,6 +25,8 @@ REASONS = {
 }
 PARAMETERS = ("residual_center", "residual_scale", "rate_center", "rate_scale", "rate_threshold")
 RATE_THRESHOLD, LEAST_ROWS = 3.0, 30
+#: The features of a shape that its evidence tells, by name.
+SHAPE = ("mad", "median", "monotonic", "noise", "peer_count", "peer_span", "rate", "rate_threshold", "ready", "reversal", "same_sign", "slope", "span", "spike", "z")
 
 
 def check_reference(reference: DataFrame) -> DataFrame:
@@ -199,22 +201,29 @@ def diagnose(df: DataFrame, reference: DataFrame, reference_end: str | None = No
     lookup = lambda table, default: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for item in table.items() for x in item)), kind), F.lit(default))
     alerted = F.col("final_alert")
     reason = F.concat(lookup(REASONS, ""), F.when(environment, " Other stations and the neighbours' mean move alike.").otherwise(""))
+    # the shape of the variable that decided
+    shape = F
+    for v in variables:
+        shape = shape.when(best["variable"] == v, F.struct(*(F.col(f"{v}_f")[k].alias(k) for k in SHAPE)))
     evidence = F.to_json(F.struct(
         F.transform("_candidates", lambda c: F.struct(c["diagnosis"].alias("diagnosis"), c["normal_peers"].alias("normal_peers"), c["variable"].alias("variable"), c["z"].alias("z"))).alias("candidates"),
-        F.lit(False).alias("confidence_is_probability"), F.when(environment, F.col("_mover")).alias("movement"), F.array(*map(F.lit, PRECEDENCE)).alias("precedence"), F.lit(1).alias("spike_lookahead_hours")))
+        F.lit(False).alias("confidence_is_probability"), F.when(environment, F.col("_mover")).alias("movement"), F.array(*map(F.lit, PRECEDENCE)).alias("precedence"), shape.otherwise(None).alias("shape"), F.lit(1).alias("spike_lookahead_hours")))
     return rows.select(
         *df.columns, F.when(alerted, kind).alias("diagnosis"), F.when(alerted, best["variable"]).alias("diagnosis_variable"), F.when(alerted, lookup(CONFIDENCE, 0.0)).alias("diagnosis_confidence"),
         F.when(alerted & fault, "SENSOR_FAULT").when(alerted & environment, "POSSIBLE_ENVIRONMENTAL_EVENT").otherwise("UNCERTAIN").alias("operational_class"),
         F.when(alerted, reason).otherwise("Without an alert nothing is diagnosed.").alias("diagnosis_reason"), F.when(alerted, evidence).otherwise("{}").alias("diagnosis_evidence"))
 
 
-def diagnose_fused(fused: DataFrame, reference: DataFrame | None, reference_end: str | None = None) -> DataFrame:
-    """Diagnosis of fused detector output: the spatial expectations are the neighbours' view. Without a reference all shapes abstain."""
+def diagnose_fused(fused: DataFrame, reference: DataFrame | None, reference_end: str | None = None, check: bool = True) -> DataFrame:
+    """Diagnosis of fused detector output: the spatial expectations are the neighbours' view. Without a reference all shapes abstain.
+
+    Columns of truth (``is_anomaly``, ``anomaly_*``, ``*_original``) pass by and play no part.
+    """
     peers = {f"behavior_peer_{name}_{v}": F.col(f"{v}_spatial_{column}") for v in VARIABLES for name, column in (("expected", "expected"), ("count", "neighbor_count"))
              if f"{v}_spatial_{column}" in fused.columns}
     spark = fused.sparkSession
     empty = reference is None
     if empty:
         reference = spark.createDataFrame([], f"{STATION} string, variable string, " + ", ".join(f"{p} double" for p in PARAMETERS))
-    out = diagnose(fused.withColumns(peers), reference, reference_end)
+    out = diagnose(fused.withColumns(peers), reference, reference_end, check)
     return out.drop(*peers).withColumn("diagnosis_reference_status", F.lit("missing: shape rules abstain" if empty else "available"))

@@ -10,6 +10,7 @@ from ..sources.tables import stage
 from ..functions.scalar import by_time, flag, r6
 from . import timeline
 from .order import order_statistics
+from .series import correlations
 
 
 
@@ -46,28 +47,12 @@ def wide(obs: DataFrame, variable: str, stations: list[str]) -> DataFrame:
     return obs.groupBy(TIME).pivot(STATION, stations).agg(F.first(variable))
 
 
-def _pairs(obs: DataFrame, variable: str) -> DataFrame:
-    a = obs.select(TIME, F.col(STATION).alias("a"), F.col(variable).alias("x"))
-    b = obs.select(TIME, F.col(STATION).alias("b"), F.col(variable).alias("y"))
-    return a.join(b, TIME).where("a < b")
-
-
-def correlations(obs: DataFrame, variable: str) -> DataFrame:
-    """Pearson correlation of every two stations over the times they share."""
-    return _pairs(obs, variable).groupBy("a", "b").agg(F.count("*").alias("n"), r6(F.corr("x", "y")).alias("correlation"))
-
-
 def correlation_summary(obs: DataFrame, variable: str) -> DataFrame:
     """One row: least, greatest and mean correlation of two different stations."""
     found = correlations(obs, variable)
     return found.agg(F.count("*").alias("pairs"), F.min("correlation").alias("low"), F.max("correlation").alias("high"), F.round(F.avg("correlation"), 4).alias("mean"))
 
 
-def identical_series(obs: DataFrame, variable: str) -> DataFrame:
-    """For every two stations whether their series agree wherever both have rows."""
-    return _pairs(obs, variable).groupBy("a", "b").agg(F.bool_and(F.col("x").eqNullSafe(F.col("y"))).alias("identical"))
-
-
 def spread_by_time(obs: DataFrame, variable: str) -> DataFrame:
     x = F.col(variable)
     return obs.groupBy(TIME).agg(F.count(x).alias("n"), r6(F.min(x)).alias("low"), r6(F.max(x)).alias("high"), r6(F.avg(x)).alias("mean"), r6(F.stddev_samp(x)).alias("std"), r6(F.max(x) - F.min(x)).alias("range"))

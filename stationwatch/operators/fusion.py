@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,28 +138,32 @@ class WeightedTier:
 class LogisticMeta:
     """By a logistic regression on the scores (missing ones 0), detectors in order of name; L2 with unit cost on the summed loss."""
 
-    model: LogisticRegressionModel
+    weights: Mapping[str, float]
+    intercept: float
     suspicious: float = 0.3
     anomaly: float = 0.6
     name: str = "logistic_meta"
 
     @staticmethod
-    def features(rows: DataFrame, registry: dict[str, Detector] = REGISTRY) -> DataFrame:
-        names = sorted(registry)
-        rows = rows.withColumns({f"_score_{n}": F.coalesce(F.col(f"evidence.{n}.score"), F.lit(0.0)) for n in names})
-        return VectorAssembler(inputCols=[f"_score_{n}" for n in names], outputCol="_features").transform(rows).drop(*(f"_score_{n}" for n in names))
+    def scores(names: Iterable[str]) -> dict[str, Column]:
+        return {n: F.coalesce(F.col(f"evidence.{n}.score"), F.lit(0.0)) for n in sorted(names)}
 
     @classmethod
     def fit(cls, rows: DataFrame, truth: str, registry: dict[str, Detector] = REGISTRY) -> LogisticMeta:
-        data = cls.features(rows, registry).select("_features", F.col(truth).cast("double").alias("label"))
-        regression = LogisticRegression(featuresCol="_features", labelCol="label", maxIter=1000, regParam=1.0 / max(data.count(), 1), standardization=False)
-        return cls(regression.fit(data))
+        scores = cls.scores(registry)
+        named = rows.select(*(c.alias(f"_{n}") for n, c in scores.items()), F.col(truth).cast("double").alias("label"))
+        data = VectorAssembler(inputCols=[f"_{n}" for n in scores], outputCol="_features").transform(named).select("_features", "label")
+        regression = LogisticRegression(featuresCol="_features", labelCol="label", maxIter=1000, tol=1e-9, regParam=1.0 / max(data.count(), 1), standardization=False)
+        model = regression.fit(data)
+        return cls(dict(zip(scores, map(float, model.coefficients), strict=True)), float(model.intercept))
 
     def apply(self, rows: DataFrame, registry: dict[str, Detector] = REGISTRY) -> DataFrame:
-        scored = self.model.transform(self.features(rows, registry))
-        p = F.get(vector_to_array("probability"), 1)
+        """A few numbers of the model in a column expression."""
+        scores = self.scores(self.weights)
+        margin = reduce(lambda a, b: a + b, (F.lit(w) * scores[n] for n, w in self.weights.items()), F.lit(self.intercept))
+        p = 1 / (1 + F.exp(-margin))
         name = F.when(p >= self.anomaly, "anomaly").when(p >= self.suspicious, "suspicious").otherwise("normal")
-        return scored.withColumns({f"fusion_{self.name}_label": name, f"fusion_{self.name}_score": r6(p)}).drop("_features", "rawPrediction", "probability", "prediction")
+        return rows.withColumns({f"fusion_{self.name}_label": name, f"fusion_{self.name}_score": r6(p)})
 
 
 def run_strategies(rows: DataFrame, strategies: list, registry: dict[str, Detector] = REGISTRY) -> DataFrame:

@@ -14,7 +14,7 @@ from .. import config
 from ..config import STATION, TIME, VARIABLES, FusionConfig, ReconstructionConfig, SpatialConfig, StatisticalConfig
 from ..functions import scalar
 from ..functions.scalar import flag, hour_label, r6, severity_score
-from ..operators import diagnosis, evaluate, explain, explore, fusion, inject, neural, order, reconstruct, spatial, statistical, timeline
+from ..operators import diagnosis, evaluate, explain, explore, fusion, inject, neural, order, reconstruct, series, spatial, statistical, timeline
 from ..sources import tables
 from . import sql
 from .calibration import model_of, model_table
@@ -394,9 +394,11 @@ def fusion_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def logistic_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression isn't SQL."""
-    rows = fusion.evidence(Network(spark, sf_dir, True, faults=True).fused())
-    return out(fusion.LogisticMeta.fit(rows, "is_anomaly").apply(rows), STATION, TIME, "fusion_logistic_meta_label", "fusion_logistic_meta_score")
+    """Logistic regression isn't SQL. It learns from the rows before the cut and judges those from it on."""
+    net = Network(spark, sf_dir, True, faults=True)
+    rows = fusion.evidence(net.fused())
+    cut = F.lit(net.cut).cast(dict(rows.dtypes)[TIME])
+    return out(fusion.LogisticMeta.fit(rows.where(F.col(TIME) < cut), "is_anomaly").apply(rows.where(F.col(TIME) >= cut)), STATION, TIME, "fusion_logistic_meta_label", "fusion_logistic_meta_score")
 
 
 METHODS = ["statistical_alert", "spatial_alert", "lstm_ae_alert", "final_alert", "statistical_or_spatial", "statistical_and_spatial"]
@@ -646,8 +648,8 @@ def _diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = net.spatial().join(net.statistical().select(STATION, TIME, "statistical_alert"), [STATION, TIME])
     rows = rows.withColumn("final_alert", F.col("statistical_alert") | F.col("spatial_alert")).where(F.col(TIME) >= F.lit(EVENT_CUT).cast(dict(rows.dtypes)[TIME]))
     reference = diagnosis.build_reference(net.history, net.graph)
-    peers = {f"behavior_peer_{name}_{v}": F.col(f"{v}_spatial_{column}") for v in V for name, column in (("expected", "expected"), ("count", "neighbor_count"))}
-    return diagnosis.diagnose(tables.stage(rows.withColumns(peers), "alerted"), tables.stage(reference, "reference"), check=False).drop(*peers)
+    # the reference is of the history before these rows, whose keys were checked when they were read
+    return diagnosis.diagnose_fused(tables.stage(rows, "alerted"), tables.stage(reference, "reference"), check=False)
 
 
 @query(sql.with_(EV_HRES, sql.reference("ev_hres", "ref")) + "SELECT * FROM ref")
@@ -661,6 +663,23 @@ def diagnosis_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(_diagnosed(spark, sf_dir), STATION, TIME, "final_alert", *DIAGNOSIS)
 
 
+_SHAPES = {"median": "med", "mad": "mad", "slope": "slope", "noise": "noise", "same_sign": "same", "monotonic": "mono", "reversal": "rev", "span": "span", "peer_span": "pspan", "z": "z", "rate": "rate", "rate_threshold": "tt"}
+
+
+@query(sql.with_(EV_FAULTY) + f"SELECT station_id, {S}, diagnosis, diagnosis_variable AS variable, " + sql.join(
+    "round(CASE diagnosis_variable " + " ".join(f"WHEN '{v}' THEN {v}_{c}" for v in V) + f" END, 4) AS shape_{name}" for name, c in _SHAPES.items())
+    + ", " + sql.join((f"CAST({v}_kind IS NOT NULL AS INTEGER)" for v in V), " + ") + " AS candidates, operational_class = 'POSSIBLE_ENVIRONMENTAL_EVENT' AS moved FROM diag WHERE final_alert")
+def diagnosis_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence of each alerted row, read back from its JSON."""
+    rows = _diagnosed(spark, sf_dir).where("final_alert")
+    kind = "candidates array<struct<diagnosis: string, variable: string>>, movement struct<variable: string>, shape struct<" + ", ".join(f"{name}: double" for name in _SHAPES) + ">"
+    e = F.from_json("diagnosis_evidence", kind)
+    rows = rows.withColumn("_e", e)
+    return out(
+        rows, STATION, TIME, "diagnosis", F.get(F.col("_e.candidates"), 0)["variable"].alias("variable"), *(F.round(F.col(f"_e.shape.{name}"), 4).alias(f"shape_{name}") for name in _SHAPES),
+        F.size("_e.candidates").alias("candidates"), F.col("_e.movement").isNotNull().alias("moved"))
+
+
 _PAIRS = [("pairs", f"SELECT {sql.expected_diagnosis()} AS t, diagnosis AS p FROM diag WHERE diagnosis IS NOT NULL AND anomaly_type IS NOT NULL AND NOT contains(anomaly_type, '|')")]
 
 
@@ -717,6 +736,31 @@ def explanation_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out(explain.explain(_faulty(spark, sf_dir)), STATION, TIME, "explanation")
 
 
+_FIRED = {v: " + ".join(f"CAST(coalesce(t.{v}_{c}_anomaly, false) AS INTEGER)" for c in ("range", "roc", "zscore_24h", "zscore_168h", "persistence")) for v in V}
+_TOP_FIRED = "CASE " + " ".join(f"WHEN ({_FIRED[v]}) > 0 AND ({_FIRED[v]}) = greatest({sql.join(_FIRED.values())}) THEN '{v}'" for v in V) + " END"
+
+
+@query(sql.with_(FUSED) + f"""SELECT f.station_id, strftime(f.timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, f.final_alert AS alert, f.detector_votes AS votes, f.final_severity AS severity, f.statistical_severity_label AS statistical_severity,
+    {_TOP_FIRED} AS statistical_primary, {" + ".join(_FIRED.values())} AS statistical_notes, f.spatial_severity_level AS spatial_severity,
+    CASE WHEN p.temperature_spatial_anomaly THEN 'temperature' WHEN p.pressure_spatial_anomaly THEN 'pressure' END AS spatial_primary, {" + ".join(f"CAST(p.{v}_spatial_suspicious AS INTEGER)" for v in V)} AS spatial_notes,
+    f.lstm_ae_severity_label AS reconstruction_severity, r.lstm_ae_top_contributor AS reconstruction_primary, f.lstm_ae_scored AS reconstruction_available, round(r.temperature_lstm_ae_error, 6) AS temperature_error, f.temperature, f.humidity, f.pressure
+    FROM fused f JOIN flt_stat t ON f.station_id = t.station_id AND f.timestamp = t.timestamp JOIN flt_spat p ON f.station_id = p.station_id AND f.timestamp = p.timestamp JOIN flt_recon r ON f.station_id = r.station_id AND f.timestamp = r.timestamp""")
+def explanation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each explanation says, read back from its JSON."""
+    rows = explain.explain(_faulty(spark, sf_dir)).select(STATION, TIME, "explanation")
+    detector = "struct<alert: boolean, severity: string, primary: string, observations: array<string>>"
+    kind = (
+        f"decision struct<alert: boolean, votes: int, severity: string>, detectors struct<statistical: {detector}, spatial: {detector}, reconstruction: struct<severity: string, primary: string, available: boolean, "
+        "errors: array<struct<variable: string, error: double>>>>, readings struct<temperature: double, humidity: double, pressure: double>")
+    rows = rows.withColumn("_e", F.from_json("explanation", kind)).select(STATION, TIME, "_e.*")
+    d = F.col("detectors")
+    error = F.get(F.filter(d["reconstruction"]["errors"], lambda e: e["variable"] == "temperature"), 0)["error"]
+    return out(
+        rows, STATION, TIME, "decision.alert", "decision.votes", "decision.severity", d["statistical"]["severity"].alias("statistical_severity"), d["statistical"]["primary"].alias("statistical_primary"),
+        F.size(d["statistical"]["observations"]).alias("statistical_notes"), d["spatial"]["severity"].alias("spatial_severity"), d["spatial"]["primary"].alias("spatial_primary"), F.size(d["spatial"]["observations"]).alias("spatial_notes"),
+        d["reconstruction"]["severity"].alias("reconstruction_severity"), d["reconstruction"]["primary"].alias("reconstruction_primary"), d["reconstruction"]["available"].alias("reconstruction_available"), r6(error).alias("temperature_error"), "readings.*")
+
+
 @query()
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled Shapley values aren't SQL. The number of explained alerts is a report's limit; the others are listed as beyond it."""
@@ -755,12 +799,23 @@ _TWO = [("two", "SELECT a.station_id AS a, o.station_id AS b, a.temperature AS x
 
 @query(sql.with_(sql.EVENTS, _TWO) + "SELECT a, b, count(*) AS n, round(corr(x, y), 6) AS correlation FROM two GROUP BY 1, 2")
 def station_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.correlations(tables.hourly_events(spark, sf_dir), "temperature")
+    return series.correlations(tables.stage(tables.hourly_events(spark, sf_dir), "observations"), "temperature")
 
 
 @query(sql.with_(sql.EVENTS, _TWO) + "SELECT a, b, bool_and(x IS NOT DISTINCT FROM y) AS identical FROM two GROUP BY 1, 2")
 def identical_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.identical_series(tables.hourly_events(spark, sf_dir), "temperature")
+    return series.identical_series(tables.stage(tables.hourly_events(spark, sf_dir), "observations"), "temperature")
+
+
+@query(sql.with_(sql.LINES, [("doubled", "SELECT * FROM ln UNION ALL SELECT station_id || '2', timestamp, temperature, CASE WHEN station_id = 'NO' THEN humidity ELSE humidity + 1 END, pressure FROM ln"),
+                             ("sized", "SELECT *, count(*) OVER (PARTITION BY station_id) AS rows FROM doubled"),
+                             ("same", "SELECT a.station_id AS a, o.station_id AS b, any_value(a.rows) AS rows FROM sized a JOIN sized o ON a.timestamp = o.timestamp AND a.humidity IS NOT DISTINCT FROM o.humidity AND a.rows = o.rows GROUP BY 1, 2 HAVING count(*) = any_value(a.rows)")])
+       + "SELECT a AS station_id, any_value(rows) AS rows, count(*) AS twins, min(b) AS first FROM same GROUP BY 1")
+def twin_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each station twice, of which one pair is the same throughout."""
+    lines = tables.stage(tables.daily_lines(spark, sf_dir), "observations")
+    again = lines.withColumns({"humidity": F.when(F.col(STATION) == "NO", F.col("humidity")).otherwise(F.col("humidity") + 1), STATION: F.concat(STATION, F.lit("2"))})
+    return series.twins(lines.unionByName(again), "humidity")
 
 
 @query(sql.with_(sql.EVENTS) + f"SELECT {S}, count(temperature) AS n, round(min(temperature), 6) AS low, round(max(temperature), 6) AS high, round(avg(temperature), 6) AS mean, round(stddev_samp(temperature), 6) AS std, round(max(temperature) - min(temperature), 6) AS range FROM ev GROUP BY ev.timestamp")
