@@ -36,7 +36,7 @@ KEY_BITS = 40
 #: Input of a task at least: the larger the tasks, the fewer of them send the same phrase.
 TASK_BYTES = 64 << 20
 #: Text that is counted in one go; longer texts are cut between pieces.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Groups in which each language is ranked before its first phrases meet.
 RANK_GROUPS = 32
 UNKNOWN = "und"
