@@ -139,7 +139,7 @@ def test_injection_invariants(spark):
     assert len(p) == 5760 and 0.01 < p.is_anomaly.mean() < 0.05 and set(events.anomaly_type) <= {k for k, _ in inject.TYPE_SHARES}
     members = evaluate.label_membership(out).toPandas()
     assert len(members) == events.duration_rows.sum() and (events[events.anomaly_type == "spike"].duration_rows == 1).all()
-    p = p.set_index(["station_id", "timestamp"])
+    p = p.set_index(["station_id", "timestamp"]).sort_index()
     for e in events.itertuples():
         v = p.loc[e.station_id].loc[e.start_time : e.end_time][e.variable]
         assert e.anomaly_type != "dropout" or v.isna().all()
