@@ -222,8 +222,9 @@ def test_sources(spark, tmp_path):
     answer = {"hourly": {"time": ["2025-01-01T00:00"], **{k: [1.0] for k in rest.HOURLY}}}
     assert next(rest.rows_of(answer, {"station_id": "A", "latitude": 1, "longitude": 2}))[5] == 1.0
     spark.dataSource.register(rest.HourlyArchive)
-    options = {"url": f"file://{tmp_path}/nothing", "start": "2025-01-01", "end": "2025-01-01", "pause": "0", "stations": json.dumps([{"station_id": "A", "latitude": 1, "longitude": 2}])}
-    assert spark.read.format("hourly_archive").options(**options).load().count() == 0
+    options = {"url": f"file://{tmp_path}/nothing", "start": "2025-01-01", "end": "2025-01-01", "pause": "0", "retries": "0", "stations": json.dumps([{"station_id": "A", "latitude": 1, "longitude": 2}])}
+    read = spark.read.format("hourly_archive").options(**options).load()
+    assert rest.observations(read).count() == 0 and [r.station_id for r in rest.failures(read).collect()] == ["A"]
 
 
 def test_replay_stream(spark, tmp_path):
