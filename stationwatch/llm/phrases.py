@@ -15,7 +15,6 @@ are most of a corpus, hardly reach a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -33,10 +32,8 @@ SHARDS = 4
 WORD_BITS, PHRASE_BITS = 24, 27
 #: Bits of a key that travel when candidates are mined. Phrases that share one are candidates sooner, never later.
 KEY_BITS = 40
-#: Input of a task at least: the larger the tasks, the fewer of them send the same phrase.
-TASK_BYTES = 64 << 20
 #: Text that is counted in one go; longer texts are cut between pieces.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Groups in which each language is ranked before its first phrases meet.
 RANK_GROUPS = 32
 UNKNOWN = "und"
@@ -239,14 +236,6 @@ def _contained(phrases: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "phrase").agg(F.max("a").alias("longest"))
 
 
-def _in_tasks(texts: DataFrame) -> DataFrame:
-    """The texts in tasks of several of the input's partitions, where these are smaller than TASK_BYTES by the session's settings."""
-    size = texts.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
-    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", size.lower()).groups()
-    each = max(1, TASK_BYTES // (int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]))
-    return texts.coalesce(-(-texts.rdd.getNumPartitions() // each)) if each > 1 else texts
-
-
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first TOP phrases of each language of ``docs`` (lang, text).
 
@@ -255,7 +244,7 @@ def collocations(docs: DataFrame) -> DataFrame:
     count, then by the phrase's bytes.
     """
     shard = (F.spark_partition_id() % SHARDS).cast("int")
-    texts = _in_tasks(docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")).withColumn("shard", shard)
+    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").withColumn("shard", shard)
     words = Passed(Bits.of(mined(texts, (1,), Passed()), WORD_BITS))
     pairs = replace(words, pairs=Bits.of(mined(texts, (2,), words), PHRASE_BITS))
     passed = replace(pairs, longer=Bits.of(mined(texts, tuple(range(3, LONGEST + 1)), pairs), PHRASE_BITS))
