@@ -3,9 +3,11 @@
 The corpus falls into SHARDS shards, which are whole partitions of the input. A
 phrase with SUPPORT occurrences in all has, in some shard, at least a SHARDS-th
 of them: each shard is mined completely at that lowered support, level by level,
-and what is frequent in some shard is a candidate. One aggregation by phrase,
-whose key is a 64-bit hash, counts the shards side by side, so candidates that
-miss the support in all shards together go at once. The union of the others is
+and what is frequent in some shard is a candidate. Phrases are counted by key, a part
+of a 64-bit hash: tasks add up what they read and send it as blocks, sorted keys
+of one range as packed differences, and each range's blocks are merged with the
+shards side by side, so candidates that miss the support in all shards together
+go at once. The union of the others is
 a table of bits of a fixed size, which travels to all tasks; it lets some more
 phrases through, as sets of bits do, but holds none back. Then the texts are read
 once more and all that passes is counted exactly, by its words. A level only
@@ -32,6 +34,9 @@ SHARDS = 4
 WORD_BITS, PHRASE_BITS = 24, 27
 #: Bits of a key that travel when candidates are mined. Phrases that share one are candidates sooner, never later.
 KEY_BITS = 40
+#: Keys that a task holds before it sends them, and ranges of keys for each of the input's partitions, in which blocks meet:
+#: a range's keys are as many as a part of a task's, whatever the size of the corpus.
+HELD_KEYS, RANGES = 1 << 21, 4
 #: Text that is counted in one go; longer texts are cut between pieces.
 SLICE_BYTES = 2 << 20
 #: Groups in which each language is ranked before its first phrases meet.
@@ -180,20 +185,69 @@ class Passed:
         return at
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their counts, of which what exceeds the support doesn't matter and goes."""
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.minimum(np.add.reduceat(n[order], first, axis=0), SUPPORT) if len(keys) else n
+
+
+def _blocks(keys: np.ndarray, n: np.ndarray, bits: int, shard: int) -> pa.RecordBatch:
+    """A row for each range of the sorted ``keys``, 2**bits ranges in all: differences and counts by planes of bytes, packed."""
+    tops = (keys >> np.uint64(KEY_BITS - bits)).astype(np.int32)
+    starts = np.flatnonzero(np.diff(tops, prepend=-1))
+    codec, blocks = pa.Codec("zstd", compression_level=1), []
+    for a, b in zip(starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True):
+        planes = np.stack([np.diff(keys[a:b], prepend=np.uint64(0)), n[a:b].astype(np.uint64)]).view(np.uint8).reshape(2, b - a, 8)
+        blocks.append((b - a).to_bytes(4, "little") + codec.compress(planes.transpose(0, 2, 1).tobytes(), asbytes=True))
+    return pa.RecordBatch.from_pydict({"range": pa.array(tops[starts]), "shard": pa.array(np.full(len(starts), shard, np.int32)), "block": pa.array(blocks, pa.binary())})
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(block[:4], "little")
+    planes = np.frombuffer(pa.Codec("zstd").decompress(block[4:], 16 * size, asbytes=True), np.uint8).reshape(2, 8, size)
+    steps, n = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[:, :, 0]
+    return np.cumsum(steps, dtype=np.uint64), n.astype(np.int64)
+
+
 def mined(texts: DataFrame, sizes: tuple[int, ...], passed: Passed) -> DataFrame:
     """(key) of phrases that reach the lowered support in some shard, and the support in all of them; KEY_BITS of each."""
     shared = texts.sparkSession.sparkContext.broadcast(passed)  # tables of fixed sizes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = min((RANGES * texts.rdd.getNumPartitions() - 1).bit_length(), 16)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, shard = [], 0
         for batch, words, _ in _texts(batches):
+            shard = batch.column("shard")[0].as_py()  # one for all of a task
             for size in sizes:
-                at, keys, n = words.counted(shared.value.places(words, size), size)
-                yield pa.RecordBatch.from_pydict({"key": (keys & np.uint64((1 << KEY_BITS) - 1)).view(np.int64), "shard": pa.array(np.full(len(at), batch.column("shard")[0].as_py()), pa.int32()), "n": pa.array(n, pa.int64())})
-
-    counts = texts.mapInArrow(run, "key long, shard int, n long").groupBy("key").agg(*(F.sum(F.when(F.col("shard") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(SHARDS)))
-    local = [F.col(f"n{k}") for k in range(SHARDS)]
-    frequent = F.greatest(*local, F.lit(0)) >= -(-SUPPORT // SHARDS)
-    return counts.where(frequent & (sum(local, F.lit(0)) >= SUPPORT)).select("key")
+                _, keys, n = words.counted(shared.value.places(words, size), size)
+                held.append((keys & np.uint64((1 << KEY_BITS) - 1), np.minimum(n, SUPPORT)))
+            if sum(len(keys) for keys, _ in held) > HELD_KEYS:
+                held = [_added(held)]
+                if len(held[0][0]) > HELD_KEYS // 2:
+                    yield _blocks(*held.pop(), bits, shard)
+        if held:
+            yield _blocks(*_added(held), bits, shard)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, parts, waiting = [], [], 0
+        for batch in batches:
+            for shard, block in zip(batch.column("shard").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                keys, n = _unpacked(block)
+                side = np.zeros((len(n), SHARDS), np.int64)
+                side[:, shard] = n
+                parts.append((keys, side))
+                waiting += len(keys)
+                if waiting > max(HELD_KEYS // 4, sum(len(keys) for keys, _ in whole)):
+                    whole, parts, waiting = [_added(whole + parts)], [], 0
+        keys, n = _added(whole + parts)
+        keys = keys[(n.max(1, initial=0) >= -(-SUPPORT // SHARDS)) & (n.sum(1) >= SUPPORT)]
+        yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64)})
+
+    return texts.mapInArrow(count, "range int, shard int, block binary").groupBy("range").applyInArrow(merge, "key long")
 
 
 def phrase_counts(texts: DataFrame, passed: Passed) -> DataFrame:

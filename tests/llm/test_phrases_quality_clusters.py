@@ -92,6 +92,23 @@ def test_long_texts_are_cut_between_pieces(talk, monkeypatch, size):
     assert found == wanted
 
 
+@pytest.mark.parametrize("held", [1 << 21, 40])
+def test_keys_are_counted_through_blocks_and_merges(spark, talk, monkeypatch, held):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << phrases.KEY_BITS, 3000, dtype=np.uint64)
+    keys = np.concatenate([keys, keys[:900], [0, (1 << phrases.KEY_BITS) - 1]]).astype(np.uint64)
+    names, n = phrases._added([(keys[:2000], np.ones(2000, np.int64)), (keys[2000:], np.ones(len(keys) - 2000, np.int64))])
+    assert dict(zip(names.tolist(), n.tolist(), strict=True)) == dict(Counter(keys.tolist()))
+    blocks = phrases._blocks(names, n, 5, 3).to_pydict()
+    back = [phrases._unpacked(b) for b in blocks["block"]]
+    assert np.array_equal(np.concatenate([k for k, _ in back]), names) and np.array_equal(np.concatenate([c for _, c in back]), n)
+    assert all((k >> np.uint64(phrases.KEY_BITS - 5) == r).all() for (k, _), r in zip(back, blocks["range"], strict=True)) and set(blocks["shard"]) == {3}
+    assert phrases._blocks(names[:0], n[:0], 5, 0).num_rows == 0
+    monkeypatch.setattr(phrases, "HELD_KEYS", held)  # tasks send often and merges go in many steps
+    df = spark.createDataFrame(talk, "lang string, text string").repartition(5)
+    assert sorted(tuple(r) for r in phrases.collocations(df).collect()) == brute_phrases(talk)
+
+
 def test_phrases_are_cut_at_the_first_of_equals_and_ranked_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(phrases, "TOP", 3)
     rows = [("en", t) for t in ("z q. z q", "a b; é b", "é c! zz c") for _ in range(40)]
