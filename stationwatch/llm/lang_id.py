@@ -50,8 +50,12 @@ _FOLD[0x80:] = np.arange(0x80, 0x100)
 
 
 def gram_frequencies(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of DIMENSIONS square roots of relative n-gram frequencies for each text."""
-    codes = _FOLD[data].astype(np.uint32)
+    """One row of DIMENSIONS square roots of relative n-gram frequencies for each text; what stands between letters counts as one space, however long."""
+    codes = _FOLD[data]
+    keep = codes != 0x20
+    keep[1:] |= codes[:-1] != 0x20
+    keep[offsets[:-1][offsets[:-1] < len(keep)]] = True
+    codes, offsets = codes[keep].astype(np.uint32), np.concatenate([[0], np.cumsum(keep)])[offsets]
     n = len(codes)
     grams = [codes * np.uint32(2654435761)]
     if n > 1:

@@ -45,9 +45,7 @@ def test_keys_deep_inside_a_candidate_are_found():
     assert found[2] == found[3] == []
 
 
-def test_telling_tokens_are_learned_behind_many_common_words(spark, monkeypatch):
-    """The old bound on the vocabulary, set low, left only ordinary words to the model."""
-    monkeypatch.setattr(toxicity, "VOCABULARY", 20, raising=False)
+def test_telling_tokens_are_learned_behind_many_common_words(spark):
     ordinary = " ".join(f"word{k}" for k in range(30))
     rows = [(i, f"{ordinary} grunk slorp" if i % 4 == 0 and i % 12 < 8 else f"{ordinary} blech {'blech ' * 80}" if i == 4 else ordinary) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
