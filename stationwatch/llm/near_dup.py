@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,38 +178,46 @@ def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _compare_blocks(group: pd.DataFrame) -> pd.DataFrame:
+def _ranked(hashes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of all members as places in the list of distinct ones, and their number by member; the column's own buffers are read, not copied."""
+    values, sizes = [], []
+    for chunk in hashes.chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        values.append(pa.array(np.frombuffer(chunk.buffers()[2], np.int64)[at[0] // 8 : at[-1] // 8]))
+        sizes.append(np.diff(at) // 8)
+    found = pa.chunked_array(values).dictionary_encode()
+    return np.concatenate([c.indices.to_numpy() for c in found.chunks]), np.concatenate(sizes).astype(np.int64)
+
+
+def _compare_blocks(group: pa.Table) -> pa.Table:
     """Spanning labels (a, b) for the links between members of different components of two blocks (or of one).
 
-    Members of the commonest component are compared with the others only.
+    Members of the commonest component are compared with the others only. Beside
+    the group itself about as much memory is taken as its sets have.
     """
-    rep, component, mine = (group[c].to_numpy() for c in ("rep", "component", "mine"))
-    low, high = group["low"].iloc[0], group["high"].iloc[0]
-    sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, SLOTS)
-    sets = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
-    sizes = np.array([len(x) for x in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    rep, component, mine = (group.column(c).to_numpy() for c in ("rep", "component", "mine"))
+    low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    flat, sizes = _ranked(group.column("hashes"))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     names, counts = np.unique(component, return_counts=True)
-    marked = np.zeros(int(flat.max()) + 1, bool)
+    marked = np.zeros(int(flat.max()) + 1, np.int32)
     a, b = [], []
     for i in np.flatnonzero(component != names[counts.argmax()]):
         other = (component != component[i]) & ((sig != sig[i]).sum(1) <= CONFIRM_UP_TO)
         other &= mine == (high if mine[i] == low else low)
         if not other.any():
             continue
-        own = flat[starts[i] : starts[i + 1]]
-        marked[own] = True
-        common = np.add.reduceat(marked[flat].astype(np.int64), starts[:-1])
-        marked[own] = False
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[flat], starts).astype(np.int64)
+        marked[own] = 0
         linked = np.flatnonzero(other & (100 * common >= PERCENT * (sizes + sizes[i] - common)))
         a.append(np.full(len(linked), i))
         b.append(linked)
-    if not a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    label = _local_labels(len(rep), np.concatenate(a), np.concatenate(b))
+    label = _local_labels(len(rep), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(rep))
     rows = np.flatnonzero(rep != rep[label])
-    return pd.DataFrame({"a": rep[rows], "b": rep[label[rows]]})
+    return pa.table({"a": rep[rows], "b": rep[label[rows]]})
 
 
 def _across_families(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,7 +234,7 @@ def _across_families(rows: DataFrame, classes: DataFrame, sets: DataFrame) -> Da
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "rep", "component", "sig", "hashes")
     )
-    return placed.groupBy("family", "low", "high").applyInPandas(_compare_blocks, "a long, b long")
+    return placed.groupBy("family", "low", "high").applyInArrow(_compare_blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
