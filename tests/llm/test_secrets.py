@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
@@ -75,3 +76,31 @@ def test_long_texts_and_repeated_rows(spark):
     rows = [(1, long), (1, long), (2, "token=abcdef"), (2, "token=abcdef")]
     found = [r.spans for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), network)).collect()]
     assert len(found) == 4 and len(set(found)) == 2 and any(f.startswith("access:1500000:1500024") for f in found)
+
+
+def test_every_window_is_dealt_and_learned_from(spark, corpus):
+    """All windows of learnable documents are in the parts, once where a kind fills them; keys are found when many parts are mixed, the same ones each time."""
+    df = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    wanted = {True: [], False: []}
+    for i, text in corpus[0]:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            spans = secrets.base_findings(text)
+            for start, end in secrets.values(text):
+                wanted[True] += [secrets.encode(text, start, end, at) for at in secrets.windows(start, end)]
+            for start, end in secrets.candidates(text):
+                wanted[False] += [secrets.encode(text, a, b, at) for a, b in secrets.uncovered(text, start, end, spans) for at in secrets.windows(a, b)]
+    size = 1 + max(len(w) for w in wanted.values()) // 4
+    table, n = secrets.parts(df, size)
+    rows, width = table.collect(), secrets.BEFORE + secrets.INSIDE + secrets.AFTER
+    assert n == len(rows) == 4 and sorted(r.part for r in rows) == list(range(4))
+    for kind, name in ((True, "secret"), (False, "rest")):
+        found = [bytes(r[name][i : i + width]) for r in rows for i in range(0, len(r[name]), width)]
+        assert set(found) == set(wanted[kind]) and len(found) >= len(wanted[kind])
+        if len(wanted[kind]) > 2 * size:
+            assert sorted(found) == sorted(wanted[kind])
+    network, again = (secrets.fit(df, size, 1000) for _ in range(2))
+    assert network.threshold == again.threshold and (network.filters == again.filters).all()
+    text, hits = dict(corpus[0]), 0
+    for r in secrets.scan(df, network).collect():
+        hits += any(corpus[1].get(r.doc_id, "-") in text[r.doc_id][s.start : s.end] for s in r.secret_spans if s.kind == "cnn")
+    assert hits >= 0.95 * len(corpus[1])
